@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .token_codec import encode_documents
+from .token_count import count_tokens
 from .url_filter import judge_urls
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizer file lies: the one place that knows."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,8 +51,20 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.v, 'allow') AS verdict
 FROM p LEFT JOIN m ON p.rn = m.rn AND m.k = 1
 """
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded: token count and digests."""
+    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text."""
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op4_url_filter": op4_url_filter,
+    "op5_bpe_codec": op5_bpe_codec,
+    "op7_token_count": op7_token_count,
 }
 
 ORACLES = {
