@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .simhash import near_duplicates
 from .token_codec import encode_documents
 from .token_count import count_tokens
 from .url_filter import judge_urls
@@ -51,6 +53,12 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.v, 'allow') AS verdict
 FROM p LEFT JOIN m ON p.rn = m.rn AND m.k = 1
 """
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component of fingerprints within two bits."""
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: token count and digests."""
     return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -62,6 +70,7 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_bpe_codec": op5_bpe_codec,
     "op7_token_count": op7_token_count,
