@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .simhash import near_duplicates
+from .sketch import fingerprint_documents
 from .token_codec import encode_documents
 from .token_count import count_tokens
 from .url_filter import judge_urls
@@ -69,11 +70,17 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch, its edited text's, and their likeness to each other and to the next document."""
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_bpe_codec": op5_bpe_codec,
     "op7_token_count": op7_token_count,
+    "op9_fingerprint": op9_fingerprint,
 }
 
 ORACLES = {
