@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import identify
 from .simhash import near_duplicates
 from .sketch import fingerprint_documents
 from .token_codec import encode_documents
 from .token_count import count_tokens
-from .url_filter import judge_urls
+from .url_filter import host_of, judge_urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -23,6 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Least posterior probability at which a document's language is accepted.
+ACCEPT = 0.5
+
 #: The rules of the URL query, fixed values.
 URL_RULES = (
     ("org", "/", "allow"),
@@ -65,6 +69,23 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by all evidence, its probability, and whether the document is accepted."""
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, F.col("lang"), F.col("source"), "lang", "doc_id")
+    return found.select("doc_id", F.col("_language").alias("language"), F.col("_confidence").alias("confidence"), (F.col("_confidence") >= ACCEPT).alias("accepted"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for web pages: markup language, address suffix and host, over the text between the tags."""
+    pages = _table(spark, sf_dir, "pages")
+    bare = F.regexp_replace(F.col("html"), r"(?s)<(script|style)[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ")
+    declared = F.regexp_extract(F.col("html"), r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1)
+    rows = pages.select("page_id", "url", bare.alias("text"), F.when(declared != "", F.lower(declared)).alias("lang"))
+    found = identify(rows, F.col("lang"), host_of(F.col("url")), "lang", "page_id")
+    return found.select("page_id", F.col("_language").alias("language"), F.col("_confidence").alias("confidence"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every whole text."""
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
@@ -79,8 +100,10 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_language_id": op6_language_id,
     "op7_token_count": op7_token_count,
     "op9_fingerprint": op9_fingerprint,
+    "pages_language_id": pages_language_id,
 }
 
 ORACLES = {
