@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
 from .langid import identify
 from .line_dedup import dedup_lines
 from .simhash import near_duplicates
@@ -98,6 +99,11 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a test item that it holds, with score and overlaps."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sketch, its edited text's, and their likeness to each other and to the next document."""
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
@@ -110,6 +116,7 @@ QUERIES = {
     "op5_bpe_codec": op5_bpe_codec,
     "op6_language_id": op6_language_id,
     "op7_token_count": op7_token_count,
+    "op8_decontaminate": op8_decontaminate,
     "op9_fingerprint": op9_fingerprint,
     "pages_language_id": pages_language_id,
 }
