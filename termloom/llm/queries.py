@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_leaks
 from .langid import identify
 from .line_dedup import dedup_lines
+from .lm_score import score_documents
 from .simhash import near_duplicates
 from .sketch import fingerprint_documents
 from .token_codec import encode_documents
@@ -60,6 +61,11 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.v, 'allow') AS verdict
 FROM p LEFT JOIN m ON p.rn = m.rn AND m.k = 1
 """
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens and masked pseudo-log-likelihood."""
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the component of fingerprints within two bits."""
     found = near_duplicates(_table(spark, sf_dir, "documents"))
@@ -110,6 +116,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
