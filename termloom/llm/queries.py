@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import digest_chats, format_chats
 from .decontaminate import find_leaks
 from .langid import identify
 from .line_dedup import dedup_lines
@@ -30,6 +31,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Least posterior probability at which a document's language is accepted.
 ACCEPT = 0.5
 
+#: Schemas of the tools that conversations may call.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+}
+
 #: The rules of the URL query, fixed values.
 URL_RULES = (
     ("org", "/", "allow"),
@@ -115,6 +122,11 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message's place, links, error and the digest of its canonical JSON."""
+    return digest_chats(format_chats(_table(spark, sf_dir, "conversations"), TOOLS))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_simhash": op2_simhash,
@@ -125,6 +137,7 @@ QUERIES = {
     "op7_token_count": op7_token_count,
     "op8_decontaminate": op8_decontaminate,
     "op9_fingerprint": op9_fingerprint,
+    "op10_chat_format": op10_chat_format,
     "pages_language_id": pages_language_id,
 }
 

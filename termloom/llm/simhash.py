@@ -254,3 +254,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, key: str =
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     component = scratch.save(rooted.join(least, "root").select("fp", "component_id"))
     return prints.join(component, "fp").select(key, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, budget: int = 2, key: str = "doc_id", text: str = "text", name: str = "keep-one") -> DataFrame:
+    """The rows of ``docs``, with all columns, of which one is kept for each component of near-duplicate fingerprints:
+    the row with the least key, once where it is repeated. Rows with a null key stay only where their component has no
+    other key, then one for each fingerprint.
+    """
+    found = near_duplicates(docs, width, budget, key, text, name)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key"), F.col("fp").alias("_kept")).distinct()
+
+    @F.pandas_udf("long")
+    def own(texts):
+        return texts.map(lambda t: int(_signed(np.array([fingerprint(t, width)], np.uint64))[0])).astype("int64")
+
+    columns = docs.columns
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_id"), own(text_of(text)).alias("_fp"))
+    one = rows.join(kept, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_fp") == F.col("_kept")), "left_semi").dropDuplicates(["_id", "_fp"])
+    return one.select(*[F.col("_row")[c].alias(c) for c in columns])
