@@ -77,7 +77,8 @@ def draw(walk: Column, step: Column, salt: int) -> Column:
     prime, exact in 64 bits, so walks are the same on any engine and after any retry."""
     x = F.pmod(walk * 48271 + step * 69621 + (salt * 16807 + 12345), F.lit(PRIME))
     for add, factor in ((40692, 62089911), (39373, 742938285), (48217, 1226874159), (16807, 630360016)):
-        x = F.pmod(F.pmod(x * x, F.lit(PRIME)) + F.pmod(x * factor, F.lit(PRIME)) + add, F.lit(PRIME))
+        # a one-element array names the number, so that the expression stays short
+        x = F.transform(F.array(x), lambda z: F.pmod(F.pmod(z * z, F.lit(PRIME)) + F.pmod(z * factor, F.lit(PRIME)) + add, F.lit(PRIME)))[0]
     return x
 
 
@@ -92,57 +93,53 @@ def monte_carlo(edges: DataFrame, walks: int, method: int, nodes: DataFrame | No
     node, likewise. Method 4: ``walks`` from every node, the share of visits, walks stopping at nodes without links.
     Method 5: as 4 from random nodes. In 1 and 2 a walk jumps anywhere from a node without links.
 
-    All walks take a step together: a join with the adjacency of their nodes. Walks end after ``steps`` at the latest,
-    which one in 10^7 would exceed.
+    All walks take a step together, one join with the table of links. Walks end after ``steps`` at the latest, which one
+    in 10^7 would exceed.
     """
     if method not in (1, 2, 4, 5):
         raise ValueError("method must be 1, 2, 4 or 5")
     spark = edges.sparkSession
     scratch = Scratch(spark, "walks")
     edges = clean(edges)
-
+    degree = edges.groupBy("src").agg(F.count("*").alias("outdeg"))
     ids = nodes_of(edges, nodes)
-    numbered = scratch.save(_number(ids, "id", "number"))
+    numbered = scratch.save(_number(ids.join(degree, ids["id"] == degree["src"], "left").select("id", F.coalesce("outdeg", F.lit(0)).alias("outdeg")), "id", "number"))
     n = numbered.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("score"))
+    # where a walk can go: by a node's place among its links, or by number from anywhere
     order = Window.partitionBy("src").orderBy("dst")
-    degree = edges.groupBy("src").agg(F.count("*").alias("outdeg"))
-    # one row a link, with its place among the source's links: a walk looks up (node, place)
-    place = scratch.save(edges.withColumn("place", F.row_number().over(order) - 1))
-    degree = scratch.save(degree)
+    links = edges.withColumn("place", (F.row_number().over(order) - 1).cast("long")).join(numbered, F.col("dst") == F.col("id"))
+    moves = links.select(F.lit(False).alias("jump"), F.col("src").alias("at"), "place", F.col("dst").alias("to"), F.col("outdeg").alias("to_outdeg"))
+    if method in (1, 2):
+        moves = moves.unionByName(numbered.select(F.lit(True).alias("jump"), F.lit(0).cast("long").alias("at"), F.col("number").alias("place"), F.col("id").alias("to"), F.col("outdeg").alias("to_outdeg")))
+    moves = scratch.save(moves)
     if method in (1, 5):
-        begun = spark.range(walks).select(F.col("id").alias("walk"), F.pmod(draw(F.col("id"), F.lit(0).cast("long"), 3), F.lit(n)).alias("number")).join(numbered, "number").select("walk", F.col("id").alias("node"))
+        begun = spark.range(walks).select(F.col("id").alias("walk"), F.pmod(draw(F.col("id"), F.lit(0).cast("long"), 3), F.lit(n)).alias("number")).join(numbered, "number")
     else:
-        begun = numbered.select((F.col("number") * walks).alias("base"), F.col("id").alias("node")).select((F.col("base") + F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).alias("walk"), "node")
-    now = scratch.save(begun)
-    counted = []
-    for step in range(1, steps + 1):
-        s = F.lit(step).cast("long")
-        drawn = now.withColumn("on", uniform(F.col("walk"), s, 1) > bored)
-        here = drawn.join(degree, drawn["node"] == degree["src"], "left").drop("src")
-        if method in (1, 2):
-            counted.append(scratch.save(drawn.where(~F.col("on")).groupBy("node").agg(F.count("*").alias("c"))))
-            going = here.where("on")
-        else:
-            counted.append(scratch.save(drawn.where("on").groupBy("node").agg(F.count("*").alias("c"))))
-            going = here.where("on and outdeg is not null")
-        pick = going.withColumn("pick", F.pmod(draw(F.col("walk"), s, 2), F.coalesce("outdeg", F.lit(n))))
-        along = pick.where("outdeg is not null").join(place, (pick["node"] == place["src"]) & (pick["pick"] == place["place"])).select("walk", F.col("dst").alias("node"))
-        if method in (1, 2):
-            jumps = pick.where("outdeg is null").join(numbered, pick["pick"] == numbered["number"]).select("walk", F.col("id").alias("node"))
-            along = along.unionByName(jumps)
-        new = scratch.save(along)
+        begun = numbered.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).withColumn("walk", F.col("number") * walks + F.col("u"))
+    path = F.array().cast("array<bigint>")
+    now = scratch.save(begun.select("walk", F.col("id").alias("node"), "outdeg", F.lit(True).alias("alive"), path.alias("path")))
+    ends = method in (1, 2)
+    for first in range(1, steps + 1, 4):  # four steps between two written states
+        new = now
+        for step in range(first, min(first + 4, steps + 1)):
+            s = F.lit(step).cast("long")
+            on = F.col("alive") & (uniform(F.col("walk"), s, 1) > bored)
+            if not ends:
+                new = new.withColumn("path", F.when(on, F.array_append("path", F.col("node"))).otherwise(F.col("path")))
+            goes = on if ends else on & (F.col("outdeg") > 0)
+            new = new.withColumn("alive", goes).withColumn("pick", F.pmod(draw(F.col("walk"), s, 2), F.when(F.col("outdeg") > 0, F.col("outdeg")).otherwise(F.lit(n))))
+            # walks at rest look for a place that no node has, each another one
+            new = new.withColumns({"jump": F.col("outdeg") == 0, "at": F.when(F.col("outdeg") == 0, 0).otherwise(F.col("node")), "place": F.when(F.col("alive"), F.col("pick")).otherwise(-1 - F.col("walk"))})
+            new = new.join(moves, ["jump", "at", "place"], "left").select("walk", F.coalesce("to", "node").alias("node"), F.coalesce("to_outdeg", "outdeg").alias("outdeg"), "alive", "path")
+        new = scratch.save(new)
         scratch.drop(now)
         now = new
-        if not now.limit(1).count():
+        if not now.where("alive").limit(1).count():
             break
-    if method in (1, 2):
-        counted.append(now.groupBy("node").agg(F.count("*").alias("c")))
-    total = counted[0]
-    for c in counted[1:]:
-        total = total.unionByName(c)
-    total = total.groupBy("node").agg(F.sum("c").alias("c"))
+    seen = now.select("node") if ends else now.select(F.explode("path").alias("node"))
+    total = seen.groupBy("node").agg(F.count("*").alias("c"))
     size = {1: float(walks), 2: float(walks * n)}.get(method) or float(total.agg(F.sum("c")).first()[0] or 1)
     return numbered.join(total, numbered["id"] == total["node"], "left").select("id", (F.coalesce("c", F.lit(0)) / size).alias("score"))
 

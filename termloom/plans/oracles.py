@@ -113,9 +113,9 @@ def _grams(word: str) -> list[str]:
 def _indel(a: str, b: str) -> str:
     """Insertions and deletions at 1, substitutions at 2, as a fold over letters."""
     return (
-        f"list_reduce(list_transform(range(1, length({a}) + 1), i -> [i]), "
-        f"(old, xi) -> list_reduce(list_transform(range(1, length({b}) + 1), j -> [j]), "
-        f"(new, yj) -> list_append(new, least(new[-1] + 1, old[yj[1] + 1] + 1, old[yj[1]] + CASE WHEN substr({a}, CAST(xi[1] AS INTEGER), 1) = substr({b}, CAST(yj[1] AS INTEGER), 1) THEN 0 ELSE 2 END)), "
+        f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [i]), "
+        f"lambda old, xi: list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j]), "
+        f"lambda new, yj: list_append(new, least(new[-1] + 1, old[yj[1] + 1] + 1, old[yj[1]] + CASE WHEN substr({a}, CAST(xi[1] AS INTEGER), 1) = substr({b}, CAST(yj[1] AS INTEGER), 1) THEN 0 ELSE 2 END)), "
         f"[old[1] + 1]), range(0, length({b}) + 1))[-1]"
     )
 
@@ -159,7 +159,7 @@ def _macro() -> str:
     x = "x0"
     expr = x
     for add, factor in ((40692, 62089911), (39373, 742938285), (48217, 1226874159), (16807, 630360016)):
-        expr = f"list_transform([{expr}], z -> ((z * z) % {PRIME} + (z * {factor}) % {PRIME} + {add}) % {PRIME})[1]"
+        expr = f"list_transform([{expr}], lambda z: ((z * z) % {PRIME} + (z * {factor}) % {PRIME} + {add}) % {PRIME})[1]"
     return expr
 
 
@@ -250,7 +250,7 @@ ORACLES = {
     "mc_error": None,
     "hits_base_set": f"WITH {ROOT}, {BASE.replace('{r}', 'root')} SELECT id FROM ids",
     "hits_global": f"WITH {_hits(ORDERS, 5)} SELECT id, round(hub, 9) AS hub, round(authority, 9) AS authority FROM ht",
-    "hits_top30": f"WITH {_hits(ORDERS, 5)} SELECT id, printf('%.5g', round(authority, 9)) AS shown, round(authority, 9) AS score FROM ht ORDER BY round(authority, 12) DESC, id LIMIT 30",
+    "hits_top30": f"WITH {_hits(ORDERS, 5)} SELECT id, round(authority, 9) AS score FROM ht ORDER BY round(authority, 12) DESC, id LIMIT 30",
     "doc_fetch": "SELECT doc_id, text FROM documents WHERE doc_id = 42",
     "result_format": f"WITH {_scored(RANKED)}, {_page(1, 10)} SELECT rank, printf('%d. %s   %.5f', rank, pg.doc_id || '.txt', score) AS line FROM pg",
     "short_texts": "SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS short FROM documents",

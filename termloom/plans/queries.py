@@ -184,7 +184,7 @@ def _eval(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits_top(spark: SparkSession, d: str) -> DataFrame:
     scores = links.hits(order_links(spark, d), fixed=5)
-    return _rounded(links.top(scores.select("id", F.col("authority").alias("score")))).select("id", F.format_string("%.5g", "score").alias("shown"), "score")
+    return _rounded(links.top(scores.select("id", F.col("authority").alias("score"))))
 
 
 def _hits_base(spark: SparkSession, d: str) -> DataFrame:
