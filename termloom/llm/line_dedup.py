@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,11 +35,18 @@ def line_hash(normalised: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def shingles(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
 def likeness(a: str, b: str) -> float:
     """Exact Jaccard likeness of the sets of character shingles; a shorter line is one shingle."""
-    sets = [{x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))} for x in (a, b)]
-    both = len(sets[0] & sets[1])
-    return both / (len(sets[0]) + len(sets[1]) - both)
+    return _likeness(shingles(a), shingles(b))
+
+
+def _likeness(a: set[str], b: set[str]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -161,17 +168,37 @@ def _wanted_lines(words: dict, out: str):
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decides pairs; pairs of one ``b`` come together, so its shingles are kept."""
+    last, known = None, set()
     for batch in batches:
-        alike = [likeness(a.as_py(), b.as_py()) >= LIKENESS for a, b in zip(batch.column("na"), batch.column("nb"), strict=True)]
+        alike = []
+        for a, b in zip(batch.column("na"), batch.column("nb"), strict=True):
+            a, b = a.as_py(), b.as_py()
+            if b != last:
+                last, known = b, shingles(b)
+            alike.append(_likeness(shingles(a), known) >= LIKENESS)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
 
 
+def _line_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, size, out = [], [], []
+        for i, text in enumerate(batch.column("normal")):
+            own = {xxhash.xxh3_64_intdigest(x) for x in shingles(text.as_py())}
+            at += [i] * len(own)
+            size += [len(own)] * len(own)
+            out += own
+        at = pa.array(at, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("line").take(at), batch.column("c").take(at), pa.array(size, pa.int32()), pa.array(np.array(out, np.uint64).view(np.int64))], ["line", "c", "size", "shingle"])
+
+
 def line_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """``(node, root)`` of lines, by hash, that hang together over links of likeness LIKENESS or more.
 
-    Every pair that shares a band is decided: first each line of a band with the band's leader; then, in the bands
-    whose lines are not yet in one component, every pair of lines of different components. Pairs already known to hang
-    together are not made, so a band with thousands of variants of one line costs about one comparison each.
+    Every pair that shares a band is decided: first each line of a band with the band's leader; then, among the lines
+    of bands that are not yet in one component, every pair of different components that can be alike at all, found by
+    their rarest shingles. Pairs already known to hang together are not made, so a band with thousands of variants of
+    one line costs about one comparison each.
     """
     spark = docs.sparkSession
     texts = docs.select(text_of(text).alias("_text"))
@@ -204,11 +231,19 @@ def line_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> Da
     members = buckets.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("line", "leader")).alias("line")).distinct()
     members = members.join(roots, members["line"] == roots["node"], "left").select("key", "line", F.coalesce("root", "line").alias("c"))
     several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi and n > 2").select("key")
-    members = scratch.save(members.join(several, "key", "left_semi"))
-    left = members.select("key", F.col("line").alias("a"), F.col("c").alias("ca"))
-    right = members.select("key", F.col("line").alias("b"), F.col("c").alias("cb"))
+    unsettled = members.join(several, "key", "left_semi").select("line", "c").distinct()
+    # A pair of likeness t shares one of the (1 - t) x size + 1 rarest shingles of either line: an exact filter that
+    # passes over passages which many lines share.
+    own = scratch.save(unsettled.join(normals, "line").select("line", "c", "normal").mapInArrow(_line_shingles, "line long, c long, size int, shingle long"))
+    df = own.groupBy("shingle").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("line").orderBy("df", "shingle"))  # a window is one line's shingles
+    prefix = own.join(df, "shingle").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * LIKENESS - 1e-9) + 1).where("df > 1")
+    prefix = scratch.save(prefix.select("line", "c", "size", "shingle"))
+    left = prefix.select("shingle", F.col("line").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
+    right = prefix.select("shingle", F.col("line").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"))
     # the row with the smaller component comes first, so each pair is made once
-    rest = left.join(right, "key").where("ca < cb").select("a", "b").distinct()
+    sizes = (F.col("sa") >= LIKENESS * F.col("sb")) & (F.col("sb") >= LIKENESS * F.col("sa"))
+    rest = left.join(right, "shingle").where("ca < cb").where(sizes).select("a", "b").distinct()
     tested = decided.select("a", "b").unionByName(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = decide(rest.join(tested, ["a", "b"], "left_anti"))
     if more.where("alike").limit(1).count():
@@ -266,9 +301,9 @@ def _clean(out: StructType, text: str):
                 one = value.as_py()
                 gone = {(d["at"], d["line"]) for d in drops.as_py() or ()}
                 lines = [] if one is None else one.split("\n")
-                normals = [normal(x) for x in lines]
-                keep = [not (gone and n and (i, line_hash(n)) in gone) for i, n in enumerate(normals)]
-                sizes.append(sum(map(bool, normals)))
+                places = {at for at, _ in gone}
+                keep = [not (i in places and (n := normal(x)) and (i, line_hash(n)) in gone) for i, x in enumerate(lines)]
+                sizes.append(sum(not x.isspace() for x in lines if x))
                 dropped.append(len(keep) - sum(keep))
                 texts.append(one if one is None or all(keep) else "\n".join(x for x, k in zip(lines, keep, strict=True) if k))
             columns[at_text] = pa.array(texts, pa.string())
