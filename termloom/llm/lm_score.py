@@ -81,28 +81,35 @@ class Net:
             z = z + self.slots[s][context[s]]
         return np.tanh(z + self.bias)
 
-    def log_p(self, context: np.ndarray) -> np.ndarray:
-        """Log probability of every class, positions x CLASSES; ``context``: slots x positions."""
-        z = self.hidden(context) @ self.out + self.out_bias
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    def scores(self, hidden: np.ndarray) -> np.ndarray:
+        """Unnormalised log probabilities, classes x positions: sums over classes then run along rows."""
+        z = self.out.T @ hidden.T
+        z += self.out_bias[:, None]
+        z -= z.max(axis=0)
+        return z
+
+    def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probability of each position's class; ``context``: slots x positions."""
+        z = self.scores(self.hidden(context))
+        own = z[target, np.arange(len(target))]
+        return own - np.log(np.exp(z, out=z).sum(axis=0))
 
     def step(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray]) -> None:
         """One step of gradient descent with per-parameter rates."""
         h = self.hidden(context)
-        z = h @ self.out + self.out_bias
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
+        p = self.scores(h)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
+        p[target, np.arange(len(target))] -= 1
         p /= len(target)
-        dh = (p @ self.out.T) * (1 - h * h)
+        dh = (p.T @ self.out.T) * (1 - h * h)
         g_slots = np.empty_like(self.slots)
-        column = np.arange(HIDDEN)
         for s in range(2 * SIDE):
-            at = (context[s][:, None] * HIDDEN + column).ravel()
-            g_slots[s] = np.bincount(at, dh.ravel(), (CLASSES + 1) * HIDDEN).reshape(CLASSES + 1, HIDDEN)
-        for part, g, m in zip(self.parts, (g_slots, dh.sum(axis=0), h.T @ p, p.sum(axis=0)), memory, strict=True):
+            # a class's gradient is the sum over its positions: a product with the indicator of the class
+            there = np.zeros((CLASSES + 1, len(target)), np.float32)
+            there[context[s], np.arange(len(target))] = 1
+            g_slots[s] = there @ dh
+        for part, g, m in zip(self.parts, (g_slots, dh.sum(axis=0), (p @ h).T, p.sum(axis=1)), memory, strict=True):
             m += g * g
             part -= (_RATE * g / np.sqrt(m + 1e-8)).astype(np.float32)
 
@@ -131,7 +138,7 @@ class Scorer:
         def flush() -> None:
             sizes = [len(i) for _, i in pending]
             context, target = windows([self.class_of[i] for _, i in pending])
-            log_p = self.net.log_p(context)[np.arange(len(target)), target] + self.share[np.concatenate([i for _, i in pending])]
+            log_p = self.net.log_p(context, target) + self.share[np.concatenate([i for _, i in pending])]
             out[[n for n, _ in pending]] = np.add.reduceat(log_p, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
             pending.clear()
 
@@ -157,7 +164,7 @@ class Scorer:
         for start in range(0, len(ids), _SCORE):
             at = np.arange(start, min(len(ids), start + _SCORE)) + SIDE
             context = np.stack([line[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
-            total += float(self.net.log_p(context)[np.arange(len(at)), line[at]].sum(dtype=np.float64) + self.share[ids[start : start + _SCORE]].sum())
+            total += float(self.net.log_p(context, line[at]).sum(dtype=np.float64) + self.share[ids[start : start + _SCORE]].sum())
         return total
 
 
