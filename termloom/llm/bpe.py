@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from functools import lru_cache
 
-import regex
-
 
 @lru_cache(1)
 def byte_letters() -> tuple[str, ...]:
@@ -101,7 +98,7 @@ class Vocabulary:
         #: the symbol of each byte, inside a word and at its end
         self.inner = [self.ids[x] for x in byte_letters()]
         self.last = [self.ids[x + self.suffix] for x in byte_letters()]
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def encode(self, word: str) -> list[int]:
         """The ids of one pre-token: its UTF-8 bytes, the last with the end-of-word mark, merged."""
@@ -124,31 +121,32 @@ WORD_PATTERN = r"[{L}]+|'(?:s|t|re|ve|m|ll|d)|[{N}]|[^{S}{L}{N}]+"
 #: Pre-tokens of the byte-level vocabulary, fixed pattern.
 BYTE_PATTERN = r" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 
-#: White_Space, letters and numbers up to U+017F, fixed values; with them the plain regular expressions do.
+#: White space, letters and numbers up to U+017F, fixed values.
 _LOW = {"S": r"\t-\r \x85\xa0", "L": r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "N": r"0-9\xb2\xb3\xb9\xbc-\xbe"}
-_ALL = {"S": r"\t-\r \x85\xa0  -     　", "L": r"\p{L}", "N": r"\p{N}"}
-
 
-def _fill(pattern: str, classes: dict[str, str]) -> str:
-    for name, value in classes.items():
-        pattern = pattern.replace("{" + name + "}", value)
-    return pattern
 
+class Cutter:
+    """Normalises and cuts a text into pre-tokens.
 
-class Splitter:
-    """Cuts a text into pre-tokens. Texts up to U+017F (and U+2010 to U+2027) take a faster, equal pattern."""
+    Texts up to U+017F (and U+2010 to U+2027) are in normal form as they are and take a plain pattern. Others go through
+    the library's own normaliser and pre-tokenizer, whose Unicode tables are not Python's; merging is done here alike.
+    """
 
-    def __init__(self, pattern: str) -> None:
+    def __init__(self, spec: str, pattern: str, lower: bool) -> None:
+        for name, letters in _LOW.items():
+            pattern = pattern.replace("{" + name + "}", letters)
+        self._find, self._lower = re.compile(pattern).findall, lower
         self._high = re.compile("[^\x00-ſ‐-‧]").search
-        self._fast = re.compile(_fill(pattern, _LOW)).findall
-        self._full = regex.compile(_fill(pattern, _ALL)).findall
+        self._spec, self._library = spec, None
 
     def __call__(self, text: str) -> list[str]:
-        return self._fast(text) if text.isascii() or not self._high(text) else self._full(text)
-
-
-def normalise_word(text: str) -> str:
-    """NFC, then lower case letter by letter (a capital sigma is always a plain small one)."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
+        if text.isascii() or not self._high(text):
+            return self._find(text.lower() if self._lower else text)
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self._spec)
+        if self._library.normalizer is not None:
+            text = self._library.normalizer.normalize_str(text)
+        back = letter_bytes()
+        return [bytes(back[c] for c in letters).decode() for letters, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]

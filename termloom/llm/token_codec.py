@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import WORD_PATTERN, Splitter, Vocabulary, letter_bytes, normalise_word
+from .bpe import WORD_PATTERN, Cutter, Vocabulary
 from .rows import map_columns, text_of
 
-#: Code points that the tokenizer library and Python put into different Unicode classes (their Unicode versions
-#: differ). Texts with one of them are cut by the library's own normaliser and pre-tokenizer. Fixed values.
-_DISPUTED = re.compile(
-    "[՘֋-֌࢏౜೜Ᲊ₏₝-₟Ɤ-꟏꟒꟔ꟚꟜ-꟝꟢꟱꭬-꭭"
-    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010d50-\U00010d65\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1"
-    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00019191"
-    "\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001dfff\U0001e6c0-\U0001e6ff"
-    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
-).search
-
 #: Words whose ids a worker keeps, in two generations: bounded memory, and frequent words survive.
 _KEPT = 300_000
 
@@ -30,8 +19,7 @@ class Codec:
 
     def __init__(self, spec: str) -> None:
         self.vocabulary = Vocabulary(spec)
-        self._spec, self._library = spec, None
-        self._split = Splitter(WORD_PATTERN)
+        self._words = Cutter(spec, WORD_PATTERN, lower=True)
         self._young: dict[str, str] = {}
         self._old: dict[str, str] = {}
         #: token string by decimal id: what decoding joins with blanks, as the file names no decoder
@@ -46,17 +34,6 @@ class Codec:
         self._young[word] = found
         return found
 
-    def _words(self, piece: str) -> list[str]:
-        if piece.isascii() or not _DISPUTED(piece):
-            return self._split(normalise_word(piece))
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_str(self._spec)
-        back = letter_bytes()
-        cut = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(piece))
-        return [bytes(back[c] for c in letters).decode() for letters, _ in cut]
-
     def encode(self, text: str) -> str:
         """The decimal ids, joined by one blank."""
         parts: list[str] = []

@@ -5,20 +5,20 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import BYTE_PATTERN, Splitter, Vocabulary, letter_bytes
+from .bpe import BYTE_PATTERN, Cutter, Vocabulary, letter_bytes
 from .rows import map_columns, text_of
 
 #: Merged pre-tokens whose counts a worker keeps, in two generations.
 _KEPT = 400_000
 
 
-def whole_tokens(vocabulary: Vocabulary) -> list[str]:
+def whole_tokens(vocabulary: Vocabulary, split: Cutter) -> list[str]:
     """The vocabulary strings that, as a text of their own, are one pre-token and encode as exactly their own id.
 
     This is the offline proof: every string is really cut and merged. A pre-token's ids depend on nothing but its
     string, so wherever a proven string occurs as a pre-token, it is one token.
     """
-    back, split = letter_bytes(), Splitter(BYTE_PATTERN)
+    back = letter_bytes()
     out = []
     for letters, i in vocabulary.ids.items():
         if letters in vocabulary.special or any(c not in back for c in letters):
@@ -55,7 +55,7 @@ class Counter:
     def __init__(self, spec: str, proven: list[str]) -> None:
         self.vocabulary = Vocabulary(spec)
         self._counts = Counts(self.vocabulary, proven)
-        self._split = Splitter(BYTE_PATTERN)
+        self._split = Cutter(spec, BYTE_PATTERN, lower=False)
 
     def count(self, text: str) -> int:
         total = 0
@@ -86,7 +86,7 @@ def count_tokens(docs: DataFrame, vocabulary_file: str, limit: int = 1024, keys:
     context = docs.sparkSession.sparkContext
     with open(vocabulary_file, encoding="utf-8") as f:
         spec = f.read()
-    shared = context.broadcast((spec, whole_tokens(Vocabulary(spec))))
+    shared = context.broadcast((spec, whole_tokens(Vocabulary(spec), Cutter(spec, BYTE_PATTERN, lower=False))))
 
     def make(texts: pa.Array) -> dict[str, list]:
         counter = _counter(*shared.value)
