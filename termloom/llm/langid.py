@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .rows import text_of
 from .scratch import Scratch
 
 BUCKETS = 1 << 14
@@ -101,8 +100,9 @@ def _declared_code(declared: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(declared), r"^([A-Za-z]+)", 1))
 
 
-def _score(model: Broadcast, kept: list[str], out: StructType, with_prior: bool):
-    """Adds language, confidence and vote to a batch's rows."""
+def _score(model: Broadcast, kept: list[str], out: StructType, with_prior: bool, text: str = ""):
+    """Adds language and confidence to a batch's rows. The text is the column ``_text`` or, so that it is not moved
+    twice, the field ``text`` of the caller's row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -114,11 +114,12 @@ def _score(model: Broadcast, kept: list[str], out: StructType, with_prior: bool)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts, declared = batch.column("_text"), batch.column("_declared")
+            texts = batch.column("_row").field(text) if "_row" in kept else batch.column("_text")
+            declared = batch.column("_declared")
             priors = batch.column("_prior") if with_prior else [None] * batch.num_rows
             found: list[tuple] = []
             for value, said, prior in zip(texts, declared, priors, strict=True):
-                seen = model.value.evidence(value.as_py()) if languages else None
+                seen = model.value.evidence(value.as_py() or "") if languages else None
                 if seen is None:
                     found.append((None, 0.0))
                     continue
@@ -169,9 +170,10 @@ def identify(
     shared = spark.sparkContext.broadcast(model)
     n = len(model.languages)
     # the caller's columns travel in one struct, so that none of their names can clash with those used here
-    base = docs.select(F.struct("*").alias("_row"), text_of(text).alias("_text"), F.coalesce(host, F.lit("")).alias("_host"), _declared_code(declared).alias("_declared"))
+    base = docs.select(F.struct("*").alias("_row"), F.coalesce(host, F.lit("")).alias("_host"), _declared_code(declared).alias("_declared"))
+    text_of_row = F.coalesce(F.col("_row")[text], F.lit(""))
     vote_type = StructType().add("_host", "string").add("_language", "string").add("_confidence", "double")
-    votes = base.drop("_row").mapInArrow(_score(shared, ["_host"], vote_type, False), vote_type)
+    votes = base.select("_host", "_declared", text_of_row.alias("_text")).mapInArrow(_score(shared, ["_host"], vote_type, False), vote_type)
     sums = [F.count(F.when(F.col("_language") == name, 1)).cast("double").alias(f"n{i}") for i, name in enumerate(model.languages)]
     scratch = Scratch(spark, name)
     if n:
@@ -187,4 +189,4 @@ def identify(
         prior = hosts.join(suffix, "_suffix").select("_host", F.array(*names, *[f"b{i}" for i in range(n)]).alias("_prior"))
         base = base.join(scratch.save(prior), "_host", "left")
     out = StructType([*docs.schema.fields]).add("_language", "string").add("_confidence", "double")
-    return base.mapInArrow(_score(shared, ["_row"], out, bool(n)), out)
+    return base.mapInArrow(_score(shared, ["_row"], out, bool(n), text), out)
