@@ -23,6 +23,7 @@ _MULTIPLY = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _BLOCK = 1 << 19  # characters signed at once
 _BLOOM_BITS = 27
+SMALL = 32  # lines of a band whose pairs are simply made
 
 
 def normal(line: str) -> str:
@@ -196,8 +197,8 @@ def line_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> Da
     """``(node, root)`` of lines, by hash, that hang together over links of likeness LIKENESS or more.
 
     Every pair that shares a band is decided: first each line of a band with the band's leader; then, among the lines
-    of bands that are not yet in one component, every pair of different components that can be alike at all, found by
-    their rarest shingles. Pairs already known to hang together are not made, so a band with thousands of variants of
+    of bands that are not yet in one component, every pair of different components: in small bands directly, in large
+    ones those that can be alike at all, found by their rarest shingles. Pairs already known to hang together are not made, so a band with thousands of variants of
     one line costs about one comparison each.
     """
     spark = docs.sparkSession
@@ -230,8 +231,12 @@ def line_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> Da
     open_keys = buckets.join(failed, ["line", "leader"], "left_semi").select("key").distinct()
     members = buckets.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("line", "leader")).alias("line")).distinct()
     members = members.join(roots, members["line"] == roots["node"], "left").select("key", "line", F.coalesce("root", "line").alias("c"))
-    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi and n > 2").select("key")
-    unsettled = members.join(several, "key", "left_semi").select("line", "c").distinct()
+    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi and n > 2").select("key", "n")
+    members = scratch.save(members.join(several, "key"))
+    # small bands: their pairs, a bounded number each; the row with the smaller component comes first
+    few = members.where(F.col("n") <= SMALL)
+    direct = few.select("key", F.col("line").alias("a"), F.col("c").alias("ca")).join(few.select("key", F.col("line").alias("b"), F.col("c").alias("cb")), "key").where("ca < cb").select("a", "b")
+    unsettled = members.where(F.col("n") > SMALL).select("line", "c").distinct()
     # A pair of likeness t shares one of the (1 - t) x size + 1 rarest shingles of either line: an exact filter that
     # passes over passages which many lines share.
     own = scratch.save(unsettled.join(normals, "line").select("line", "c", "normal").mapInArrow(_line_shingles, "line long, c long, size int, shingle long"))
@@ -241,9 +246,8 @@ def line_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> Da
     prefix = scratch.save(prefix.select("line", "c", "size", "shingle"))
     left = prefix.select("shingle", F.col("line").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
     right = prefix.select("shingle", F.col("line").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"))
-    # the row with the smaller component comes first, so each pair is made once
     sizes = (F.col("sa") >= LIKENESS * F.col("sb")) & (F.col("sb") >= LIKENESS * F.col("sa"))
-    rest = left.join(right, "shingle").where("ca < cb").where(sizes).select("a", "b").distinct()
+    rest = left.join(right, "shingle").where("ca < cb").where(sizes).select("a", "b").unionByName(direct).distinct()
     tested = decided.select("a", "b").unionByName(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = decide(rest.join(tested, ["a", "b"], "left_anti"))
     if more.where("alike").limit(1).count():
