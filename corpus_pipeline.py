@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word SimHashes hang together within two bits (62 of 64 alike)."""
+    """One document of each group whose five-word shingles are alike by 0.8 or more, proposed by SimHashes within two bits."""
     return keep_one(docs.select(*COLUMNS), name="stage-simhash")
 
 

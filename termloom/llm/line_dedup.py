@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .graph import connected_components
 from .rows import text_of
 from .scratch import Scratch
+from .settle import settle
 
 SHINGLE = 8  # characters
 LIKENESS = 0.8
@@ -23,7 +23,6 @@ _MULTIPLY = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _BLOCK = 1 << 19  # characters signed at once
 _BLOOM_BITS = 27
-SMALL = 32  # lines of a band whose pairs are simply made
 
 
 def normal(line: str) -> str:
@@ -173,7 +172,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, known = None, set()
     for batch in batches:
         alike = []
-        for a, b in zip(batch.column("na"), batch.column("nb"), strict=True):
+        for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True):
             a, b = a.as_py(), b.as_py()
             if b != last:
                 last, known = b, shingles(b)
@@ -184,22 +183,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _line_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, size, out = [], [], []
-        for i, text in enumerate(batch.column("normal")):
+        for i, text in enumerate(batch.column("text")):
             own = {xxhash.xxh3_64_intdigest(x) for x in shingles(text.as_py())}
             at += [i] * len(own)
             size += [len(own)] * len(own)
             out += own
         at = pa.array(at, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("line").take(at), batch.column("c").take(at), pa.array(size, pa.int32()), pa.array(np.array(out, np.uint64).view(np.int64))], ["line", "c", "size", "shingle"])
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("c").take(at), pa.array(size, pa.int32()), pa.array(np.array(out, np.uint64).view(np.int64))], ["node", "c", "size", "shingle"])
 
 
 def line_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """``(node, root)`` of lines, by hash, that hang together over links of likeness LIKENESS or more.
 
-    Every pair that shares a band is decided: first each line of a band with the band's leader; then, among the lines
-    of bands that are not yet in one component, every pair of different components: in small bands directly, in large
-    ones those that can be alike at all, found by their rarest shingles. Pairs already known to hang together are not made, so a band with thousands of variants of
-    one line costs about one comparison each.
+    Every pair that shares a band is decided, see ``settle``.
     """
     spark = docs.sparkSession
     texts = docs.select(text_of(text).alias("_text"))
@@ -216,43 +212,10 @@ def line_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> Da
     table[set_words["w"].to_numpy(np.int64)] = set_words["b"].to_numpy(np.int64).astype(np.uint32)
     bits = spark.sparkContext.broadcast(table)
     found = texts.mapInArrow(_wanted_lines(bits, "line"), "line long, normal string")
-    normals = scratch.save(found.join(nodes, "line", "left_semi").dropDuplicates(["line"]))
-
-    def decide(pairs: DataFrame) -> DataFrame:
-        a = normals.select(F.col("line").alias("a"), F.col("normal").alias("na"))
-        b = normals.select(F.col("line").alias("b"), F.col("normal").alias("nb"))
-        return scratch.save(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb").mapInArrow(_verify, "a long, b long, alike boolean"))
-
-    pairs = buckets.select(F.col("line").alias("a"), F.col("leader").alias("b")).distinct()
-    decided = decide(pairs)
-    roots = scratch.save(connected_components(decided.where("alike").select("a", "b"), scratch))
-    # bands whose lines are still in several components
-    failed = decided.where("not alike").select(F.col("a").alias("line"), F.col("b").alias("leader"))
-    open_keys = buckets.join(failed, ["line", "leader"], "left_semi").select("key").distinct()
-    members = buckets.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("line", "leader")).alias("line")).distinct()
-    members = members.join(roots, members["line"] == roots["node"], "left").select("key", "line", F.coalesce("root", "line").alias("c"))
-    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi and n > 2").select("key", "n")
-    members = scratch.save(members.join(several, "key"))
-    # small bands: their pairs, a bounded number each; the row with the smaller component comes first
-    few = members.where(F.col("n") <= SMALL)
-    direct = few.select("key", F.col("line").alias("a"), F.col("c").alias("ca")).join(few.select("key", F.col("line").alias("b"), F.col("c").alias("cb")), "key").where("ca < cb").select("a", "b")
-    unsettled = members.where(F.col("n") > SMALL).select("line", "c").distinct()
-    # A pair of likeness t shares one of the (1 - t) x size + 1 rarest shingles of either line: an exact filter that
-    # passes over passages which many lines share.
-    own = scratch.save(unsettled.join(normals, "line").select("line", "c", "normal").mapInArrow(_line_shingles, "line long, c long, size int, shingle long"))
-    df = own.groupBy("shingle").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("line").orderBy("df", "shingle"))  # a window is one line's shingles
-    prefix = own.join(df, "shingle").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * LIKENESS - 1e-9) + 1).where("df > 1")
-    prefix = scratch.save(prefix.select("line", "c", "size", "shingle"))
-    left = prefix.select("shingle", F.col("line").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
-    right = prefix.select("shingle", F.col("line").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"))
-    sizes = (F.col("sa") >= LIKENESS * F.col("sb")) & (F.col("sb") >= LIKENESS * F.col("sa"))
-    rest = left.join(right, "shingle").where("ca < cb").where(sizes).select("a", "b").unionByName(direct).distinct()
-    tested = decided.select("a", "b").unionByName(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = decide(rest.join(tested, ["a", "b"], "left_anti"))
-    if more.where("alike").limit(1).count():
-        roots = scratch.save(connected_components(decided.unionByName(more).where("alike").select("a", "b"), scratch))
-    return roots
+    normals = scratch.save(found.join(nodes, "line", "left_semi").dropDuplicates(["line"]).toDF("node", "text"))
+
+    groups = buckets.withColumnRenamed("line", "node")
+    return settle(groups, normals, _verify, _line_shingles, LIKENESS, scratch)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "lines") -> DataFrame:

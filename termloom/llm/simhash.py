@@ -14,31 +14,39 @@ from pyspark.sql import functions as F
 from .graph import connected_components
 from .rows import map_columns, text_of
 from .scratch import Scratch
+from .settle import settle
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_CHUNK = 1 << 16  # shingles hashed at once
+_CHUNK = 1 << 16  # hashes unpacked at once
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """The 64-bit SimHash: bit b is 1 if it is set in over half of the shingles' XXH64 (seed 42), repeats included.
+def _words(text: str) -> list[str]:
+    return _WORDS(text.lower() if text.isascii() else text.translate(_LOWER))
+
+
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle in order: ``width`` words joined by blanks, all words where there are fewer."""
+    words = _words(text)
+    width = max(1, min(width, len(words)))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, 42) for s in map(" ".join, zip(*(words[i:] for i in range(width)), strict=False))), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash: bit b is 1 if it is set in over half of the hashes."""
+    total = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), _CHUNK):
+        part = hashes[start : start + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
-    A-Z is lower-cased; words are split at blanks and the control characters 9 to 13; shingles are ``width`` words
-    joined by blanks, or all words where there are fewer; a text without words has fingerprint zero.
+
+def fingerprint(text: str, width: int = 3) -> int:
+    """The SimHash of all shingles, repeats included: A-Z is lower-cased; words are split at blanks and the control
+    characters 9 to 13; a text without words has fingerprint zero.
     """
-    words = _WORDS((text.lower() if text.isascii() else text.translate(_LOWER)))
-    if not words:
-        return 0
-    if len(words) < width:
-        words = [" ".join(words)]
-        width = 1
-    digest, total, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - width + 1
-    for start in range(0, n, _CHUNK):
-        part = words[start : min(n, start + _CHUNK) + width - 1]
-        shingles = map(" ".join, zip(*(part[i:] for i in range(width)), strict=False))
-        hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
-        total += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return majority(shingle_hashes(text, width))
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -256,19 +264,122 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, key: str =
     return prints.join(component, "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, budget: int = 2, key: str = "doc_id", text: str = "text", name: str = "keep-one") -> DataFrame:
-    """The rows of ``docs``, with all columns, of which one is kept for each component of near-duplicate fingerprints:
-    the row with the least key, once where it is repeated. Rows with a null key stay only where their component has no
-    other key, then one for each fingerprint.
+#: Samples of SAMPLED shingles each that stand for a text: a pair of likeness 0.8 shares none with probability 0.3 %.
+SAMPLES, SAMPLED = 8, 3
+LIKENESS = 0.8
+_rng = np.random.default_rng(31)
+_MULTIPLY = _rng.integers(0, 2**64, SAMPLES, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def sample_prints(hashes: np.ndarray) -> np.ndarray:
+    """SimHashes of SAMPLES min-wise samples of a set of shingle hashes: each of the SAMPLED that come first in an order
+    of its own. A pair of texts takes the same sample with about the third power of its likeness."""
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    out = np.empty(SAMPLES, np.uint64)
+    n = min(SAMPLED, len(hashes))
+    for i, m in enumerate(_MULTIPLY):
+        order = hashes * m
+        order ^= order >> np.uint64(32)
+        order *= np.uint64(0x9E3779B97F4A7C15)
+        if n < len(order):
+            order = np.argpartition(order, n - 1)[:n]
+        else:
+            order = np.argsort(order)
+        a, b, c = (hashes[order[k % n]] for k in range(SAMPLED))
+        out[i] = (a & b) | (a & c) | (b & c)
+    return out
+
+
+def _identity(text: str) -> int:
+    h = xxhash.xxh3_64_intdigest(" ".join(_words(text)))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _verify(width: int):
+    """Decides pairs by the exact likeness; pairs of one ``b`` come together, so its shingles are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            alike = []
+            for node, a, b in zip(batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
+                if node != last:
+                    last, known = node, shingle_set(b.as_py(), width)
+                own = shingle_set(a.as_py(), width)
+                both = len(np.intersect1d(own, known, assume_unique=True))
+                alike.append(both >= LIKENESS * (len(own) + len(known) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
+
+    return run
+
+
+def _expand(width: int):
+    """A row for each distinct shingle, one text at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, c, text in zip(batch.column("node"), batch.column("c"), batch.column("text"), strict=True):
+                own = shingle_set(text.as_py(), width)
+                at = pa.array(np.zeros(len(own), np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node.as_py()], pa.int64()).take(at), pa.array([c.as_py()], pa.int64()).take(at), pa.array(np.full(len(own), len(own), np.int32)), pa.array(_signed(own))],
+                    ["node", "c", "size", "shingle"],
+                )
+
+    return run
+
+
+def keep_one(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text", name: str = "keep-one") -> DataFrame:
+    """The rows of ``docs``, with all columns, of which one is kept for each group of near-duplicates: the row with the
+    least key, once where it is repeated. Rows with a null key stay only where their group has no other key, then one.
+
+    Texts are linked where their sets of ``width``-word shingles have a Jaccard likeness of LIKENESS or more. A text is
+    given by several SimHashes, of all its shingles and of min-wise samples of them; those that differ in at most two
+    bits propose (the trie's self-join), and the exact likeness decides, so that no text goes for a chance match or a
+    shared passage. One whole-text SimHash would not do: texts of likeness 0.8 differ in ten bits on average, and ten
+    bits do not prune a trie.
+
+    Texts of the same words are one node, so copies are not compared; nodes are known by a 64-bit hash. Texts without
+    words (null and empty ones too) are copies of each other. An empty table stays empty. Counts reach the driver only.
     """
-    found = near_duplicates(docs, width, budget, key, text, name)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key"), F.col("fp").alias("_kept")).distinct()
+    scratch = Scratch(docs.sparkSession, name)
 
-    @F.pandas_udf("long")
-    def own(texts):
-        return texts.map(lambda t: int(_signed(np.array([fingerprint(t, width)], np.uint64))[0])).astype("int64")
+    def make(texts: pa.Array) -> dict[str, list]:
+        nodes, prints = [], []
+        for t in texts:
+            one = t.as_py()
+            nodes.append(_identity(one))
+            hashes = shingle_hashes(one, width)
+            found = np.append(sample_prints(np.unique(hashes)), np.uint64(majority(hashes)))
+            prints.append(_signed(np.unique(found)))
+        return {"node": nodes, "prints": pa.array(prints, pa.list_(pa.int64()))}
+
+    known = scratch.save(map_columns(docs, [key], text_of(text), make, "node long, prints array<long>"))
+    nodes = scratch.save(known.groupBy("node").agg(F.min(key).alias("least"), F.first("prints").alias("prints")))
+    prints = scratch.save(nodes.select("node", F.explode("prints").alias("fp")))
+    roots = connected_components(near_pairs(prints.select("fp").distinct(), scratch), scratch)
+    rooted = prints.join(roots.withColumnRenamed("node", "_fp"), F.col("fp") == F.col("_fp"), "left")
+    keyed = rooted.select(F.coalesce("root", "fp").alias("key"), "node").distinct()
+    leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = scratch.save(keyed.join(leaders, "key").where("node <> leader").select("key", "node", "leader"))
+    wanted = groups.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
 
-    columns = docs.columns
-    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_id"), own(text_of(text)).alias("_fp"))
-    one = rows.join(kept, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_fp") == F.col("_kept")), "left_semi").dropDuplicates(["_id", "_fp"])
-    return one.select(*[F.col("_row")[c].alias(c) for c in columns])
+    @F.pandas_udf("long")
+    def identity(texts):
+        return texts.map(_identity).astype("int64")
+
+    read = docs.select(identity(text_of(text)).alias("node"), text_of(text).alias("text"))
+    texts = scratch.save(read.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    components = settle(groups, texts, _verify(width), _expand(width), LIKENESS, scratch)
+    placed = nodes.select("node", "least").join(components, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "node")).alias("k"))
+    kept = scratch.save(kept.select(F.col("k.node").alias("_kept"), F.col("k.least").alias("_key")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_id"), identity(text_of(text)).alias("_node"))
+    one = rows.join(kept, (F.col("_node") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_key")), "left_semi").dropDuplicates(["_node"])
+    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, chat, decontaminate, graph, langid, line_dedup, lm_score, simhash, sketch, token_codec, token_count, url_filter
+from termloom.llm import bpe, chat, decontaminate, graph, langid, line_dedup, lm_score, settle, simhash, sketch, token_codec, token_count, url_filter
 from termloom.llm.queries import TOOLS, tokenizer_file
 from termloom.llm.scratch import Scratch
 
@@ -140,6 +140,31 @@ def test_near_duplicates_of_odd_rows(spark):
     assert kept.columns == odd(spark).columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7, 8]
 
 
+@pytest.mark.parametrize("small", [32, 3])
+def test_one_of_each_near_group_stays(spark, monkeypatch, small):
+    monkeypatch.setattr(settle, "SMALL", small)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(60)]
+    texts = []
+    for i in range(60):
+        base = [word() for _ in range(rng.randint(3, 120))] + (passage if i % 2 else [])
+        for _ in range(rng.choice([1, 1, 4])):
+            other = list(base)
+            for _ in range(rng.randint(0, 4)):
+                other[rng.randrange(len(other))] = word()
+            texts.append(" ".join(other))
+    rows = [*enumerate(texts), (900, texts[0].upper()), (None, texts[1]), (None, "none other has these words"), (None, "none other has these words")]
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    of = {t.lower(): sets(t) for _, t in rows}
+    groups = components(sorted(of), lambda a, b: 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b]))
+    assert 60 < len(groups) < len(texts)
+    want = [min(((i is None, i) for i, t in rows if t.lower() in g), key=lambda x: (x[0], x[1] or 0))[1] for g in groups]
+    got = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
+    order = lambda i: -1 if i is None else i
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 def brute_lines(rows):
     first, parent = {}, {}
     lines = [((d is None, d or 0), at, line_dedup.normal(x)) for d, t in rows for at, x in enumerate((t or "").split("\n"))]
