@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,21 +16,25 @@ from .rows import map_columns, text_of
 from .scratch import Scratch
 from .settle import settle
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 16  # hashes unpacked at once
 
 
-def _words(text: str) -> list[str]:
-    return _WORDS(text.lower() if text.isascii() else text.translate(_LOWER))
+def _words(text: str) -> list[bytes]:
+    """Words in UTF-8: there, ``lower`` changes A-Z only, and ``split`` cuts at blanks and the characters 9 to 13 only."""
+    return text.encode().lower().split()
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
     """XXH64 (seed 42) of every shingle in order: ``width`` words joined by blanks, all words where there are fewer."""
     words = _words(text)
-    width = max(1, min(width, len(words)))
+    if not words:
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
+    line = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[: len(words) - width]]
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(s, 42) for s in map(" ".join, zip(*(words[i:] for i in range(width)), strict=False))), np.uint64)
+    return np.array([digest(line[i : j - 1], 42) for i, j in zip(starts, ends[width - 1 :], strict=True)], np.uint64)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -297,7 +301,7 @@ def sample_prints(hashes: np.ndarray) -> np.ndarray:
 
 
 def _identity(text: str) -> int:
-    h = xxhash.xxh3_64_intdigest(" ".join(_words(text)))
+    h = xxhash.xxh3_64_intdigest(b" ".join(_words(text)))
     return h - (1 << 64) if h >> 63 else h
 
 
