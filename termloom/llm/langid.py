@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .rows import pieces
 from .scratch import Scratch
 
 BUCKETS = 1 << 14
@@ -71,7 +72,7 @@ def fit(docs: DataFrame, label: str, key: str, text: str = "text", sample: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             for name, value in zip(batch.column(0), batch.column(1), strict=True):
                 into = tables.setdefault(name.as_py(), np.zeros(BUCKETS, np.int64))
                 for h in trigrams(value.as_py()):
@@ -111,9 +112,7 @@ def _score(model: Broadcast, kept: list[str], out: StructType, with_prior: bool,
         languages = model.value.languages
         index = {name: i for i, name in enumerate(languages)}
         agree, differ = np.log(DECLARED), np.log((1 - DECLARED) / max(1, len(languages) - 1))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             texts = batch.column("_row").field(text) if "_row" in kept else batch.column("_text")
             declared = batch.column("_declared")
             priors = batch.column("_prior") if with_prior else [None] * batch.num_rows

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .rows import text_of
+from .rows import pieces, text_of
 from .scratch import Scratch
 from .settle import settle
 
@@ -22,6 +22,7 @@ _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _BLOCK = 1 << 19  # characters signed at once
+_SHINGLES = 1 << 17  # shingles written at once
 _BLOOM_BITS = 27
 
 
@@ -99,7 +100,7 @@ def _lines_of(texts: pa.Array) -> Iterator[tuple[int, int, str]]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found = [(row, at, line_hash(n)) for row, at, n in _lines_of(batch.column("_text"))]
         if found:
             rows, ats, hashes = zip(*found, strict=True)
@@ -112,7 +113,7 @@ _BAND = "key long, line long, leader long"
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band rows of a batch's distinct lines. Lines that share a band within the batch are combined here: the least
     becomes their leader and alone goes on to meet other batches, so a hot band leaves a batch as one row to be dealt."""
-    for batch in batches:
+    for batch in pieces(batches):
         distinct = {line_hash(n): n for _, _, n in _lines_of(batch.column("_text"))}
         if not distinct:
             continue
@@ -153,7 +154,7 @@ def _wanted_lines(words: dict, out: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = words.value
-        for batch in batches:
+        for batch in pieces(batches):
             distinct = {line_hash(n): n for _, _, n in _lines_of(batch.column("_text"))}
             if not distinct:
                 continue
@@ -170,7 +171,7 @@ def _wanted_lines(words: dict, out: str):
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decides pairs; pairs of one ``b`` come together, so its shingles are kept."""
     last, known = None, set()
-    for batch in batches:
+    for batch in pieces(batches):
         alike = []
         for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True):
             a, b = a.as_py(), b.as_py()
@@ -181,15 +182,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _line_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, size, out = [], [], []
+    for batch in pieces(batches):
+        own, first, held = [], 0, 0
         for i, text in enumerate(batch.column("text")):
-            own = {xxhash.xxh3_64_intdigest(x) for x in shingles(text.as_py())}
-            at += [i] * len(own)
-            size += [len(own)] * len(own)
-            out += own
-        at = pa.array(at, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("c").take(at), pa.array(size, pa.int32()), pa.array(np.array(out, np.uint64).view(np.int64))], ["node", "c", "size", "shingle"])
+            found = shingles(text.as_py())
+            own.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+            held += len(found)
+            if held >= _SHINGLES or i == batch.num_rows - 1:
+                counts = np.fromiter(map(len, own), np.int32, len(own))
+                at = pa.array(np.repeat(np.arange(first, i + 1, dtype=np.int32), counts))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(at), batch.column("c").take(at), pa.array(np.repeat(counts, counts)), pa.array(np.concatenate(own).view(np.int64))],
+                    ["node", "c", "size", "shingle"],
+                )
+                own, first, held = [], i + 1, 0
 
 
 def line_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
@@ -259,9 +265,7 @@ def _clean(out: StructType, text: str):
 
         schema = to_arrow_schema(out)
         at_text = schema.get_field_index(text)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             columns = batch.column("_row").flatten()
             texts, sizes, dropped = [], [], []
             for value, drops in zip(columns[at_text], batch.column("_drops"), strict=True):

@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Bytes of a piece of a batch: what a Python worker holds decoded at a time, beside one text.
+PIECE = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about PIECE bytes, a row at least; their rows and order are the same."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # an idle worker keeps little
+
+
 def map_columns(df: DataFrame, keep: list, read, make: Callable[..., dict[str, list]], added: str) -> DataFrame:
     """Keep the columns ``keep`` as they are and add those of the DDL string ``added``, which ``make(values)`` returns
     as lists, ``values`` being the Arrow array of the column ``read`` (which is not returned).
 
-    Nothing else of the row is read. Batches come one at a time, so memory is bounded by a batch.
+    Nothing else of the row is read. Batches come a piece at a time, so memory is bounded by a piece and one text.
     """
     picked = df.select(*keep, read.alias("_read") if not isinstance(read, str) else F.col(read).alias("_read"))
     kept = picked.schema.fields[:-1]
@@ -27,9 +40,7 @@ def map_columns(df: DataFrame, keep: list, read, make: Callable[..., dict[str, l
 
         wanted = to_arrow_schema(schema)
         n = len(kept)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             made = make(batch.column(n))
             arrays = [batch.column(i).cast(wanted.field(i).type) for i in range(n)]
             arrays += [_array(made[name], wanted.field(n + i).type) for i, name in enumerate(order)]

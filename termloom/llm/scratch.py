@@ -1,5 +1,22 @@
-"""Durable intermediate tables, as the rest of the library keeps them."""
+"""Durable intermediate tables, as the rest of the library keeps them, and the session's Arrow batches."""
 
-from ..durable import Scratch, shared_folder
+from pyspark.sql import SparkSession
+
+from ..durable import Scratch as Tables
+from ..durable import shared_folder
 
 __all__ = ["Scratch", "shared_folder"]
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole texts sent to a Python worker at once: the default of 10,000 holds tens of MB several times over, in
+#: the executor's direct memory and in the worker.
+RECORDS = 1000
+
+
+class Scratch(Tables):
+    """Where the session's Arrow batches are larger, they are set to RECORDS rows for the session."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        super().__init__(spark, name)
+        if not 0 < int(spark.conf.get(_BATCH)) <= RECORDS:
+            spark.conf.set(_BATCH, RECORDS)
