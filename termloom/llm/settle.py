@@ -52,12 +52,14 @@ def settle(groups: DataFrame, texts: DataFrame, verify: Callable, expand: Callab
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))  # a window is one text's shingles
     prefix = own.join(df, "shingle").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * likeness - 1e-9) + 1).where("df > 1")
     prefix = scratch.save(prefix.select("node", "c", "size", "shingle"))
+    scratch.drop(own)
     left = prefix.select("shingle", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
     right = prefix.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"))
     sizes = (F.col("sa") >= likeness * F.col("sb")) & (F.col("sb") >= likeness * F.col("sa"))
     rest = left.join(right, "shingle").where("ca < cb").where(sizes).select("a", "b").unionByName(direct).distinct()
     tested = decided.select("a", "b").unionByName(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = decide(rest.join(tested, ["a", "b"], "left_anti"))
+    scratch.drop(prefix)
     if more.where("alike").limit(1).count():
         roots = scratch.save(connected_components(decided.unionByName(more).where("alike").select("a", "b"), scratch))
     return roots

@@ -343,11 +343,11 @@ def keep_one(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "
     """The rows of ``docs``, with all columns, of which one is kept for each group of near-duplicates: the row with the
     least key, once where it is repeated. Rows with a null key stay only where their group has no other key, then one.
 
-    Texts are linked where their sets of ``width``-word shingles have a Jaccard likeness of LIKENESS or more. A text is
-    given by several SimHashes, of all its shingles and of min-wise samples of them; those that differ in at most two
-    bits propose (the trie's self-join), and the exact likeness decides, so that no text goes for a chance match or a
-    shared passage. One whole-text SimHash would not do: texts of likeness 0.8 differ in ten bits on average, and ten
-    bits do not prune a trie.
+    Texts are linked where their sets of ``width``-word shingles have a Jaccard likeness of LIKENESS or more. Two kinds
+    of SimHash propose, and the exact likeness decides, so that no text goes for a chance match or a shared passage:
+    those of all shingles, within two bits (the trie's self-join), and those of min-wise samples of the shingles, where
+    they are equal. The first alone would not do: texts of likeness 0.8 differ in ten bits on average, and ten bits do
+    not prune a trie. The others take no part in the trie, as different samples differ in far more than two bits.
 
     Texts of the same words are one node, so copies are not compared; nodes are known by a 64-bit hash. Texts without
     words (null and empty ones too) are copies of each other. An empty table stays empty. Counts reach the driver only.
@@ -355,21 +355,21 @@ def keep_one(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "
     scratch = Scratch(docs.sparkSession, name)
 
     def make(texts: pa.Array) -> dict[str, list]:
-        nodes, prints = [], []
+        nodes, wholes, samples = [], [], []
         for t in texts:
             one = t.as_py()
             nodes.append(_identity(one))
             hashes = shingle_hashes(one, width)
-            found = np.append(sample_prints(np.unique(hashes)), np.uint64(majority(hashes)))
-            prints.append(_signed(np.unique(found)))
-        return {"node": nodes, "prints": pa.array(prints, pa.list_(pa.int64()))}
-
-    known = scratch.save(map_columns(docs, [key], text_of(text), make, "node long, prints array<long>"))
-    nodes = scratch.save(known.groupBy("node").agg(F.min(key).alias("least"), F.first("prints").alias("prints")))
-    prints = scratch.save(nodes.select("node", F.explode("prints").alias("fp")))
-    roots = connected_components(near_pairs(prints.select("fp").distinct(), scratch), scratch)
-    rooted = prints.join(roots.withColumnRenamed("node", "_fp"), F.col("fp") == F.col("_fp"), "left")
-    keyed = rooted.select(F.coalesce("root", "fp").alias("key"), "node").distinct()
+            wholes.append(majority(hashes))
+            samples.append(_signed(np.unique(sample_prints(np.unique(hashes)))))
+        return {"node": nodes, "whole": pa.array(_signed(np.array(wholes, np.uint64))), "samples": pa.array(samples, pa.list_(pa.int64()))}
+
+    known = scratch.save(map_columns(docs, [key], text_of(text), make, "node long, whole long, samples array<long>"))
+    nodes = scratch.save(known.groupBy("node").agg(F.min(key).alias("least"), F.first("whole").alias("whole"), F.first("samples").alias("samples")))
+    scratch.drop(known)
+    roots = connected_components(near_pairs(nodes.select(F.col("whole").alias("fp")).distinct(), scratch), scratch)
+    rooted = nodes.select("node", "whole").join(roots.withColumnRenamed("node", "_fp"), F.col("whole") == F.col("_fp"), "left")
+    keyed = rooted.select(F.coalesce("root", "whole").alias("key"), "node").unionByName(nodes.select(F.explode("samples").alias("key"), "node")).distinct()
     leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = scratch.save(keyed.join(leaders, "key").where("node <> leader").select("key", "node", "leader"))
     wanted = groups.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
