@@ -4,36 +4,44 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .rows import map_columns, text_of
+from .rows import pieces, text_of
+from .scratch import Scratch
 
 _tokens = re.compile(r"\w+|[^\w\s]").findall
-#: Token ids: 2**14 hash values of the word times 16 of its last two letters; fixed, whatever the corpus.
-IDS = 1 << 18
+#: A token's id is 60 bits of its hash and 4 bits of its last two letters' hash, so distinct tokens keep distinct ids.
 ENDINGS = 16
-OWN = 48  # most frequent ids with a class of their own
+OWN = 48  # most frequent tokens with a class of their own
 CLASSES = OWN + ENDINGS
 SIDE = 2  # tokens of context on each side
+SLOTS = 2 * (CLASSES + 1)  # classes of the left neighbour, then of the right one, each with "beyond the text"
 HIDDEN = 16
 ROUNDS = 1  # passes of training, each followed by averaging over all partitions
+HEAD = 1 << 15  # most frequent tokens whose counts travel with the tasks; all others' are joined
+DISCOUNT = 0.75  # taken from each count of a token beside a neighbour, and dealt out by the tokens' shares of the class
+UNSEEN = 0.5  # count of all tokens of a class that the corpus does not have
 _BATCH = 2048
 _SCORE = 1 << 12
 _RATE = 0.2
 _KEPT = 300_000
+_FLUSH = 1 << 20  # tokens counted at once
 
 
 class _Ids(dict):
     """Id of a token; a bounded memory."""
 
     def __missing__(self, token: str) -> int:
-        i = (xxhash.xxh3_64_intdigest(token) % (IDS // ENDINGS)) * ENDINGS + xxhash.xxh3_64_intdigest(token[-2:], 1) % ENDINGS
+        i = (xxhash.xxh3_64_intdigest(token) & ~(ENDINGS - 1)) | (xxhash.xxh3_64_intdigest(token[-2:], 1) % ENDINGS)
+        i -= (i >> 63) << 64
         if len(self) >= _KEPT:
             self.clear()
         self[token] = i
@@ -48,6 +56,25 @@ def token_ids(text: str) -> np.ndarray:
     return np.fromiter(map(_ids.__getitem__, tokens), np.int64, len(tokens))
 
 
+def _find(ordered: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ids in the ordered array, and whether they are there."""
+    if not len(ordered):
+        return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    at = np.minimum(np.searchsorted(ordered, ids), len(ordered) - 1)
+    return at, ordered[at] == ids
+
+
+@dataclass(frozen=True)
+class Classes:
+    """Class of every id: its own for the most frequent tokens, else that of its ending."""
+
+    own: np.ndarray  # sorted ids; an id's place is its class
+
+    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
+        at, there = _find(self.own, ids)
+        return np.where(there, at, OWN + (ids & (ENDINGS - 1)))
+
+
 @dataclass
 class Net:
     """Window network: the context's class vectors are summed by position, squashed, and give the class of the token."""
@@ -123,29 +150,82 @@ def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return context, line[at]
 
 
+@dataclass(frozen=True)
+class Inner:
+    """Probability of a token within its ending's class, given the classes of its two neighbours.
+
+    It is the mean of two distributions, one a side: the counts of the class's tokens beside that neighbour, with
+    absolute discounting towards the tokens' shares of the whole class. Each sums to one over the class's tokens and
+    the event of a token that the corpus does not have.
+    """
+
+    total: np.ndarray  # ENDINGS x SLOTS: tokens of the class beside that neighbour
+    kinds: np.ndarray  # the same, distinct tokens
+
+    def log_p(self, ending: np.ndarray, n: np.ndarray, beside: tuple[np.ndarray, np.ndarray], slots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """``n``: the tokens' counts, 0 for ones not in the corpus; ``beside``: their counts beside each neighbour."""
+        whole = self.total[:, : CLASSES + 1].sum(axis=1)
+        share = np.where(n > 0, n, UNSEEN) / (whole[ending] + UNSEEN)
+        p = np.zeros(len(n))
+        for k, slot in zip(beside, slots, strict=True):
+            total, kinds = self.total[ending, slot], self.kinds[ending, slot]
+            p += np.where(total > 0, (np.maximum(k - DISCOUNT, 0) + DISCOUNT * kinds * share) / np.maximum(total, 1), share)
+        return np.log(p / 2)
+
+
+class Share:
+    """Log share, within its class, of a token with a class of its own; the others' depend on the context."""
+
+    def __getitem__(self, ids):
+        return np.zeros(np.shape(ids))
+
+
 @dataclass(frozen=True)
 class Scorer:
-    class_of: np.ndarray  # id to class
-    share: np.ndarray  # id to log share within its class
+    class_of: Classes
     net: Net
+    inner: Inner
+    head: np.ndarray  # sorted ids of the most frequent tokens without a class of their own
+    counts: np.ndarray  # their counts
+    beside: np.ndarray  # head x SLOTS: their counts beside each neighbour
+    tail: DataFrame | None = None  # the same of all other tokens: ``id``, ``n`` and ``by``, a list of (slot, v)
+    share: Share = field(default_factory=Share)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Sum over each text's tokens of log P(class | both sides) + log P(id | class)."""
+        """Sum over each text's tokens of log P(class | both sides) + log P(token | class, both neighbours)."""
+        out, rare = self.measure(texts)
+        wanted = np.unique(np.concatenate([r[0] for r in rare])) if rare else np.zeros(0, np.int64)
+        found = {}
+        if len(wanted) and self.tail is not None:
+            found = {r["id"]: (r["n"], dict(r["by"])) for r in self.tail.where(F.col("id").isin(wanted.tolist())).collect()}
+        for i, (ids, left, right) in enumerate(rare):
+            if len(ids):
+                own = [found.get(t, (0.0, {})) for t in ids.tolist()]
+                out[i] += self.inner.log_p(*_places(ids, [n for n, _ in own], [b for _, b in own], left, right)).sum()
+        return out
+
+    def measure(self, texts: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The sums without the inner terms of tokens beyond the head, and those: ids and both neighbours' slots."""
         out = np.zeros(len(texts))
+        rare = [(np.zeros(0, np.int64),) * 3] * len(texts)
         pending: list[tuple[int, np.ndarray]] = []
         size = 0
 
         def flush() -> None:
             sizes = [len(i) for _, i in pending]
             context, target = windows([self.class_of[i] for _, i in pending])
-            log_p = self.net.log_p(context, target) + self.share[np.concatenate([i for _, i in pending])]
-            out[[n for n, _ in pending]] = np.add.reduceat(log_p, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            log_p, far = self._log_p(np.concatenate([i for _, i in pending]), context, target)
+            ends = np.cumsum(sizes)
+            out[[n for n, _ in pending]] = np.add.reduceat(log_p, np.concatenate([[0], ends[:-1]]))
+            cuts = np.searchsorted(far[3], ends)
+            for (n, _), lo, hi in zip(pending, [0, *cuts[:-1]], cuts, strict=True):
+                rare[n] = tuple(x[lo:hi] for x in far[:3])
             pending.clear()
 
         for n, ids in enumerate(texts):
             # a long text is scored in parts; the parts' edges see their neighbours, as below
             if len(ids) > _SCORE:
-                out[n] = self._long(ids)
+                out[n], rare[n] = self._parts(ids)
                 continue
             if len(ids):
                 pending.append((n, ids))
@@ -155,116 +235,216 @@ class Scorer:
                 size = 0
         if pending:
             flush()
-        return out
-
-    def _long(self, ids: np.ndarray) -> float:
+        return out, rare
+
+    def _log_p(self, ids: np.ndarray, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Log probability of each position, and ids, slots and positions of the tokens beyond the head."""
+        log_p = self.net.log_p(context, target).astype(np.float64)
+        left, right = context[SIDE - 1], context[SIDE] + CLASSES + 1
+        inner = np.flatnonzero(target >= OWN)
+        at, there = _find(self.head, ids[inner])
+        near, far, at = inner[there], inner[~there], at[there]
+        slots = (left[near], right[near])
+        log_p[near] += self.inner.log_p(target[near] - OWN, self.counts[at], tuple(self.beside[at, s] for s in slots), slots)
+        return log_p, (ids[far], left[far], right[far], far)
+
+    def _parts(self, ids: np.ndarray) -> tuple[float, tuple]:
         gap = np.full(SIDE, CLASSES, np.int64)
         line = np.concatenate([gap, self.class_of[ids], gap])
-        total = 0.0
+        total, rare = 0.0, []
         for start in range(0, len(ids), _SCORE):
             at = np.arange(start, min(len(ids), start + _SCORE)) + SIDE
             context = np.stack([line[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
-            total += float(self.net.log_p(context, line[at]).sum(dtype=np.float64) + self.share[ids[start : start + _SCORE]].sum())
-        return total
+            log_p, far = self._log_p(ids[start : start + _SCORE], context, line[at])
+            total += float(log_p.sum())
+            rare.append(far[:3])
+        return total, tuple(np.concatenate(x) for x in zip(*rare, strict=True))
+
+    def _long(self, ids: np.ndarray) -> float:
+        return self._parts(ids)[0]
+
 
+def _places(ids: np.ndarray, n: list, by: list[dict], left: np.ndarray, right: np.ndarray) -> tuple:
+    """Arguments of ``Inner.log_p`` for tokens whose counts are given one by one."""
+    beside = tuple(np.array([b.get(s, 0.0) for b, s in zip(by, slot.tolist(), strict=True)]) for slot in (left, right))
+    return ids & (ENDINGS - 1), np.array(n, np.float64), beside, (left, right)
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Scorer:
-    """Token counts over all documents, then a network trained on every token of every document.
 
-    Counts are summed within each partition and then by the cluster into at most IDS sums. Training is local descent
-    from a common start with averaging: each partition goes through its tokens once a round, and the partitions' nets
-    are averaged, weighted by their tokens, as partial sums by parameter. The driver gets IDS counts and one net.
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "lm") -> Scorer:
+    """Counts of every token over all documents, then a network trained on every token of every document, and the
+    counts of every token without a class of its own beside the classes of its neighbours.
+
+    All counts are sums by token over the cluster, in tables that grow with the vocabulary and are written. Training is
+    local descent from a common start with averaging: each partition goes through its tokens once a round, and the
+    partitions' nets are averaged, weighted by their tokens, as sums by parameter. The driver gets the counts of the
+    HEAD most frequent tokens, at most SLOTS each, and one net; the tokens beyond stay in a table.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, name)
     read = docs.select(text_of(text).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(IDS, np.int64)
-        for batch in batches:
-            for value in batch.column(0):
-                ids = token_ids(value.as_py())
-                if len(ids):
-                    np.add.at(total, ids, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    sums = read.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(IDS)
-    counts[sums["id"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
-    counts += 0.1  # ids never seen
-    class_of = OWN + np.arange(IDS) % ENDINGS
-    top = np.lexsort((np.arange(IDS), -counts))[:OWN]
-    class_of[top] = np.arange(OWN)
-    share = np.log(counts / np.bincount(class_of, counts, CLASSES)[class_of])
-    context = docs.sparkSession.sparkContext
-    classes = context.broadcast(class_of.astype(np.int8))
+        for ids in _gather(batches):
+            values, n = np.unique(ids, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["id", "n"])
+
+    vocabulary = scratch.save(read.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")))
+    total = vocabulary.agg(F.sum("n")).first()[0] or 0
+    frequent = [r["id"] for r in vocabulary.orderBy(F.desc("n"), "id").limit(OWN).collect()]
+    last = vocabulary.where(~F.col("id").isin(frequent)).orderBy(F.desc("n"), "id").limit(HEAD).agg(F.max(F.struct(-F.col("n"), "id")).alias("l")).first()["l"]
+    class_of = Classes(np.array(sorted(frequent), np.int64))
+    context = spark.sparkContext
+    classes = context.broadcast(class_of)
     net = Net.start()
-    for _ in range(rounds):
+    table = None
+    for turn in range(max(1, rounds)):
         start = context.broadcast(net.flat())
 
-        def train(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+        def train(batches: Iterator[pa.RecordBatch], start=start, counting=turn == 0, training=turn < rounds) -> Iterator[pa.RecordBatch]:
             own = Net.from_flat(start.value)
             memory = [np.full(p.shape, 1e-6) for p in own.parts]
             class_of, seen = classes.value, 0
-            for context, target in _batches(batches, class_of):
-                own.step(context, target, memory)
+            shuffle = np.random.default_rng(11)
+            held: list[np.ndarray] = []
+            size = 0
+            for texts in _groups(batches):
+                line, near, target = np.concatenate(texts), *windows([class_of[i] for i in texts])
+                order = shuffle.permutation(len(target))
+                for k in range(0, len(order) if training else 0, _BATCH):
+                    at = order[k : k + _BATCH]
+                    own.step(near[:, at], target[at], memory)
                 seen += len(target)
+                if counting:
+                    at = np.flatnonzero(target >= OWN)
+                    held.append(np.stack([line[at], near[SIDE - 1][at], near[SIDE][at] + CLASSES + 1]))
+                    size += len(at)
+                    if size >= _FLUSH:
+                        yield _beside(held)
+                        held, size = [], 0
+            if held:
+                yield _beside(held)
             if seen:
                 flat = own.flat().astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), float(seen)))], ["i", "v", "n"])
-
-        trained = read.mapInArrow(train, "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
-        if not len(trained):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), -1, np.int32)), pa.array(flat)], ["id", "slot", "v"])
+
+        # dealt by token once, which serves both sums
+        made = read.mapInArrow(train, "id long, slot int, v double").withColumn("net", F.col("slot") < 0).repartition("id", "net")
+        made = made.groupBy("id", "net", "slot").agg(F.sum("v").alias("v"))
+        # a list has SLOTS entries at most
+        made = scratch.save(made.groupBy("id", "net").agg(F.sum(F.when(F.col("slot") <= CLASSES, F.col("v"))).alias("n"), F.collect_list(F.struct("slot", "v")).alias("by")))
+        if turn == 0:
+            table = made.where("not net").drop("net")
+        trained = made.where("net").select("id", "n").toArrow()
+        if not trained.num_rows:
             break
         flat = np.zeros(len(net.flat()))
-        flat[trained["i"].to_numpy(np.int64)] = trained["v"].to_numpy(np.float64)
+        flat[trained["id"].to_numpy()] = trained["n"].to_numpy() / total
         net = Net.from_flat(flat)
-    return Scorer(class_of, share, net)
-
-
-def _batches(batches: Iterator[pa.RecordBatch], class_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Contexts and targets in steps of _BATCH positions, every position once, in an order that mixes a few texts."""
-    shuffle = np.random.default_rng(11)
+    sums = table.select((F.col("id").bitwiseAND(ENDINGS - 1)).alias("c"), F.explode("by").alias("b")).groupBy("c", "b.slot").agg(F.sum("b.v").alias("v"), F.count("*").alias("m")).collect()
+    inner = Inner(np.zeros((ENDINGS, SLOTS)), np.zeros((ENDINGS, SLOTS)))
+    for r in sums:
+        inner.total[r["c"], r["slot"]], inner.kinds[r["c"], r["slot"]] = r["v"], r["m"]
+    first = F.lit(False) if last is None else F.struct((-F.col("n")).cast("long").alias("n"), "id") <= F.struct(F.lit(last[0]).cast("long").alias("n"), F.lit(last[1]).alias("id"))
+    near = table.where(first).select("id", "n", F.col("by.slot").alias("slot"), F.col("by.v").alias("v")).orderBy("id").toArrow().combine_chunks()
+    head = near["id"].to_numpy()
+    beside = np.zeros((len(head), SLOTS), np.float32)
+    if len(head):
+        lists = near["slot"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        beside[np.repeat(np.arange(len(head)), sizes), lists.flatten().to_numpy()] = near["v"].combine_chunks().flatten().to_numpy()
+    return Scorer(class_of, net, inner, head, near["n"].to_numpy(), beside, table.where(~first))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Ids of a few texts at a time, of 32 steps' tokens or more but at the end."""
     held: list[np.ndarray] = []
     size = 0
-
-    def cut() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        context, target = windows(held)
-        order = shuffle.permutation(len(target))
-        for k in range(0, len(order), _BATCH):
-            at = order[k : k + _BATCH]
-            yield context[:, at], target[at]
-
     for batch in batches:
         for value in batch.column(0):
             ids = token_ids(value.as_py())
             if len(ids):
-                held.append(class_of[ids].astype(np.int64))
+                held.append(ids)
                 size += len(ids)
             if size >= 32 * _BATCH:
-                yield from cut()
+                yield held
                 held, size = [], 0
     if held:
-        yield from cut()
+        yield held
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The same in arrays of about _FLUSH ids."""
+    held: list[np.ndarray] = []
+    size = 0
+    for texts in _groups(batches):
+        held += texts
+        size += sum(map(len, texts))
+        if size >= _FLUSH:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
 
+def _beside(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Counts of (id, slot) for both neighbours of the held positions."""
+    line = np.concatenate(held, axis=1)
+    ids, at = np.unique(line[0], return_inverse=True)
+    keys, n = np.unique(np.concatenate([at * SLOTS + line[1], at * SLOTS + line[2]]), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids[keys // SLOTS]), pa.array((keys % SLOTS).astype(np.int32)), pa.array(n.astype(np.float64))], ["id", "slot", "v"])
 
-def score_documents(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", scorer: Scorer | None = None) -> DataFrame:
+
+def score_documents(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", scorer: Scorer | None = None, name: str = "lm") -> DataFrame:
     """Key columns, ``n_tokens``, ``log_likelihood`` (the summed conditional log-probabilities of all tokens of the
     whole text, each given its neighbours on both sides) and ``mean_log_likelihood`` (per token).
 
-    A token is a word or a mark; its probability is that of its class by the network times its share of the class by
-    the corpus counts. A null or empty text has no tokens, likelihood 0 and a null mean. One row comes out for each row
-    that goes in; other columns are not read; an empty table stays empty. Scores depend in their last digits on how the
-    rows were partitioned when the network was trained.
+    A token is a word or a mark; its probability is that of its class by the network times its own within the class,
+    given both neighbours' classes, by the corpus counts. Counts of the HEAD most frequent tokens travel with the tasks;
+    the other tokens' occurrences meet theirs by a join. A null or empty text has no tokens, likelihood 0 and a null
+    mean. One row comes out for each row that goes in; other columns are not read; an empty table stays empty. Scores
+    depend in their last digits on how the rows were partitioned when the network was trained.
     """
-    scorer = fit(docs, text) if scorer is None else scorer
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    def make(texts: pa.Array) -> dict[str, list]:
-        sizes, sums = [], []
-        for lo in range(0, len(texts), 500):
-            ids = [token_ids(t.as_py()) for t in texts[lo : lo + 500]]
-            sizes += [len(i) for i in ids]
-            sums += shared.value.score(ids).tolist()
-        return {"n_tokens": sizes, "log_likelihood": sums, "mean_log_likelihood": [s / n if n else None for s, n in zip(sums, sizes, strict=True)]}
-
-    return map_columns(docs, list(keys), text_of(text), make, "n_tokens long, log_likelihood double, mean_log_likelihood double")
+    spark = docs.sparkSession
+    scorer = fit(docs, text, name=name) if scorer is None else scorer
+    shared = spark.sparkContext.broadcast(replace(scorer, tail=None))
+    kinds = StructType([docs.schema[k] for k in keys])
+    out = StructType().add("_row", "long").add("_keys", kinds).add("n_tokens", "integer").add("_sum", "double")
+    rare = StructType.fromDDL("_rare array<struct<id: long, left: int, right: int>>")
+    out = StructType([*out.fields, *rare.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, row = to_arrow_schema(out), TaskContext.get().partitionId() << 36
+        for batch in pieces(batches):
+            ids = [token_ids(t.as_py()) for t in batch.column("_text")]
+            sums, far = shared.value.measure(ids)
+            offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in far])])
+            columns = [np.concatenate(x) for x in zip(*far, strict=True)]
+            kind = schema.field("_rare").type
+            values = pa.StructArray.from_arrays([pa.array(c, kind.value_type.field(i).type) for i, c in enumerate(columns)], fields=list(kind.value_type))
+            arrays = [np.arange(row, row + len(ids)), batch.column("_keys").cast(schema.field("_keys").type), [len(i) for i in ids], sums]
+            arrays = [a if isinstance(a, pa.Array) else pa.array(a, schema.field(i).type) for i, a in enumerate(arrays)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, type=kind)], schema=schema)
+            row += len(ids)
+
+    # written, so that the rows' numbers stay whatever is run again
+    rows = Scratch(spark, name).save(docs.select(F.struct(*keys).alias("_keys"), text_of(text).alias("_text")).mapInArrow(run, out))
+    far = rows.select("_row", F.explode("_rare").alias("o")).select("_row", "o.*")
+    known = scorer.tail
+    if known is None:
+        known = spark.createDataFrame([], "id long, n double, by array<struct<slot: int, v: double>>")
+    at = lambda side: F.coalesce(F.get(F.filter("by", lambda b: b["slot"] == F.col(side)), 0)["v"], F.lit(0.0))
+    met = far.join(known, "id", "left").select("_row", "id", F.coalesce("n", F.lit(0.0)).alias("n"), "left", "right", at("left").alias("nl"), at("right").alias("nr"))
+    inner = spark.sparkContext.broadcast(scorer.inner)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, n, left, right, nl, nr = (batch.column(c).to_numpy() for c in ("id", "n", "left", "right", "nl", "nr"))
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(inner.value.log_p(ids & (ENDINGS - 1), n, (nl, nr), (left, right)))], ["_row", "v"])
+
+    more = met.mapInArrow(add, "_row long, v double").groupBy("_row").agg(F.sum("v").alias("_more"))
+    joined = rows.drop("_rare").join(more, "_row", "left").withColumn("log_likelihood", F.col("_sum") + F.coalesce("_more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return joined.select(*[F.col("_keys")[k].alias(k) for k in keys], F.col("n_tokens").cast("long").alias("n_tokens"), "log_likelihood", mean.alias("mean_log_likelihood"))

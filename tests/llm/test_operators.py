@@ -265,6 +265,33 @@ def test_scores_prefer_real_order_and_match_brute_force(spark):
     assert lm_score.score_documents(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("head", [1 << 15, 30])
+def test_every_word_has_its_own_count_and_depends_on_its_neighbours(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_score, "HEAD", head)  # 30: most words' counts are joined
+    rng = random.Random(12)
+    frequent = [f"f{i}" for i in range(lm_score.OWN)]
+    words = [f"{c}{i}ng" for i in range(40) for c in "ab"]  # one ending, hence one class
+    rows = [(i, " ".join(x for _ in range(30) for x in (*rng.choices(frequent, k=3), rng.choice(words)))) for i in range(80)]
+    rows += [(100 + i, " ".join([f"f{i % 48} f0 aonceng f0"] * 4)) for i in range(20)] + [(200, "f1 neverng f1"), (201, (" ".join(frequent * 4) + " z9ng ") * 50)]
+    df = spark.createDataFrame(rows, DOCS)
+    scorer = lm_score.fit(df.where("doc_id != 200"))
+    ids = lm_score.token_ids(" ".join([*words, "aonceng", "z9ng", "neverng"]))
+    assert len(set(ids.tolist())) == len(ids) and len(set(scorer.class_of[ids].tolist())) == 1
+    context = [lm_score.token_ids("f0 f5 f0 f5"), lm_score.token_ids("f9 f20 f21 f5")]
+    p = []
+    for c in context:
+        texts = [np.concatenate([c[:2], [i], c[2:]]) for i in ids]
+        classes = [scorer.class_of[t] for t in texts]
+        fixed = np.array([scorer.net.log_p(*lm_score.windows([k])).sum() for k in classes])
+        p.append(np.exp(scorer.score(texts) - fixed))
+        assert p[-1].sum() == pytest.approx(1, rel=1e-4)  # a distribution over the class's words and one not seen
+    by = dict(zip([*words, "aonceng", "z9ng", "neverng"], zip(*p, strict=True), strict=True))
+    assert by["aonceng"][0] / by["aonceng"][1] > 1.2 * by["b3ng"][0] / by["b3ng"][1] and min(by["neverng"]) > 0
+    got = {r.doc_id: r for r in lm_score.score_documents(df, scorer=scorer).collect()}
+    want = scorer.score([lm_score.token_ids(t) for _, t in rows])
+    assert len(got) == len(rows) and all(got[i].log_likelihood == pytest.approx(x, rel=1e-6) for (i, _), x in zip(rows, want, strict=True))
+
+
 # ---- decontamination ----
 
 
