@@ -16,8 +16,9 @@ from pyspark.sql.types import StructType
 from .rows import text_of
 
 K1, B = 1.2, 0.75
-#: A passage is a candidate for an item if it covers this share of the item's own BM25 score.
-THRESHOLD = 0.5
+#: A passage is a candidate for an item if it covers the least share of the item's own BM25 score that any passage can
+#: have which the overlap rule accepts (a bound for each item, see ``_least``); weights are in units of that bound.
+THRESHOLD = 1 - 1e-9
 #: Word n-grams of the overlap test, and the share of them that must be in the passage.
 GRAM, OVERLAP = 5, 0.5
 BLOCK = 16  # postings of a block
@@ -49,9 +50,21 @@ def _share(wanted: set, words: list[str]) -> float | None:
     return len(wanted & {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) / len(wanted)
 
 
+def _half(n: int) -> int:
+    """Least number of n-grams that makes OVERLAP of ``n``."""
+    return math.ceil(OVERLAP * n - 1e-9)
+
+
+def _least(found: list[tuple[str, ...]], weight: dict[str, float]) -> float:
+    """No passage with OVERLAP of these n-grams weighs less: a word's weight is dealt out to the n-grams that hold it,
+    so any n-grams' words weigh at least those n-grams' parts, and these at least the smallest ones."""
+    held = Counter(t for g in found for t in set(g))
+    return sum(sorted(sum(weight[t] / held[t] for t in set(g)) for g in found)[: _half(len(found))])
+
+
 class ItemIndex:
     """Inverted index of test items. A posting's weight is its BM25 contribution over the item's own score, so that a
-    passage's score is the share of the item that it covers."""
+    passage's score is the share of the item that it covers, in units of the item's bound (``limits``)."""
 
     def __init__(self, items: list[tuple], total: int, average: float, frequency: dict[str, int]) -> None:
         self.ids = [i for i, _ in items]
@@ -61,15 +74,21 @@ class ItemIndex:
         for _, text in items:
             q, a = (_words(x.lower()) for x in split_item(text))
             self.parts.append((grams(q), grams(a)))
+        self.alone = [len(_words(split_item(text)[0].lower())) >= GRAM for _, text in items]
         postings: dict[str, list[tuple[int, float]]] = {}
+        self.limits = []
         for n, own in enumerate(words):
             weight = {}
             for term, tf in Counter(own).items():
                 idf = math.log(1 + (total - frequency[term] + 0.5) / (frequency[term] + 0.5))
                 weight[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / average))
             whole = sum(weight.values())
+            q, a = self.parts[n]
+            bounds = [_least([*q, *a], weight)] + ([_least([*q], weight)] if self.alone[n] else [])
+            limit = min(bounds) / whole if whole else 1.0
+            self.limits.append(limit)
             for term, w in weight.items():
-                postings.setdefault(term, []).append((n, w / whole))
+                postings.setdefault(term, []).append((n, w / whole / limit))
         self.terms = {t: k for k, t in enumerate(postings)}
         self.items = [np.array([n for n, _ in p]) for p in postings.values()]
         self.weights = [np.array([w for _, w in p]) for p in postings.values()]
@@ -86,6 +105,33 @@ class ItemIndex:
         self.flat_items = np.concatenate(self.items) if postings else np.zeros(0, np.int64)
         self.flat_weights = np.concatenate(self.weights) if postings else np.zeros(0)
         self.cell = max(CELL, self.longest)
+        self.grams = self._needed()
+
+    def _needed(self) -> dict[int, np.ndarray]:
+        """Keys, by length, of n-grams of which a passage must hold one or more to be accepted for any item."""
+        keys: dict[int, set[int]] = {}
+        for n, (q, a) in enumerate(self.parts):
+            half = _half(len(q) + len(a))
+            # where one part alone is too small for half, an n-gram of the other is needed
+            wanted = [q] if half > len(a) else [a] if half > len(q) and not self.alone[n] else [q, a]
+            for part in wanted:
+                for g in part:
+                    keys.setdefault(len(g), set()).add(int(_keys(np.array([self.terms[w] for w in g]), len(g))[0]))
+        return {n: np.array(sorted(k), np.uint64) for n, k in keys.items()}
+
+    def _holding(self, ids: np.ndarray) -> np.ndarray:
+        """Whether the passage at each cell may hold a needed n-gram."""
+        out = np.zeros(-(-len(ids) // self.cell), bool)
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        for n, wanted in self.grams.items():
+            at = np.flatnonzero(known[n:] - known[:-n] == n) if len(ids) >= n else np.zeros(0, np.int64)
+            if len(at):
+                key = _keys(ids, n)[at]
+                k = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                cell = at[wanted[k] == key] // self.cell
+                out[cell] = True
+                out[np.maximum(cell - 1, 0)] = True
+        return out
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score for these distinct terms is at least the threshold, by block-max WAND."""
@@ -138,8 +184,12 @@ class ItemIndex:
                         seek(c, item)
 
     def passages(self, ids: np.ndarray) -> list[int]:
-        """Cells at which a passage (two neighbouring cells) may reach the threshold for some item: an upper bound in
-        bulk, the summed list weights of each cell's distinct terms, with common terms counted as present."""
+        """Cells at which a passage (two neighbouring cells) may be accepted for some item: it holds a needed n-gram,
+        and may reach the threshold by an upper bound in bulk, the summed list weights of each cell's distinct terms,
+        with common terms counted as present."""
+        holding = self._holding(ids)
+        if not holding.any():
+            return []
         n, items = -(-len(ids) // self.cell), len(self.ids)
         at = np.flatnonzero(ids >= 0)
         term = ids[at]
@@ -156,7 +206,7 @@ class ItemIndex:
             index = np.repeat(self.starts[t] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             sums = np.bincount(np.repeat(c, count) * items + self.flat_items[index], self.flat_weights[index], (step + 1) * items if n > step else (n + 1) * items).reshape(-1, items)
             reach = (sums[:-1] + sums[1:] + self.base >= THRESHOLD - 1e-9).any(axis=1)
-            out += [lo + int(i) for i in np.flatnonzero(reach) if lo + i < min(n, lo + step)]
+            out += [lo + int(i) for i in np.flatnonzero(reach) if lo + i < min(n, lo + step) and holding[lo + i]]
         return out
 
     def matches(self, text: str) -> list[tuple[int, float, float, float]]:
@@ -173,11 +223,21 @@ class ItemIndex:
                 q, a = (_share(g, passage) for g in self.parts[item])
                 sizes = [len(g) for g in self.parts[item]]
                 whole = ((q or 0.0) * sizes[0] + (a or 0.0) * sizes[1]) / max(1, sum(sizes))
-                if whole >= OVERLAP or (q is not None and a is not None and q >= OVERLAP and a >= OVERLAP):
-                    best[item] = max(best.get(item, (0.0,)), (score, q or 0.0, a or 0.0))
+                # halves of both parts are half of the whole, too
+                if whole >= OVERLAP or (self.alone[item] and q is not None and q >= OVERLAP):
+                    best[item] = max(best.get(item, (0.0,)), (score * self.limits[item], q or 0.0, a or 0.0))
         return [(item, *rest) for item, rest in sorted(best.items())]
 
 
+def _keys(ids: np.ndarray, n: int) -> np.ndarray:
+    """64-bit keys of all runs of n ids."""
+    h = np.zeros(len(ids) - n + 1, np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + len(h)].astype(np.uint64) + np.uint64(1)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def build_indexes(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[ItemIndex]:
     """Indexes of at most SHARD_ITEMS items and about SHARD_CHARS characters each, longest items last.
 
@@ -225,9 +285,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """Pairs ``(key, item, score, question_overlap, answer_overlap)`` of documents and the test items they hold.
 
     Every document is cut into overlapping passages, twice as long as the longest item (two cells of at least CELL
-    words), so that an item lies within one passage whole. A passage retrieves all items of whose own BM25 score it
-    covers THRESHOLD or more, and a pair is kept if half of the item's word five-grams are in the passage, or half of
-    the question's and half of the answer's. The best passage counts.
+    words), so that an item lies within one passage whole. A passage that holds
+    any of the items' n-grams retrieves all items of whose own BM25 score it covers as much as the overlap rule implies,
+    and a pair is kept if half of the item's word five-grams are in the passage, or half of the question's alone, where
+    the question has GRAM words or more. The best passage counts.
 
     Null and empty texts and items match nothing; repeated documents are each reported; a null key is reported as
     null. Empty tables give an empty result. Other columns are not read.

@@ -328,6 +328,38 @@ def test_leaks(spark, monkeypatch):
     assert pairs() == want
 
 
+@pytest.mark.parametrize("shard", [50_000, 20])
+def test_partial_leaks_equal_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", shard)
+    rng = random.Random(16)
+    vocabulary = [f"v{i}" for i in range(1500)]
+    common = vocabulary[:25]
+    words = lambda n, c=0.5: [rng.choice(common if rng.random() < c else vocabulary) for _ in range(n)]
+    # the common words lie at one end, so a half may weigh little
+    parts = [(words(rng.randint(2, 25), 0.95), words(rng.randint(1, 25), 0.1)) for _ in range(50)]
+    items = [(i, " ".join(q) + ". " + " ".join(a) + ".") for i, (q, a) in enumerate(parts)] + [(90, " ".join(words(12)))]
+    rows = []
+    for q, a in parts:
+        whole = q + a
+        n = len(whole)
+        for piece in (q, a, whole, whole[: n // 2 + 3], whole[n // 2 - 3 :], whole[n // 4 : 3 * n // 4 + 3]):
+            rows.append((len(rows), " ".join(words(rng.randint(0, 150), 0.2) + piece + words(rng.randint(0, 150), 0.2))))
+    of = {i: [decontaminate.grams(decontaminate._words(x)) for x in decontaminate.split_item(t)] for i, t in items}
+    want = set()
+    for d, t in rows:
+        w = t.split()
+        there = {tuple(w[i : i + n]) for n in range(1, 6) for i in range(len(w) - n + 1)}
+        for i, (q, a) in of.items():
+            both, question = len(q & there) + len(a & there), len(q & there)
+            long = max(map(len, q)) == 5
+            if 2 * both >= len(q) + len(a) or (long and 2 * question >= len(q)):
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # n-grams a passage apart do not count together
+    assert len(want) > 150 and got <= want and all(len(rows[d][1].split()) > 128 for d, _ in want - got) and len(want - got) <= 0.02 * len(want)
+    assert all((6 * i, i) in got for i, (q, _) in enumerate(parts) if len(q) >= 5)  # questions alone
+
+
 # ---- sketches ----
 
 
