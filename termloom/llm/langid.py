@@ -22,6 +22,8 @@ SAMPLE = 20_000
 EVIDENCE = 40.0
 #: Probability that a declared language is the true one.
 DECLARED = 0.9
+#: Probability that a text is in none of the fitted languages; its trigrams are then equally likely in all buckets.
+UNKNOWN = 0.01
 #: Weight, in documents, of the suffix's share within a host's, and of the global share within a suffix's.
 HOST_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0
 _CHUNK = 1 << 17
@@ -54,12 +56,12 @@ class TextModel:
     log_p: np.ndarray
 
     def evidence(self, text: str) -> np.ndarray | None:
-        """Tempered log likelihood of each language; None where the text has no letters."""
+        """Tempered log likelihood of each language and, last, of none of them; None where the text has no letters."""
         total, n = np.zeros(len(self.languages)), 0
         for h in trigrams(text):
             total += np.bincount(h, minlength=BUCKETS).astype(np.float32) @ self.log_p.T if len(h) > BUCKETS else self.log_p[:, h].sum(axis=1)
             n += len(h)
-        return total * min(1.0, EVIDENCE / n) if n else None
+        return np.append(total, -n * np.log(BUCKETS)) * min(1.0, EVIDENCE / n) if n else None
 
 
 def fit(docs: DataFrame, label: str, key: str, text: str = "text", sample: int = SAMPLE) -> TextModel:
@@ -101,7 +103,7 @@ def _declared_code(declared: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(declared), r"^([A-Za-z]+)", 1))
 
 
-def _score(model: Broadcast, kept: list[str], out: StructType, with_prior: bool, text: str = ""):
+def _score(model: Broadcast, kept: list[str], out: StructType, with_prior: bool, text: str = "", voting: bool = False):
     """Adds language and confidence to a batch's rows. The text is the column ``_text`` or, so that it is not moved
     twice, the field ``text`` of the caller's row."""
 
@@ -111,7 +113,10 @@ def _score(model: Broadcast, kept: list[str], out: StructType, with_prior: bool,
         schema = to_arrow_schema(out)
         languages = model.value.languages
         index = {name: i for i, name in enumerate(languages)}
-        agree, differ = np.log(DECLARED), np.log((1 - DECLARED) / max(1, len(languages) - 1))
+        known = len(languages)
+        agree, differ = np.log(DECLARED), np.log((1 - DECLARED) / max(1, known - 1))
+        # a text in no fitted language may declare any of them or another
+        said_by = [np.append(np.where(np.arange(known) == i, agree, differ), -np.log(known + 1)) for i in range(known)]
         for batch in pieces(batches):
             texts = batch.column("_row").field(text) if "_row" in kept else batch.column("_text")
             declared = batch.column("_declared")
@@ -124,17 +129,21 @@ def _score(model: Broadcast, kept: list[str], out: StructType, with_prior: bool,
                     continue
                 i = index.get(said.as_py())
                 if i is not None:
-                    seen = seen + np.where(np.arange(len(languages)) == i, agree, differ)
+                    seen = seen + said_by[i]
                 if prior is not None:
                     p = np.asarray(prior.as_py())
                     # the row's own vote does not count for itself
                     vote = int(np.argmax(seen))
-                    counts, back = p[: len(languages)].copy(), p[len(languages) :]
-                    counts[vote] = max(0.0, counts[vote] - 1)
-                    seen = seen + np.log((counts + HOST_WEIGHT * back) / (counts.sum() + HOST_WEIGHT))
+                    counts, back = p[:known].copy(), p[known:]
+                    if vote < known:
+                        counts[vote] = max(0.0, counts[vote] - 1)
+                    shares = (counts + HOST_WEIGHT * back) / (counts.sum() + HOST_WEIGHT)
+                    seen = seen + np.log(np.append((1 - UNKNOWN) * shares, UNKNOWN))
                 q = np.exp(seen - seen.max())
-                best = int(np.argmax(q))
-                found.append((languages[best], float(q[best] / q.sum())))
+                best = int(np.argmax(q[:known]))
+                # a vote for none of the languages is no vote
+                none = voting and q[known] > q[best]
+                found.append((None if none else languages[best], float(q[best] / q.sum())))
             arrays = [x for n in kept for x in (batch.column(n).flatten() if n == "_row" else [batch.column(n)])]
             arrays = [x.cast(schema.field(i).type) for i, x in enumerate(arrays)]
             arrays += [pa.array(c, schema.field(len(arrays) + i).type) for i, c in enumerate(zip(*found, strict=True))]
@@ -147,12 +156,13 @@ def identify(
     docs: DataFrame, declared: Column, host: Column, label: str, key: str, text: str = "text", model: TextModel | None = None, sample: int = SAMPLE, name: str = "langid"
 ) -> DataFrame:
     """All columns of ``docs`` and ``_language``, ``_confidence``: the most probable language of every row's whole text
-    and its posterior probability.
+    and its posterior probability, beside the other languages' and that of a text in none of them (see UNKNOWN).
 
     The evidence multiplied per language: the likelihood of the letter trigrams (tempered, see EVIDENCE), the declared
     language (right with probability DECLARED; null or unknown: no evidence), and the host's prior, which is smoothed
     towards that of the address suffix, and that towards the whole corpus. The priors are grouped counts over all rows
-    of each row's vote (text and declared language alone); a row's own vote is taken out of its host's counts.
+    of each row's vote (text and declared language alone; a text in none of the languages has none); a row's own vote is
+    taken out of its host's counts.
 
     A text without letters, null or empty, has no language (null) and confidence 0. A null host shares one prior.
     Ties go to the language first in the alphabet. Repeated rows and null keys stay; an empty table stays empty. Other
@@ -172,7 +182,7 @@ def identify(
     base = docs.select(F.struct("*").alias("_row"), F.coalesce(host, F.lit("")).alias("_host"), _declared_code(declared).alias("_declared"))
     text_of_row = F.coalesce(F.col("_row")[text], F.lit(""))
     vote_type = StructType().add("_host", "string").add("_language", "string").add("_confidence", "double")
-    votes = base.select("_host", "_declared", text_of_row.alias("_text")).mapInArrow(_score(shared, ["_host"], vote_type, False), vote_type)
+    votes = base.select("_host", "_declared", text_of_row.alias("_text")).mapInArrow(_score(shared, ["_host"], vote_type, False, voting=True), vote_type)
     sums = [F.count(F.when(F.col("_language") == name, 1)).cast("double").alias(f"n{i}") for i, name in enumerate(model.languages)]
     scratch = Scratch(spark, name)
     if n:

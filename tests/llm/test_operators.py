@@ -239,6 +239,19 @@ def test_language(spark):
     assert langid.fit(df, "lang", "doc_id", sample=50).languages == ("aa", "bb")
 
 
+def test_texts_in_no_fitted_language_are_rejected(spark):
+    rng = random.Random(14)
+    words = {"aa": "der die und ist nicht das ein haus".split(), "bb": "the of and is not that house".split(), "cc": "olen tulossa kotiin koska sataa vettä".split()}
+    rows = [(i, " ".join(rng.choices(words[c], k=30)), c, "h") for i in range(300) for c in [rng.choice(["aa", "bb"])]]
+    model = langid.fit(spark.createDataFrame(rows, DOCS + ", lang string, source string"), "lang", "doc_id")
+    other = [(1000 + i, " ".join(rng.choices(words["cc"], k=30)), rng.choice(["aa", "cc", None]), "h") for i in range(50)]
+    other += [(2000, "我们今天去公园散步,天气很好,大家都很高兴。", "aa", "h"), (2001, "Сегодня мы пошли гулять в парк", None, "h"), (2002, "qxzj vvkp wwqx zzkj", "bb", "h")]
+    df = spark.createDataFrame(rows + other, DOCS + ", lang string, source string")
+    got = langid.identify(df, F.col("lang"), F.col("source"), "lang", "doc_id", model=model).collect()
+    assert all((r._confidence >= 0.5) == (r.doc_id < 1000) for r in got)
+    assert all(r._language == r.lang for r in got if r.doc_id < 1000)
+
+
 # ---- language model ----
 
 
