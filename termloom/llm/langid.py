@@ -16,8 +16,9 @@ from .rows import pieces
 from .scratch import Scratch
 
 BUCKETS = 1 << 14
-#: At most about so many labelled rows fit the text model (a documented bound; everything else covers all rows).
-SAMPLE = 20_000
+#: At most about so many labelled rows fit the text model, dealt out evenly to the languages, but LEAST to each (a
+#: documented bound; everything else, the set of languages too, covers all rows).
+SAMPLE, LEAST = 20_000, 200
 #: A text counts as at most so many independent trigrams, as neighbouring ones repeat each other.
 EVIDENCE = 40.0
 #: Probability that a declared language is the true one.
@@ -65,12 +66,17 @@ class TextModel:
 
 
 def fit(docs: DataFrame, label: str, key: str, text: str = "text", sample: int = SAMPLE) -> TextModel:
-    """Naive Bayes over hashed trigrams, fitted on the labelled rows whose key's hash falls below a threshold that
-    makes them about ``sample`` at most. Counts are summed by the cluster; languages x BUCKETS sums reach the driver."""
-    labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h"))
-    n = labelled.count()
-    if n > sample:
-        labelled = labelled.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    """Naive Bayes over hashed trigrams, fitted on the labelled rows whose hash falls below a threshold of their
+    language, which makes them about ``sample`` over the number of languages, or LEAST, at most; every language whose
+    label stands at a text with letters has a model. Counts are summed by the cluster; languages x BUCKETS sums reach
+    the driver."""
+    labelled = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).select(F.col(label).alias("l"), F.col(text).alias("t"), F.xxhash64(key, label, text).alias("h"))
+    sizes = {r["l"]: r["count"] for r in labelled.groupBy("l").count().collect()}  # one value a language
+    bound = max(LEAST, sample // max(1, len(sizes)))
+    cuts = {name: int((1 << 30) * bound / n) for name, n in sizes.items() if n > bound}
+    if cuts:
+        cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])[F.col("l")]
+        labelled = labelled.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(cut, F.lit(1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}

@@ -252,6 +252,17 @@ def test_texts_in_no_fitted_language_are_rejected(spark):
     assert all(r._language == r.lang for r in got if r.doc_id < 1000)
 
 
+def test_rare_languages_keep_a_model_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LEAST", 20, raising=False)
+    rng = random.Random(15)
+    words = {"aa": "der die und ist nicht das".split(), "bb": "the of and is not that".split(), "cc": "olen tulossa kotiin koska sataa".split()}
+    rows = [(i, " ".join(rng.choices(words[c], k=12)), c, "h") for i in range(3000) for c in ["cc" if i < 3 else rng.choice(["aa", "bb"])]] + [(None, "%%% 1", "dd", "h")]
+    df = spark.createDataFrame(rows, DOCS + ", lang string, source string")
+    assert langid.fit(df, "lang", "doc_id", sample=60).languages == ("aa", "bb", "cc")
+    got = {r.doc_id: r._language for r in langid.identify(df, F.lit(None).cast("string"), F.col("source"), "lang", "doc_id", sample=60).collect()}
+    assert [got[i] for i in range(3)] == ["cc"] * 3
+
+
 # ---- language model ----
 
 
