@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .rows import text_of
+from .rows import PIECE, text_of
+from .scratch import Scratch
 
 WIDTH = 5  # words of a shingle
-FRACTION = 8  # one in so many shingle hashes is retained
+FRACTION = 1  # one in so many shingle hashes is retained; beyond one, short texts would have few or none
 _KEPT = 300_000
 #: Odd multipliers of the word positions and of the mixing step, fixed values.
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -60,7 +61,7 @@ def retained(text: str, width: int = WIDTH, fraction: int = FRACTION) -> np.ndar
     h ^= h >> np.uint64(27)
     h *= _MIX[1]
     h ^= h >> np.uint64(31)
-    return np.unique(h[h < np.uint64(2**64 // fraction)])
+    return np.unique(h if fraction == 1 else h[h < np.uint64(2**64 // fraction)])
 
 
 def render(text: str, hashes: np.ndarray) -> str:
@@ -122,6 +123,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     Tasks then stream over sorted rows, two documents at a time.
     """
     spark = docs.sparkSession
+    Scratch(spark, "fingerprint")  # sets the size of Arrow batches
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     least = -(2**63)
     rows = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")).withColumn("_order", F.coalesce(F.col("_key").cast("long"), F.lit(least)))
@@ -157,10 +159,13 @@ def _compare(out: StructType, width: int, fraction: int):
 
         schema = to_arrow_schema(out)
         made: list[tuple] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
             made.clear()
+            nonlocal held
+            held = 0
             return batch
 
         def close(now: tuple, following: tuple) -> None:
@@ -168,6 +173,8 @@ def _compare(out: StructType, width: int, fraction: int):
             changed = edited(text, following[1])
             ch = retained(changed, width, fraction)
             cp = render(changed, ch)
+            nonlocal held
+            held += len(print_) + len(cp)
             made.append((key, len(text), sha256(changed.encode()).hexdigest(), print_, cp, _likeness(print_, hashes, cp, ch), _likeness(print_, hashes, following[3], following[2])))
 
         now, at, closed = None, None, True
@@ -182,7 +189,7 @@ def _compare(out: StructType, width: int, fraction: int):
                     close(now, here)
                 closed = bool(ghost.as_py())
                 now, at = here, where.as_py()
-                if len(made) >= 500:
+                if len(made) >= 500 or held >= PIECE:
                     yield flush()
         if made:
             yield flush()

@@ -387,6 +387,17 @@ def test_partial_leaks_equal_brute_force(spark, monkeypatch, shard):
 # ---- sketches ----
 
 
+@pytest.mark.parametrize("share", [0, 1])
+def test_short_texts_are_as_alike_as_their_shingles(spark, share):
+    rng = random.Random(18)
+    rows = [(i, " ".join(rng.choices(["aa", "bb", "c", "dddd", "e"] if share else [f"s{i}" for i in range(500)], k=rng.randint(5, 60)))) for i in range(150)]
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    by = {r.doc_id: r for r in sketch.fingerprint_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, t in rows:
+        a, b, c = (shingles(x) for x in (t, sketch.edited(t, rows[i - 1][1]), rows[i - 1][1]))
+        assert by[i].near_edited == pytest.approx(len(a & b) / len(a | b)) and by[i].near_next == pytest.approx(len(a & c) / len(a | c))
+
+
 def test_sketches(spark):
     rng = random.Random(8)
     vocabulary = [f"s{i}" for i in range(900)]
