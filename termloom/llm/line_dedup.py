@@ -9,21 +9,37 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from .rows import pieces, text_of
+from .rows import join_spread, pieces, size_of, text_of
 from .scratch import Scratch
-from .settle import settle
+from .settle import distinct, settle
 
-SHINGLE = 8  # characters
+SHINGLE = 5  # characters: a line of 49 or more with one letter changed, of 80 or more with a short word, is still alike
 LIKENESS = 0.8
-BANDS, ROWS = 12, 5  # a pair of likeness 0.8 is missed with probability 0.9 %, one of 0.9 with 0.002 %
-_rng = np.random.default_rng(20)
-_MULTIPLY = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_BLOCK = 1 << 19  # characters signed at once
-_SHINGLES = 1 << 17  # shingles written at once
+#: Bands of BAND_ROWS out of ROWS minima, any two bands with two in common at most: a pair of likeness 0.8 is missed with
+#: probability 2.2 %, one of 0.85 with 0.4 %, one of 0.9 with 0.02 %.
+ROWS, BANDS, BAND_ROWS = 48, 16, 6
+_BLOCK = 1 << 15  # characters signed at once: they stay in the processor's cache
 _BLOOM_BITS = 27
+_PART_BYTES = 1 << 20  # of the table, for each part that its bands are dealt into
+
+
+def _design(rows: int, bands: int, width: int) -> np.ndarray:
+    """Which minima make up each band: every one equally often, and any two bands have as few in common as a hundred
+    draws allow."""
+    rng = np.random.default_rng(20)
+    best, least = None, width + 1
+    for _ in range(100):
+        drawn = np.concatenate([rng.permutation(rows) for _ in range(-(-bands * width // rows))])[: bands * width].reshape(bands, width)
+        common = [len(np.intersect1d(drawn[i], drawn[j])) for i in range(bands) for j in range(i)]
+        if all(len(set(b)) == width for b in drawn) and max(common) < least:
+            best, least = drawn, max(common)
+    return best
+
+
+_MULTIPLY = np.random.default_rng(20).integers(0, 2**32, ROWS, dtype=np.uint32) | np.uint32(1)
+_OF_BAND = _design(ROWS, BANDS, BAND_ROWS)
 
 
 def normal(line: str) -> str:
@@ -36,18 +52,31 @@ def line_hash(normalised: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
-
-
-def likeness(a: str, b: str) -> float:
-    """Exact Jaccard likeness of the sets of character shingles; a shorter line is one shingle."""
-    return _likeness(shingles(a), shingles(b))
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of every line's character shingles, in order and with repeats, and how many each line has. A line
+    shorter than a shingle is one shingle."""
+    lines = [x.ljust(SHINGLE, "\0") for x in lines]
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = np.zeros(len(c) - SHINGLE + 1, np.uint64)
+    for i in range(SHINGLE):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += c[i : i + len(h)]
+    # shingles that would reach into the next line go
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(sizes)[:-1]
+    for i in range(1, SHINGLE):
+        inside[ends - i] = False
+    h = h[inside]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h, sizes - SHINGLE + 1
 
 
-def _likeness(a: set[str], b: set[str]) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+def shingle_sets(lines: list[str]) -> np.ndarray:
+    """The lines' numbered distinct shingles."""
+    h, sizes = shingle_hashes(lines)
+    return distinct(np.repeat(np.arange(len(lines)), sizes), h)
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -59,33 +88,33 @@ def band_keys(lines: list[str]) -> np.ndarray:
         while stop < len(lines) and (stop == start or size + len(lines[stop]) < _BLOCK):
             size += max(SHINGLE, len(lines[stop]))
             stop += 1
-        out[start:stop] = _sign([x.ljust(SHINGLE, "\0") for x in lines[start:stop]])
+        out[start:stop] = _keys(_minima(lines[start:stop]))
         start = stop
     return out
 
 
-def _sign(lines: list[str]) -> np.ndarray:
-    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    ends = np.cumsum(sizes)
-    h = np.zeros(len(c) - SHINGLE + 1, np.uint64)
-    for i in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + len(h)]
-    # shingles that would reach into the next line go
-    inside = np.ones(len(h), bool)
-    for i in range(1, SHINGLE):
-        at = ends[:-1] - i
-        inside[at] = False
-    h = h[inside]
-    h ^= h >> np.uint64(29)
-    h = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
-    first = np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
-    keys = np.empty((len(lines), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(lines), band + 1, np.uint64)
-        for row in range(band * ROWS, band * ROWS + ROWS):
-            least = np.minimum.reduceat(h * _MULTIPLY[row] + _ADD[row], first)
-            key = (key ^ least.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+def _minima(lines: list[str]) -> np.ndarray:
+    """ROWS minima of each line, of a block of lines or of one long line a block at a time."""
+    if len(lines) == 1 and len(lines[0]) > 2 * _BLOCK:
+        line = lines[0]
+        return np.minimum.reduce([_minima([line[i : i + _BLOCK + SHINGLE - 1]]) for i in range(0, len(line) - SHINGLE + 1, _BLOCK)])
+    h, sizes = shingle_hashes(lines)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    out = np.empty((ROWS, len(lines)), np.uint32)
+    order = np.empty_like(h)
+    for row in range(ROWS):
+        np.multiply(h, _MULTIPLY[row], out=order)
+        np.minimum.reduceat(order, first, out=out[row])
+    return out
+
+
+def _keys(minima: np.ndarray) -> np.ndarray:
+    keys = np.empty((minima.shape[1], BANDS), np.uint64)
+    for band, rows in enumerate(_OF_BAND):
+        key = np.full(minima.shape[1], band + 1, np.uint64)
+        for row in rows:
+            key = (key ^ minima[row].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
         keys[:, band] = key
     return keys
@@ -99,158 +128,185 @@ def _lines_of(texts: pa.Array) -> Iterator[tuple[int, int, str]]:
                 yield row, at, n
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        found = [(row, at, line_hash(n)) for row, at, n in _lines_of(batch.column("_text"))]
-        if found:
-            rows, ats, hashes = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows)), pa.array(ats, pa.int32()), pa.array(hashes, pa.int64())], ["doc", "at", "line"])
+_GROUP = "key long, node long, leader long"
+
+
+def _scan(kind: StructType, parts: int):
+    """Two kinds of rows: a document with the places and hashes of its lines; or some of a piece's distinct lines with
+    their bands' keys, packed, for one of the parts that the bands are dealt into.
+
+    Lines of the piece that share a band are put together here: the least becomes their leader and alone goes on to meet
+    other pieces; the others' rows are ready and stay where they are, as part -1. So a hot band leaves a piece as one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(kind)
+        for batch in pieces(batches):
+            names, rows, ats, hashes = {}, [], [], []
+            for row, at, n in _lines_of(batch.column("_text")):
+                h = line_hash(n)
+                names[h] = n
+                rows.append(row)
+                ats.append(at)
+                hashes.append(h)
+            if not names:
+                continue
+            where = np.array(rows)
+            first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+            offsets = pa.array(np.append(first, len(where)).astype(np.int32))
+            packed = _pack(np.fromiter(names, np.int64, len(names)), band_keys(list(names.values())), parts)
+            n, m = len(first), len(packed)
+            columns = [
+                pa.concat_arrays([batch.column("doc").take(pa.array(where[first])), pa.nulls(m, batch.column("doc").type)]),
+                pa.concat_arrays([pa.ListArray.from_arrays(offsets, pa.array(ats, pa.int32())), pa.nulls(m, pa.list_(pa.int32()))]),
+                pa.concat_arrays([pa.ListArray.from_arrays(offsets, pa.array(hashes, pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
+                pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array([p for p, _ in packed], pa.int32())]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([b for _, b in packed], pa.binary())]),
+            ]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
 
 
-_BAND = "key long, line long, leader long"
+def _pack(line: np.ndarray, keys: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    key, line = keys.ravel(), np.repeat(line, BANDS)
+    order = np.lexsort((line, key))
+    key, line = key[order], line[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    leader = line[np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = []
+    if not new.all():
+        below = ~new
+        out.append((-1, key[below].tobytes() + line[below].tobytes() + leader[below].tobytes()))
+    key, line = key[new], line[new]
+    part = (key % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    key, line, part = key[order], line[order], part[order]
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+        out.append((int(part[a]), key[a:b].tobytes() + line[a:b].tobytes()))
+    return out
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band rows of a batch's distinct lines. Lines that share a band within the batch are combined here: the least
-    becomes their leader and alone goes on to meet other batches, so a hot band leaves a batch as one row to be dealt."""
-    for batch in pieces(batches):
-        distinct = {line_hash(n): n for _, _, n in _lines_of(batch.column("_text"))}
-        if not distinct:
-            continue
-        line = np.fromiter(distinct, np.int64, len(distinct))
-        keys = band_keys(list(distinct.values())).view(np.int64)
-        key, line = keys.ravel(), np.repeat(line, BANDS)
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows, sorted by part, to the groups of two or more lines that share a band; the least line leads."""
+
+    def group(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        flat = [np.frombuffer(b, np.int64).reshape(2, -1) for b in blobs]
+        key, line = np.concatenate(flat, axis=1)
         order = np.lexsort((line, key))
         key, line = key[order], line[order]
+        other = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
+        key, line = key[other], line[other]
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        leader = line[np.flatnonzero(new)][np.cumsum(new) - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), pa.array(leader)], ["key", "line", "leader"])
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(key)))
+        leader = np.repeat(line[starts], size)
+        yield from rows(key, line, leader, np.repeat(size, size) > 1)
 
+    def rows(key, line, leader, keep) -> Iterator[pa.RecordBatch]:
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, line, leader)], ["key", "node", "leader"])
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: those already below a leader pass; leaders of the same key get the first of them as theirs."""
-    last_key, last_leader = None, None
+    last, held = None, []
     for batch in batches:
-        key, line, leader = (batch.column(n).to_numpy() for n in ("key", "line", "leader"))
-        own = line == leader
-        out = [(key[~own], line[~own], leader[~own])]
-        key, line = key[own], line[own]
-        if len(key):
-            new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-            starts = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            firsts = line[starts]
-            top = np.where(group >= 0, firsts[np.maximum(group, 0)] if len(starts) else 0, last_leader if last_leader is not None else 0)
-            below = ~new & (line != top)
-            out.append((key[below], line[below], top[below]))
-            last_key, last_leader = int(key[-1]), int(top[-1])
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "line", "leader"])
-
-
-def _wanted_lines(words: dict, out: str):
+        for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
+            if part < 0:
+                key, line, leader = np.frombuffer(blob.as_py(), np.int64).reshape(3, -1)
+                yield from rows(key, line, leader, np.ones(len(key), bool))
+                continue
+            if part != last and held:
+                yield from group(held)
+                held = []
+            last = part
+            held.append(blob.as_py())
+    if held:
+        yield from group(held)
+
+
+def _wanted_lines(words):
     """Hash and normal form of lines whose hash may be wanted, by a bit table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = words.value
         for batch in pieces(batches):
-            distinct = {line_hash(n): n for _, _, n in _lines_of(batch.column("_text"))}
-            if not distinct:
+            found = {line_hash(n): n for _, _, n in _lines_of(batch.column("_text"))}
+            if not found:
                 continue
-            h = np.fromiter(distinct, np.int64, len(distinct))
+            h = np.fromiter(found, np.int64, len(found))
             at = h & ((1 << _BLOOM_BITS) - 1)
             keep = (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
-            names = list(distinct.values())
+            names = list(found.values())
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array([names[i] for i in np.flatnonzero(keep)])], ["line", "normal"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array([names[i] for i in np.flatnonzero(keep)])], ["node", "text"])
 
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Decides pairs; pairs of one ``b`` come together, so its shingles are kept."""
-    last, known = None, set()
-    for batch in pieces(batches):
-        alike = []
-        for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True):
-            a, b = a.as_py(), b.as_py()
-            if b != last:
-                last, known = b, shingles(b)
-            alike.append(_likeness(shingles(a), known) >= LIKENESS)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
-
-
-def _line_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        own, first, held = [], 0, 0
-        for i, text in enumerate(batch.column("text")):
-            found = shingles(text.as_py())
-            own.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
-            held += len(found)
-            if held >= _SHINGLES or i == batch.num_rows - 1:
-                counts = np.fromiter(map(len, own), np.int32, len(own))
-                at = pa.array(np.repeat(np.arange(first, i + 1, dtype=np.int32), counts))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").take(at), batch.column("c").take(at), pa.array(np.repeat(counts, counts)), pa.array(np.concatenate(own).view(np.int64))],
-                    ["node", "c", "size", "shingle"],
-                )
-                own, first, held = [], i + 1, 0
-
-
-def line_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
+def line_components(texts: DataFrame, bands: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, root)`` of lines, by hash, that hang together over links of likeness LIKENESS or more.
 
-    Every pair that shares a band is decided, see ``settle``.
+    ``texts(_text)``: the documents' texts, ``bands(part, blob)`` their lines' packed bands. Every pair that shares a
+    band is decided, see ``settle``.
     """
-    spark = docs.sparkSession
-    texts = docs.select(text_of(text).alias("_text"))
-    bands = texts.mapInArrow(_bands, _BAND)
-    # lines below a leader pass through the exchange, evenly dealt; leaders meet by key
-    deal = F.when(F.col("line") == F.col("leader"), F.col("key")).otherwise(F.xxhash64("key", "line"))
-    dealt = bands.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("key", "line")
-    buckets = scratch.save(dealt.mapInArrow(_buckets, _BAND))
-    nodes = buckets.select(F.explode(F.array("line", "leader")).alias("line")).distinct()
-    mask = F.col("line").bitwiseAND((1 << _BLOOM_BITS) - 1)
+    spark = texts.sparkSession
+    # ready rows pass where they are; the others meet by part
+    deal = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.xxhash64("blob"))
+    met = bands.withColumn("deal", deal).repartition("deal").sortWithinPartitions("part").select("part", "blob").mapInArrow(_meet, _GROUP)
+    groups = scratch.save(met)
+    # a leader within a piece is a member of its group, too, where it meets no other piece
+    groups = groups.unionByName(groups.where("node <> leader").select("key", F.col("leader").alias("node"), "leader")).distinct()
+    groups = scratch.save(groups)
+    nodes = groups.select("node").distinct()
+    mask = F.col("node").bitwiseAND((1 << _BLOOM_BITS) - 1)
     table = np.zeros(1 << (_BLOOM_BITS - 5), np.uint32)
     # a bit table of 16 MB whatever the corpus: with very many candidate lines it filters less, but stays right
     set_words = nodes.groupBy(F.shiftright(mask, 5).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), mask.bitwiseAND(31).cast("int"))).alias("b")).toPandas()
     table[set_words["w"].to_numpy(np.int64)] = set_words["b"].to_numpy(np.int64).astype(np.uint32)
     bits = spark.sparkContext.broadcast(table)
-    found = texts.mapInArrow(_wanted_lines(bits, "line"), "line long, normal string")
-    normals = scratch.save(found.join(nodes, "line", "left_semi").dropDuplicates(["line"]).toDF("node", "text"))
-
-    groups = buckets.withColumnRenamed("line", "node")
-    return settle(groups, normals, _verify, _line_shingles, LIKENESS, scratch)
+    found = texts.mapInArrow(_wanted_lines(bits), "node long, text string")
+    normals = scratch.save(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    bits.destroy()
+    return settle(groups, normals, shingle_sets, LIKENESS, scratch)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "lines") -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, and ``n_lines`` and ``n_dropped`` (lines that are not blank).
 
     Lines are compared in their normal form (lower case, single blanks). Equal lines, and lines whose sets of
-    eight-character shingles have a Jaccard likeness of 0.8 or more, are linked; of every component of links only the
+    five-character shingles have a Jaccard likeness of 0.8 or more, are linked; of every component of links only the
     first occurrence stays: the one with the least key, then the earliest line. Blank lines always stay.
 
     A null text stays null, an empty one empty; a document may come out without lines. Rows that share a key count as
     one document (repeated rows are cleaned alike); rows with a null key count as coming last. Other columns pass
-    through, but ``n_lines`` and ``n_dropped`` replace columns of that name. An empty table stays empty.
+    through, but ``n_lines`` and ``n_dropped`` replace columns of that name. An empty table stays empty. Texts and lines
+    of any length are read whole: a line takes about 40 bytes a character while its shingles are compared.
 
-    Lines are known by a 64-bit hash. One exchange deals the bands (about twenty bytes each) and one the texts, to meet
-    the list of their dropped lines; only candidate lines' texts are compared. Counts and a fixed bit table reach the
-    driver, no lines, links or components.
+    Lines are known by a 64-bit hash. One exchange deals the bands (16 bytes each, packed) and one the texts, to meet the
+    list of their dropped lines; only candidate lines' texts are compared. Counts and a fixed bit table reach the driver,
+    no lines, links or components.
     """
     scratch = Scratch(docs.sparkSession, name)
     docs = docs.drop("n_lines", "n_dropped")
-    roots = line_components(docs, scratch, text)
     kind = docs.schema[key].dataType
-    occurrences = docs.select(F.col(key).alias("doc"), text_of(text).alias("_text")).mapInArrow(
-        _occurrences, StructType().add("doc", kind).add("at", "integer").add("line", "long")
-    )
-    rooted = occurrences.join(roots, occurrences["line"] == roots["node"], "left").select("doc", "at", "line", F.coalesce("root", "line").alias("root"))
-    rooted = scratch.save(rooted)
+    texts = docs.select(F.col(key).alias("doc"), text_of(text).alias("_text"))
+    scanned = StructType([StructField("doc", kind), *StructType.fromDDL("at array<int>, line array<long>, part int, blob binary").fields])
+    parts = max(64, min(1 << 30, size_of(docs) // _PART_BYTES))
+    scan = scratch.save(texts.mapInArrow(_scan(scanned, parts), scanned))
+    roots = line_components(texts.select("_text"), scan.where("part is not null").select("part", "blob"), scratch)
+    occurrences = scan.where("part is null").select("doc", F.inline(F.arrays_zip("at", "line")))
     order = F.struct(F.col("doc").isNull().alias("last"), "doc", "at")
-    first = rooted.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    drops = rooted.join(first, "root").where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("at") == F.col("first.at"))))
+    lines = occurrences.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    rooted = scratch.save(lines.join(roots, lines["line"] == roots["node"], "left").select("line", "first", "n", F.coalesce("root", "line").alias("root")))
+    tops = rooted.groupBy("root").agg(F.min("first").alias("top"), F.sum("n").alias("total"), F.count("*").alias("lines")).where("total > 1")
+    tops = scratch.save(tops)
+    counts = rooted.agg(F.count("*").alias("lines"), F.sum("n").alias("n")).first()
+    # lines that occur again or hang together with others; hot lines and roots are few and travel to all tasks
+    again = scratch.save(join_spread(rooted.select("line", "n", "root"), tops.select("root", "top", "lines"), "root", "lines", counts["lines"]))
+    drops = join_spread(occurrences, again.select("line", "n", "top"), "line", "n", counts["n"] or 0)
+    drops = drops.where(~(F.col("doc").eqNullSafe(F.col("top.doc")) & (F.col("at") == F.col("top.at"))))
     # a list belongs to one document and is no longer than its lines
     lists = drops.groupBy("doc").agg(F.collect_set(F.struct("at", "line")).alias("_drops"))
     row = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_doc"))

@@ -53,6 +53,26 @@ def _array(values, kind) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
 
+def size_of(df: DataFrame) -> int:
+    """The planner's estimate of a table's bytes, from its files; it costs no job. An unknown size counts as 16 GB."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 1 << 34
+
+
+#: A key with this share of all rows is hot.
+HOT = 1000
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, whose ``key`` is unique and whose ``weight`` says how many rows of ``left`` it has,
+    of ``total`` in all. Keys with more than one row in HOT travel to all tasks: there are at most HOT of them. So none of
+    the other keys brings more than one row in HOT into a task. ``right`` should be a written table: it is read twice.
+    """
+    hot = F.broadcast(right.where(F.col(weight) * HOT > total))
+    light = right.where(F.col(weight) * HOT <= total)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(light, key))
+
+
 def text_of(name: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit("")).alias(name)

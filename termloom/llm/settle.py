@@ -2,64 +2,192 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .rows import pieces
 from .scratch import Scratch
 
-SMALL = 32  # nodes of a group whose pairs are simply made
+BLOCK = 1024  # members of a block of a large group
+BLOCK_CHARS = 4 << 20  # and the characters that it holds on average at most
+SALTED = 5000  # a leader's nodes are dealt out over one key for so many pairs in all
+_HASH = 48  # bits of a shingle's hash, below the number of its text
+_CHUNK = 1 << 20  # shingles compared at once
 
+#: Texts to their numbered distinct shingles, ascending: number << 48 | 48 bits of the hash.
+Shingler = Callable[[list[str]], np.ndarray]
 
-def settle(groups: DataFrame, texts: DataFrame, verify: Callable, expand: Callable, likeness: float, scratch: Scratch) -> DataFrame:
-    """``(node, root)`` of nodes that hang together over links of ``likeness`` or more.
 
-    ``groups(key, node, leader)`` holds every node of a group but its leader; ``texts(node, text)`` the texts of all of
-    them. ``verify`` turns batches of ``(a, b, ta, tb)`` into ``(a, b, alike)``; ``expand`` those of ``(node, c, text)``
-    into ``(node, c, size, shingle)``, a row for each of a text's ``size`` distinct shingles, whose Jaccard likeness is
-    meant.
+def distinct(numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct ``number << 48 | 48 bits of the hash``: two of a pair of texts' shingles collide once in 10^9 pairs."""
+    x = np.sort((numbers.astype(np.uint64) << np.uint64(_HASH)) | (hashes >> np.uint64(64 - _HASH)))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
-    Every pair that shares a group is decided: first each node with the group's leader; then, among groups that are not
-    yet in one component, every pair of different components: in small groups directly, in large ones those that can be
-    alike at all, found by their rarest shingles. Pairs already known to hang together are not made, so a group with
-    thousands of variants of one text costs about one comparison each.
+
+def _verify(sets: Shingler, likeness: float):
+    """``(a, b, ta, tb)`` to ``(a, b, alike)``, many pairs at a time: a shingle of both texts is found twice."""
+
+    def compare(ta: list[str], tb: list[str]) -> np.ndarray:
+        x, y = sets(ta), sets(tb)
+        both = np.sort(np.concatenate([x, y]))
+        twice = both[1:][both[1:] == both[:-1]] >> np.uint64(_HASH)
+        n = len(ta)
+        shared = np.bincount(twice.astype(np.int64), minlength=n)
+        either = np.bincount((both >> np.uint64(_HASH)).astype(np.int64), minlength=n) - shared
+        return shared >= likeness * either - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+            out, start, held = [], 0, 0
+            for i in range(len(ta)):
+                held += len(ta[i]) + len(tb[i])
+                if held >= _CHUNK or i - start >= 30_000 or i == len(ta) - 1:
+                    out.append(compare(ta[start : i + 1], tb[start : i + 1]))
+                    start, held = i + 1, 0
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.concatenate(out), pa.bool_())], ["a", "b", "alike"])
+
+    return run
+
+
+def block_links(c: np.ndarray, shingles: np.ndarray, likeness: float) -> list[tuple[int, int]]:
+    """Links between components that join all members alike by ``likeness`` or more. ``c``: each member's component so
+    far, ``shingles``: the members' numbered shingles.
+
+    A component grows until none of the other members is alike to one of its own; members already in it are never
+    compared with each other, so a group of variants of one text costs little more than a comparison each.
     """
+    names, label = np.unique(c, return_inverse=True)
+    if len(names) < 2:
+        return []
+    member = (shingles >> np.uint64(_HASH)).astype(np.int64)
+    size = np.bincount(member, minlength=len(c))
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    _, word = np.unique(shingles & np.uint64((1 << _HASH) - 1), return_inverse=True)
+    mark = np.zeros(word.max() + 1, np.uint8)
+    members = [np.flatnonzero(label == k) for k in range(len(names))]
+    links = []
+    open_ = np.ones(len(names), bool)
+    for k in np.argsort([-len(m) for m in members], kind="stable"):
+        if not open_[k]:
+            continue
+        open_[k] = False
+        rest = np.flatnonzero(open_[label])
+        at, words = _gather(rest, first, size, word)
+        queue = list(members[k])
+        while queue and len(rest):
+            x = queue.pop()
+            own = word[first[x] : first[x] + size[x]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[words], at, dtype=np.int64)
+            mark[own] = 0
+            alike = shared >= likeness * (size[rest] + size[x] - shared) - 1e-9
+            if alike.any():
+                for other in np.unique(label[rest[alike]]):
+                    links.append((int(names[k]), int(names[other])))
+                    open_[other] = False
+                    queue.extend(members[other])
+                rest = rest[open_[label[rest]]]
+                at, words = _gather(rest, first, size, word)
+    return links
+
+
+def _gather(rest: np.ndarray, first: np.ndarray, size: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members' shingles one after the other, and where each member's begin."""
+    sizes = size[rest]
+    at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(rest) else np.zeros(0, np.int64)
+    return at, word[np.repeat(first[rest] - at, sizes) + np.arange(sizes.sum())]
+
 
-    def decide(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return scratch.save(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, alike boolean"))
+def _solve(sets: Shingler, likeness: float):
+    """Sorted rows ``(key, i, j, node, c, text)`` to links ``(a, b)`` between components, one block at a time."""
 
-    decided = decide(groups.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    def links(nodes: list, c: list, texts: list) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(np.concatenate(nodes), kind="stable")
+        flat = [t for part in texts for t in part.to_pylist()]
+        found = block_links(np.concatenate(c)[order], sets([flat[i] for i in order]), likeness)
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, ([], [], [])
+        for batch in pieces(batches):
+            key = np.stack([batch.column(n).to_numpy() for n in ("key", "i", "j")], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                now = tuple(key[start])
+                if now != last and last is not None:
+                    yield from links(*held)
+                    held = ([], [], [])
+                last = now
+                part = batch.slice(start, stop - start)
+                held[0].append(part.column("node").to_numpy())
+                held[1].append(part.column("c").to_numpy())
+                held[2].append(part.column("text"))
+        if last is not None:
+            yield from links(*held)
+
+    return run
+
+
+def settle(groups: DataFrame, texts: DataFrame, sets: Shingler, likeness: float, scratch: Scratch) -> DataFrame:
+    """``(node, root)`` of nodes that hang together over links of ``likeness`` (Jaccard) or more.
+
+    ``groups(key, node, leader)`` holds every member of every group, with a member that leads it, in a written table;
+    ``texts(node, text)`` the texts of all of them, likewise. Every pair that shares a group is decided:
+
+    First each node with its leader. A leader's text travels once for each SALTED pairs of the whole table, so a hot
+    leader is dealt out. Then groups whose members are still in several components go to tasks with their texts, where a
+    component meets the members of all others (``block_links``); groups of the same members go once. A group of more
+    than 2 x BLOCK members, or of long texts, goes in blocks: the members of its largest component, a block at a time,
+    with those outside, a block at a time. The links' components are then joined.
+
+    Rows grow with the groups' members, not with their pairs, unless more than BLOCK members lie outside the largest
+    component of one group: then with members x blocks outside. Nothing but counts reaches the driver.
+    """
+    pairs = scratch.save(groups.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    ways = max(1, pairs.count() // SALTED)
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(ways)))
+    leaders = salted.select("b", "salt").distinct().join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(leaders, ["b", "salt"])
+    decided = scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(_verify(sets, likeness), "a long, b long, alike boolean"))
     roots = scratch.save(connected_components(decided.where("alike").select("a", "b"), scratch))
-    # groups whose nodes are still in several components
-    failed = decided.where("not alike").select(F.col("a").alias("node"), F.col("b").alias("leader"))
-    open_keys = groups.join(failed, ["node", "leader"], "left_semi").select("key").distinct()
-    members = groups.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("node", "leader")).alias("member")).distinct()
-    members = members.join(roots, members["member"] == roots["node"], "left").select("key", F.col("member").alias("node"), F.coalesce("root", "member").alias("c"))
-    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi and n > 2").select("key", "n")
-    members = scratch.save(members.join(several, "key"))
-    # small groups: their pairs, a bounded number each; the row with the smaller component comes first
-    few = members.where(F.col("n") <= SMALL)
-    direct = few.select("key", F.col("node").alias("a"), F.col("c").alias("ca")).join(few.select("key", F.col("node").alias("b"), F.col("c").alias("cb")), "key").where("ca < cb").select("a", "b")
-    unsettled = members.where(F.col("n") > SMALL).select("node", "c").distinct()
-    # A pair of likeness t shares one of the (1 - t) x size + 1 rarest shingles of either text: an exact filter that
-    # passes over passages which many texts share.
-    own = scratch.save(unsettled.join(texts, "node").select("node", "c", "text").mapInArrow(expand, "node long, c long, size int, shingle long"))
-    df = own.groupBy("shingle").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))  # a window is one text's shingles
-    prefix = own.join(df, "shingle").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * likeness - 1e-9) + 1).where("df > 1")
-    prefix = scratch.save(prefix.select("node", "c", "size", "shingle"))
-    scratch.drop(own)
-    left = prefix.select("shingle", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
-    right = prefix.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"))
-    sizes = (F.col("sa") >= likeness * F.col("sb")) & (F.col("sb") >= likeness * F.col("sa"))
-    rest = left.join(right, "shingle").where("ca < cb").where(sizes).select("a", "b").unionByName(direct).distinct()
-    tested = decided.select("a", "b").unionByName(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = decide(rest.join(tested, ["a", "b"], "left_anti"))
-    scratch.drop(prefix)
-    if more.where("alike").limit(1).count():
-        roots = scratch.save(connected_components(decided.unionByName(more).where("alike").select("a", "b"), scratch))
-    return roots
+
+    placed = groups.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"))
+    by_key = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("h"))
+    # groups of the same members are one; of two members the first step has decided
+    open_keys = by_key.where("lo < hi and n > 2").groupBy("n", "h", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    sized = texts.select("node", F.length("text").cast("long").alias("chars"))
+    members = scratch.save(placed.join(open_keys, "key").join(sized, "node"))
+    top = members.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    top = top.groupBy("key").agg(F.max(F.struct("n", "c", "chars")).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    blocks = lambda n, chars: F.greatest(F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS), F.lit(1)).cast("int")
+    whole = (F.col("n") <= 2 * BLOCK) & (F.col("chars") <= 2 * BLOCK_CHARS)
+    inside = F.when(whole, 1).otherwise(blocks(F.col("top.n"), F.col("top.chars"))).alias("inside")
+    outside = F.when(whole, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars"))).alias("outside")
+    dealt = members.join(top.select("key", F.col("top.c").alias("most"), inside, outside), "key")
+    h = F.xxhash64("node")
+    own_in, own_out = F.pmod(h, "inside").cast("int"), F.pmod(h, "outside").cast("int")
+    block = lambda i, j: F.struct(F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), j.alias("j"))
+    # i: the block outside, j >= 0: the block inside; j < 0: -1 - the other block outside
+    of_most = F.transform(F.sequence(F.lit(0), F.col("outside") - 1), lambda i: block(i, own_in))
+    with_most = F.transform(F.sequence(F.lit(0), F.col("inside") - 1), lambda j: block(own_out, j))
+    with_others = F.transform(F.sequence(F.lit(0), F.col("outside") - 1), lambda o: block(F.least(own_out, o), -1 - F.greatest(own_out, o)))
+    of_others = F.when(F.col("outside") > 1, F.concat(with_most, with_others)).otherwise(with_most)
+    spread = dealt.select("key", "node", "c", F.explode(F.when(F.col("c") == F.col("most"), of_most).otherwise(of_others)).alias("x"))
+    spread = spread.select("key", "x.i", "x.j", "node", "c").join(texts.select("node", "text"), "node")
+    ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = scratch.save(ordered.select("key", "i", "j", "node", "c", "text").mapInArrow(_solve(sets, likeness), "a long, b long").distinct())
+    scratch.drop(members)
+    if not links.limit(1).count():
+        return roots
+    joined = scratch.save(connected_components(links, scratch).withColumnsRenamed({"node": "c", "root": "top"}))
+    # a component of one node is not among the roots of the first step
+    known = roots.unionByName(joined.select(F.col("c").alias("node"), F.col("c").alias("root")).join(roots.select("node"), "node", "left_anti"))
+    return scratch.save(known.join(joined, known["root"] == joined["c"], "left").select("node", F.coalesce("top", "root").alias("root")))

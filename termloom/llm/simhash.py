@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .graph import connected_components
 from .rows import map_columns, text_of
 from .scratch import Scratch
-from .settle import settle
+from .settle import distinct, settle
 
 _CHUNK = 1 << 16  # hashes unpacked at once
 
@@ -275,11 +275,6 @@ _rng = np.random.default_rng(31)
 _MULTIPLY = _rng.integers(0, 2**64, SAMPLES, dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_set(text: str, width: int = 5) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    return np.unique(shingle_hashes(text, width))
-
-
 def sample_prints(hashes: np.ndarray) -> np.ndarray:
     """SimHashes of SAMPLES min-wise samples of a set of shingle hashes: each of the SAMPLED that come first in an order
     of its own. A pair of texts takes the same sample with about the third power of its likeness."""
@@ -305,36 +300,12 @@ def _identity(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _verify(width: int):
-    """Decides pairs by the exact likeness; pairs of one ``b`` come together, so its shingles are kept."""
+def _sets(width: int):
+    """The texts' numbered distinct shingles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            alike = []
-            for node, a, b in zip(batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
-                if node != last:
-                    last, known = node, shingle_set(b.as_py(), width)
-                own = shingle_set(a.as_py(), width)
-                both = len(np.intersect1d(own, known, assume_unique=True))
-                alike.append(both >= LIKENESS * (len(own) + len(known) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
-
-    return run
-
-
-def _expand(width: int):
-    """A row for each distinct shingle, one text at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, c, text in zip(batch.column("node"), batch.column("c"), batch.column("text"), strict=True):
-                own = shingle_set(text.as_py(), width)
-                at = pa.array(np.zeros(len(own), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([node.as_py()], pa.int64()).take(at), pa.array([c.as_py()], pa.int64()).take(at), pa.array(np.full(len(own), len(own), np.int32)), pa.array(_signed(own))],
-                    ["node", "c", "size", "shingle"],
-                )
+    def run(texts: list[str]) -> np.ndarray:
+        found = [shingle_hashes(t, width) for t in texts]
+        return distinct(np.repeat(np.arange(len(found)), [len(h) for h in found]), np.concatenate([np.zeros(0, np.uint64), *found]))
 
     return run
 
@@ -371,8 +342,8 @@ def keep_one(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "
     rooted = nodes.select("node", "whole").join(roots.withColumnRenamed("node", "_fp"), F.col("whole") == F.col("_fp"), "left")
     keyed = rooted.select(F.coalesce("root", "whole").alias("key"), "node").unionByName(nodes.select(F.explode("samples").alias("key"), "node")).distinct()
     leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = scratch.save(keyed.join(leaders, "key").where("node <> leader").select("key", "node", "leader"))
-    wanted = groups.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
+    groups = scratch.save(keyed.join(leaders, "key").select("key", "node", "leader"))
+    wanted = groups.select("node").distinct()
 
     @F.pandas_udf("long")
     def identity(texts):
@@ -380,7 +351,7 @@ def keep_one(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "
 
     read = docs.select(identity(text_of(text)).alias("node"), text_of(text).alias("text"))
     texts = scratch.save(read.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    components = settle(groups, texts, _verify(width), _expand(width), LIKENESS, scratch)
+    components = settle(groups, texts, _sets(width), LIKENESS, scratch)
     placed = nodes.select("node", "least").join(components, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "node")).alias("k"))
     kept = scratch.save(kept.select(F.col("k.node").alias("_kept"), F.col("k.least").alias("_key")))

@@ -140,9 +140,9 @@ def test_near_duplicates_of_odd_rows(spark):
     assert kept.columns == odd(spark).columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7, 8]
 
 
-@pytest.mark.parametrize("small", [32, 3])
-def test_one_of_each_near_group_stays(spark, monkeypatch, small):
-    monkeypatch.setattr(settle, "SMALL", small)
+@pytest.mark.parametrize("block", [1024, 2])
+def test_one_of_each_near_group_stays(spark, monkeypatch, block):
+    monkeypatch.setattr(settle, "BLOCK", block)  # 2: groups go in many blocks
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(5000)}"
     passage = [word() for _ in range(60)]
@@ -165,11 +165,16 @@ def test_one_of_each_near_group_stays(spark, monkeypatch, small):
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
+def line_likeness(a, b):
+    a, b = ({x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
 def brute_lines(rows):
     first, parent = {}, {}
     lines = [((d is None, d or 0), at, line_dedup.normal(x)) for d, t in rows for at, x in enumerate((t or "").split("\n"))]
     names = sorted({n for *_, n in lines if n})
-    for g in components(names, lambda a, b: line_dedup.likeness(a, b) >= line_dedup.LIKENESS):
+    for g in components(names, lambda a, b: line_likeness(a, b) >= 0.8):
         parent |= dict.fromkeys(g, g[0])
     for key, at, n in lines:
         if n:
@@ -181,6 +186,63 @@ def brute_lines(rows):
     return out
 
 
+def clustered(rng, n):
+    """Sets of words of likeness 0.6 to 1 around a few centres, and some that share little."""
+    sets = []
+    for _ in range(n):
+        base = [f"{rng.randrange(3)}-{i}" for i in range(60)] if rng.random() < 0.8 else []
+        sets.append({w if rng.random() < 0.93 else f"x{rng.randrange(400)}" for w in base} | {f"x{rng.randrange(400)}" for _ in range(rng.randint(1, 8))})
+    return sets
+
+
+def test_blocks_join_all_alike_members():
+    rng = random.Random(21)
+    for n in (1, 2, 40, 120):
+        sets = clustered(rng, n)
+        before = np.array([rng.randrange(n) if rng.random() < 0.3 else i + 1000 for i in range(n)])
+        hashes = [[hash(w) & (2**64 - 1) for w in sorted(x)] for x in sets]
+        shingles = settle.distinct(np.repeat(np.arange(n), [len(h) for h in hashes]), np.array([h for x in hashes for h in x], np.uint64))
+        links = settle.block_links(before, shingles, 0.8)
+        assert len(links) < n
+        joined = {int(c): int(c) for c in before}
+        for a, b in links:
+            joined = {k: joined[a] if v == joined[b] else v for k, v in joined.items()}
+        near = lambda i, j: before[i] == before[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        got = {}
+        for i in range(n):
+            got.setdefault(joined[int(before[i])], []).append(i)
+        assert sorted(sorted(g) for g in got.values()) == components(range(n), near)
+
+
+def test_one_letter_and_one_word_changed(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9)))
+    rows, caught = [], []
+    for i in range(60):
+        words = [word() for _ in range(13)]
+        line = " ".join(words)[: 49 + i % 30] if i % 2 else " ".join(words)
+        other = line[:25] + "#" + line[26:] if i % 2 else line.replace(words[6], words[6][:2], 1)
+        assert line_likeness(line, other) >= 0.8
+        rows += [(2 * i, line), (2 * i + 1, other)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    caught = [got[2 * i + 1] for i in range(60)]
+    assert sum(caught) >= 57 and not any(got[2 * i] for i in range(60))
+
+
+def test_line_dedup_of_odd_rows(spark):
+    long = "".join(random.Random(23).choices("abcdefghijklmnop", k=200_000))
+    rows = [(*r, "q", 7, "d", 3) for r in ODD] + [(9, long, "q", 7, "d", 3), (10, "z" + long[:150_000] + "#" + long[150_000:], "q", 7, "d", 3)]
+    df = spark.createDataFrame(rows, DOCS + ", _text string, n_lines int, doc string, line int")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "_text", "doc", "line", "n_lines", "n_dropped"]
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_dropped))
+    assert found[1] == [(None, 0, 0)] and found[2] == [("", 0, 0)] and found[3] == [("   \n ", 0, 0)] and found[None] == [(None, 0, 0)]
+    assert found[4] == [("Same text here", 1, 0)] * 2 and found[5] == [("", 1, 1)]
+    assert [found[i][0][1:] for i in (9, 10)] == [(1, 0), (1, 1)]
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
