@@ -76,21 +76,30 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(lines: list[str]) -> np.ndarray:
     """The lines' numbered distinct shingles."""
     h, sizes = shingle_hashes(lines)
-    return distinct(np.repeat(np.arange(len(lines)), sizes), h)
+    return h, sizes
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """64-bit keys, lines x BANDS, of the MinHash signatures of the lines' character shingles."""
-    out = np.empty((len(lines), BANDS), np.uint64)
+    """64-bit keys, lines x BANDS, of the MinHash signatures of the lines' character shingles; the lowest four bits are
+    the band's number."""
+    minima = np.empty((ROWS, len(lines)), np.uint32)
     start = 0
     while start < len(lines):
         stop, size = start, 0
         while stop < len(lines) and (stop == start or size + len(lines[stop]) < _BLOCK):
             size += max(SHINGLE, len(lines[stop]))
             stop += 1
-        out[start:stop] = _keys(_minima(lines[start:stop]))
+        minima[:, start:stop] = _minima(lines[start:stop])
         start = stop
-    return out
+    keys = np.empty((len(lines), BANDS), np.uint64)
+    for band, rows in enumerate(_OF_BAND):
+        key = np.full(len(lines), band + 1, np.uint64)
+        for row in rows:
+            key ^= minima[row]
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        keys[:, band] = (key << np.uint64(4)) | np.uint64(band)
+    return keys
 
 
 def _minima(lines: list[str]) -> np.ndarray:
@@ -109,113 +118,98 @@ def _minima(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _keys(minima: np.ndarray) -> np.ndarray:
-    keys = np.empty((minima.shape[1], BANDS), np.uint64)
-    for band, rows in enumerate(_OF_BAND):
-        key = np.full(minima.shape[1], band + 1, np.uint64)
-        for row in rows:
-            key = (key ^ minima[row].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
-        keys[:, band] = key
-    return keys
-
-
 def _lines_of(texts: pa.Array) -> Iterator[tuple[int, int, str]]:
     """Row, position and normal form of every line that is not blank."""
-    for row, text in enumerate(texts):
-        for at, line in enumerate(text.as_py().split("\n")):
-            if n := normal(line):
+    for row, text in enumerate(texts.to_pylist()):
+        for at, line in enumerate(text.lower().split("\n")):
+            if n := " ".join(line.split()):
                 yield row, at, n
 
 
+_PACKED = "part int, blob binary"
 _GROUP = "key long, node long, leader long"
 
 
-def _scan(kind: StructType, parts: int):
-    """Two kinds of rows: a document with the places and hashes of its lines; or some of a piece's distinct lines with
-    their bands' keys, packed, for one of the parts that the bands are dealt into.
+def _scan(parts: int):
+    """Some of a piece's distinct lines with their bands' keys, packed, for each of the parts that the bands are dealt
+    into.
 
     Lines of the piece that share a band are put together here: the least becomes their leader and alone goes on to meet
-    other pieces; the others' rows are ready and stay where they are, as part -1. So a hot band leaves a piece as one row.
+    other pieces; the others' rows are ready and stay where they are, as part -1, along with a row of key 0 for each line
+    that the piece repeats. So a hot band, or a hot line, leaves a piece as one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(kind)
         for batch in pieces(batches):
-            names, rows, ats, hashes = {}, [], [], []
-            for row, at, n in _lines_of(batch.column("_text")):
+            names, again = {}, set()
+            for _, _, n in _lines_of(batch.column("_text")):
                 h = line_hash(n)
+                if h in names:
+                    again.add(h)
                 names[h] = n
-                rows.append(row)
-                ats.append(at)
-                hashes.append(h)
-            if not names:
-                continue
-            where = np.array(rows)
-            first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-            offsets = pa.array(np.append(first, len(where)).astype(np.int32))
-            packed = _pack(np.fromiter(names, np.int64, len(names)), band_keys(list(names.values())), parts)
-            n, m = len(first), len(packed)
-            columns = [
-                pa.concat_arrays([batch.column("doc").take(pa.array(where[first])), pa.nulls(m, batch.column("doc").type)]),
-                pa.concat_arrays([pa.ListArray.from_arrays(offsets, pa.array(ats, pa.int32())), pa.nulls(m, pa.list_(pa.int32()))]),
-                pa.concat_arrays([pa.ListArray.from_arrays(offsets, pa.array(hashes, pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
-                pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array([p for p, _ in packed], pa.int32())]),
-                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([b for _, b in packed], pa.binary())]),
-            ]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            if names:
+                packed = _pack(np.fromiter(names, np.int64, len(names)), band_keys(list(names.values())), np.array(list(again), np.int64), parts)
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["part", "blob"])
 
     return run
 
 
-def _pack(line: np.ndarray, keys: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    key, line = keys.ravel(), np.repeat(line, BANDS)
-    order = np.lexsort((line, key))
+def _led(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows by key, with where each key begins and with the least line of the key."""
+    order = np.argsort(key)
     key, line = key[order], line[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    leader = line[np.flatnonzero(new)][np.cumsum(new) - 1]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    least = np.minimum.reduceat(line, starts)
+    return key, line, starts, np.repeat(least, np.diff(np.append(starts, len(key))))
+
+
+def _pack(lines: np.ndarray, keys: np.ndarray, again: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    key, line, starts, leader = _led(keys.ravel(), np.repeat(lines, BANDS))
     out = []
-    if not new.all():
-        below = ~new
-        out.append((-1, key[below].tobytes() + line[below].tobytes() + leader[below].tobytes()))
-    key, line = key[new], line[new]
-    part = (key % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    key, line, part = key[order], line[order], part[order]
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+    # all members of a band that has several
+    below = np.repeat(np.diff(np.append(starts, len(key))) > 1, np.diff(np.append(starts, len(key))))
+    if below.any() or len(again):
+        ready = [(key[below].view(np.int64), np.zeros(len(again), np.int64)), (line[below], again), (leader[below], again)]
+        out.append((-1, b"".join(x.tobytes() for column in ready for x in column)))
+    key, line = key[starts], leader[starts]
+    # parts are ranges of the key's upper half
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
         out.append((int(part[a]), key[a:b].tobytes() + line[a:b].tobytes()))
     return out
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows, sorted by part, to the groups of two or more lines that share a band; the least line leads."""
+    """Packed rows, sorted by part, to the groups of two or more lines that share a band; the least line leads. A line
+    that several pieces have comes with key 0."""
 
     def group(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        flat = [np.frombuffer(b, np.int64).reshape(2, -1) for b in blobs]
-        key, line = np.concatenate(flat, axis=1)
-        order = np.lexsort((line, key))
-        key, line = key[order], line[order]
-        other = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
-        key, line = key[other], line[other]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        starts = np.flatnonzero(new)
+        key, line = np.concatenate([np.frombuffer(b, np.int64).reshape(2, -1) for b in blobs], axis=1)
+        key, line, starts, leader = _led(key.view(np.uint64), line)
         size = np.diff(np.append(starts, len(key)))
-        leader = np.repeat(line[starts], size)
-        yield from rows(key, line, leader, np.repeat(size, size) > 1)
+        keep = np.repeat(size > 1, size)
+        if not keep.any():
+            return
+        lines = np.repeat(np.maximum.reduceat(line, starts) != leader[starts], size)[keep]
+        key, line, leader = key[keep], line[keep], leader[keep]
+        order = np.lexsort((line, key))
+        key, line, leader, lines = key[order], line[order], leader[order], lines[order]
+        same = np.concatenate([[False], (key[1:] == key[:-1]) & (line[1:] == line[:-1])])
+        mark = line[same & (key & np.uint64(15) == 0)]  # every band shows a repeat: one tells it
+        other = ~same & lines
+        yield from rows([(key[other].view(np.int64), np.zeros(len(mark), np.int64)), (line[other], mark), (leader[other], mark)])
 
-    def rows(key, line, leader, keep) -> Iterator[pa.RecordBatch]:
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, line, leader)], ["key", "node", "leader"])
+    def rows(columns: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, node, leader = map(np.concatenate, columns)
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(leader)], ["key", "node", "leader"])
 
     last, held = None, []
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
             if part < 0:
-                key, line, leader = np.frombuffer(blob.as_py(), np.int64).reshape(3, -1)
-                yield from rows(key, line, leader, np.ones(len(key), bool))
+                yield from rows([(x,) for x in np.frombuffer(blob.as_py(), np.int64).reshape(3, -1)])
                 continue
             if part != last and held:
                 yield from group(held)
@@ -226,50 +220,51 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from group(held)
 
 
-def _wanted_lines(words):
-    """Hash and normal form of lines whose hash may be wanted, by a bit table of fixed size."""
+def _wanted_lines(words, kind: StructType):
+    """Places of lines that may be wanted, by a bit table of fixed size, each line's normal form once a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(kind)
         bits = words.value
         for batch in pieces(batches):
-            found = {line_hash(n): n for _, _, n in _lines_of(batch.column("_text"))}
-            if not found:
+            lines = list(_lines_of(batch.column("_text")))
+            if not lines:
                 continue
-            h = np.fromiter(found, np.int64, len(found))
+            h = np.fromiter((line_hash(n) for *_, n in lines), np.int64, len(lines))
             at = h & ((1 << _BLOOM_BITS) - 1)
-            keep = (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
-            names = list(found.values())
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array([names[i] for i in np.flatnonzero(keep)])], ["node", "text"])
+            keep = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1)
+            if len(keep):
+                first = np.zeros(len(keep), bool)
+                first[np.unique(h[keep], return_index=True)[1]] = True
+                rows = [lines[i] for i in keep]
+                columns = [batch.column("doc").take(pa.array([r for r, *_ in rows])), pa.array([a for _, a, _ in rows]), pa.array(h[keep])]
+                columns.append(pa.array([n if f else None for (*_, n), f in zip(rows, first, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
-def line_components(texts: DataFrame, bands: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, root)`` of lines, by hash, that hang together over links of likeness LIKENESS or more.
-
-    ``texts(_text)``: the documents' texts, ``bands(part, blob)`` their lines' packed bands. Every pair that shares a
-    band is decided, see ``settle``.
-    """
-    spark = texts.sparkSession
-    # ready rows pass where they are; the others meet by part
+def line_groups(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(key, node, leader)``: the groups of two or more lines, by hash, that share a band, every member with one that
+    leads it (and once more where it leads others itself); and ``(node)``: lines that occur again."""
+    parts = max(64, min(1 << 30, size_of(texts) // _PART_BYTES))
+    packed = texts.mapInArrow(_scan(parts), _PACKED)
+    # ready rows stay evenly dealt; the others meet by part
     deal = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.xxhash64("blob"))
-    met = bands.withColumn("deal", deal).repartition("deal").sortWithinPartitions("part").select("part", "blob").mapInArrow(_meet, _GROUP)
-    groups = scratch.save(met)
-    # a leader within a piece is a member of its group, too, where it meets no other piece
-    groups = groups.unionByName(groups.where("node <> leader").select("key", F.col("leader").alias("node"), "leader")).distinct()
-    groups = scratch.save(groups)
-    nodes = groups.select("node").distinct()
+    met = scratch.save(packed.withColumn("deal", deal).repartition("deal").sortWithinPartitions("part").select("part", "blob").mapInArrow(_meet, _GROUP))
+    return met.where("key <> 0"), met.where("key = 0").select("node")
+
+
+def _bit_table(nodes: DataFrame) -> np.ndarray:
+    """16 MB whatever the corpus: with very many lines it filters less, but stays right."""
     mask = F.col("node").bitwiseAND((1 << _BLOOM_BITS) - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), mask.bitwiseAND(31).cast("int"))
+    words = nodes.groupBy(F.shiftright(mask, 5).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
     table = np.zeros(1 << (_BLOOM_BITS - 5), np.uint32)
-    # a bit table of 16 MB whatever the corpus: with very many candidate lines it filters less, but stays right
-    set_words = nodes.groupBy(F.shiftright(mask, 5).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), mask.bitwiseAND(31).cast("int"))).alias("b")).toPandas()
-    table[set_words["w"].to_numpy(np.int64)] = set_words["b"].to_numpy(np.int64).astype(np.uint32)
-    bits = spark.sparkContext.broadcast(table)
-    found = texts.mapInArrow(_wanted_lines(bits), "node long, text string")
-    normals = scratch.save(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    bits.destroy()
-    return settle(groups, normals, shingle_sets, LIKENESS, scratch)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    return table
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "lines") -> DataFrame:
@@ -285,18 +280,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", name:
     of any length are read whole: a line takes about 40 bytes a character while its shingles are compared.
 
     Lines are known by a 64-bit hash. One exchange deals the bands (16 bytes each, packed) and one the texts, to meet the
-    list of their dropped lines; only candidate lines' texts are compared. Counts and a fixed bit table reach the driver,
-    no lines, links or components.
+    list of their dropped lines; only lines that share a band or occur again are written. Counts and a fixed bit table
+    reach the driver, no lines, links or components.
     """
     scratch = Scratch(docs.sparkSession, name)
     docs = docs.drop("n_lines", "n_dropped")
-    kind = docs.schema[key].dataType
     texts = docs.select(F.col(key).alias("doc"), text_of(text).alias("_text"))
-    scanned = StructType([StructField("doc", kind), *StructType.fromDDL("at array<int>, line array<long>, part int, blob binary").fields])
-    parts = max(64, min(1 << 30, size_of(docs) // _PART_BYTES))
-    scan = scratch.save(texts.mapInArrow(_scan(scanned, parts), scanned))
-    roots = line_components(texts.select("_text"), scan.where("part is not null").select("part", "blob"), scratch)
-    occurrences = scan.where("part is null").select("doc", F.inline(F.arrays_zip("at", "line")))
+    groups, repeats = line_groups(texts.select("_text"), scratch)
+    nodes = scratch.save(groups.select("node").distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(_bit_table(nodes.unionByName(repeats)))
+    wanted = StructType([StructField("doc", docs.schema[key].dataType), *StructType.fromDDL("at int, line long, name string").fields])
+    seen = scratch.save(texts.mapInArrow(_wanted_lines(bits, wanted), wanted))
+    bits.destroy()
+    names = seen.where("name is not null").select(F.col("line").alias("node"), F.col("name").alias("text"))
+    roots = settle(groups, scratch.save(names.join(nodes, "node", "left_semi").dropDuplicates(["node"])), shingle_hashes, LIKENESS, scratch)
+
+    occurrences = seen.select("doc", "at", "line")
     order = F.struct(F.col("doc").isNull().alias("last"), "doc", "at")
     lines = occurrences.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     rooted = scratch.save(lines.join(roots, lines["line"] == roots["node"], "left").select("line", "first", "n", F.coalesce("root", "line").alias("root")))

@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, forest
 from .rows import map_columns, text_of
 from .scratch import Scratch
-from .settle import distinct, settle
+from .settle import settle
 
 _CHUNK = 1 << 16  # hashes unpacked at once
 
@@ -99,25 +99,6 @@ def trie_pairs(x: np.ndarray, starts: np.ndarray, mids: np.ndarray, ends: np.nda
     return np.concatenate(found_a or [empty]), np.concatenate(found_b or [empty])
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links: as connected, but no longer than the nodes."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    hangs = label != np.arange(len(nodes))
-    return nodes[hangs], nodes[label[hangs]]
-
-
 #: Bits of the three blocks: with at most two differing bits, one block agrees, so each pair meets in a rotation.
 _BLOCKS = ((0, 22), (22, 21), (43, 21))
 _STEP = 8
@@ -207,7 +188,7 @@ def _traverse(budget: int):
             if len(i):
                 by = turn[i].astype(np.uint64)
                 back = lambda v: (v >> by) | (v << ((np.uint64(64) - by) % np.uint64(64)))
-                a, b = _forest(_signed(back(x[i])), _signed(back(x[j])))
+                a, b = forest(_signed(back(x[i])), _signed(back(x[j])))
                 yield pd.DataFrame({"a": a, "b": b})
 
     def run(batches: Iterator) -> Iterator:
@@ -300,12 +281,10 @@ def _identity(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _sets(width: int):
-    """The texts' numbered distinct shingles."""
-
-    def run(texts: list[str]) -> np.ndarray:
+def _shingler(width: int):
+    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [shingle_hashes(t, width) for t in texts]
-        return distinct(np.repeat(np.arange(len(found)), [len(h) for h in found]), np.concatenate([np.zeros(0, np.uint64), *found]))
+        return np.concatenate([np.zeros(0, np.uint64), *found]), np.array([len(h) for h in found], np.int64)
 
     return run
 
@@ -351,7 +330,7 @@ def keep_one(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "
 
     read = docs.select(identity(text_of(text)).alias("node"), text_of(text).alias("text"))
     texts = scratch.save(read.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    components = settle(groups, texts, _sets(width), LIKENESS, scratch)
+    components = settle(groups, texts, _shingler(width), LIKENESS, scratch)
     placed = nodes.select("node", "least").join(components, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", "node")).alias("k"))
     kept = scratch.save(kept.select(F.col("k.node").alias("_kept"), F.col("k.least").alias("_key")))

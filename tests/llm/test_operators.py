@@ -109,6 +109,18 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+@pytest.mark.parametrize("part", [1 << 21, 40])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(graph, "PART", part)  # 40: the joins have to go on
+    rng = random.Random(24)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100), (7, -5)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    linked = {frozenset(e) for e in edges}
+    nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+    assert {n: min(g) for g in components(nodes, lambda a, b: frozenset((a, b)) in linked) for n in g} == got
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+
+
 @pytest.mark.parametrize("group", [2048, 16])
 def test_trie_join_keeps_all_components(spark, group):
     rng = np.random.default_rng(1)
@@ -201,7 +213,7 @@ def test_blocks_join_all_alike_members():
         sets = clustered(rng, n)
         before = np.array([rng.randrange(n) if rng.random() < 0.3 else i + 1000 for i in range(n)])
         hashes = [[hash(w) & (2**64 - 1) for w in sorted(x)] for x in sets]
-        shingles = settle.distinct(np.repeat(np.arange(n), [len(h) for h in hashes]), np.array([h for x in hashes for h in x], np.uint64))
+        shingles = settle.distinct(lambda x: (np.array([h for i in x for h in hashes[i]], np.uint64), np.array([len(hashes[i]) for i in x])), list(range(n)))
         links = settle.block_links(before, shingles, 0.8)
         assert len(links) < n
         joined = {int(c): int(c) for c in before}
