@@ -29,7 +29,6 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        self._paths: dict[int, str] = {}
         self._next = 0
         atexit.register(self._delete, self.root)
 
@@ -38,12 +37,12 @@ class Scratch:
         self._next += 1
         df.write.parquet(path)
         out = self.spark.read.parquet(path)
-        self._paths[id(out)] = path
+        out._written_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        if path := self._paths.pop(id(df), None):
+        if path := df.__dict__.pop("_written_path", None):
             self._delete(path)
 
     def _delete(self, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,15 +88,14 @@ def uniform(walk: Column, step: Column, salt: int) -> Column:
     return draw(walk, step, salt) / float(PRIME)
 
 
-def monte_carlo(edges: DataFrame, walks: int, method: int, nodes: DataFrame | None = None, bored: float = 0.15, steps: int = 100) -> DataFrame:
+def monte_carlo(edges: DataFrame, walks: int, method: int, nodes: DataFrame | None = None, bored: float = 0.15) -> DataFrame:
     """``(id, score)`` estimated by random walks.
 
     Method 1: ``walks`` walks from random nodes, the share that ends at a node. Method 2: ``walks`` walks from every
     node, likewise. Method 4: ``walks`` from every node, the share of visits, walks stopping at nodes without links.
     Method 5: as 4 from random nodes. In 1 and 2 a walk jumps anywhere from a node without links.
 
-    All walks take a step together, one join with the table of links. Walks end after ``steps`` at the latest, which one
-    in 10^7 would exceed.
+    All walks take a step together, one join with the table of links, until none goes on.
     """
     if method not in (1, 2, 4, 5):
         raise ValueError("method must be 1, 2, 4 or 5")
@@ -121,9 +122,9 @@ def monte_carlo(edges: DataFrame, walks: int, method: int, nodes: DataFrame | No
     path = F.array().cast("array<bigint>")
     now = scratch.save(begun.select("walk", F.col("id").alias("node"), "outdeg", F.lit(True).alias("alive"), path.alias("path")))
     ends = method in (1, 2)
-    for first in range(1, steps + 1, 4):  # four steps between two written states
+    for first in count(1, 4):  # four steps between two written states
         new = now
-        for step in range(first, min(first + 4, steps + 1)):
+        for step in range(first, first + 4):
             s = F.lit(step).cast("long")
             on = F.col("alive") & (uniform(F.col("walk"), s, 1) > bored)
             if not ends:

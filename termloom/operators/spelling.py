@@ -10,32 +10,34 @@ from ..functions.distance import indel_distance, jaccard, kgrams
 
 
 def grams_of(word: str, k: int) -> list[str]:
-    """K-grams of a word as asked, without padding."""
-    return list(dict.fromkeys(word[i : i + k] for i in range(len(word) - k + 1)))
+    """K-grams of a word as asked, without padding, in order and with repeats."""
+    return [word[i : i + k] for i in range(len(word) - k + 1)]
 
 
 def candidates(vocabulary: DataFrame, word: str, k: int = 2) -> DataFrame:
-    """``(term, n_word, n_term, overlap)`` of the terms that share at least one of the word's k-grams."""
-    own = grams_of(word, k)
+    """The rows of ``vocabulary(term, ...)`` that share at least one of the word's k-grams, with the sizes of both words'
+    sets of k-grams and of their intersection, and ``jaccard``. Neither word is padded, so a word is wholly like itself."""
+    own = list(dict.fromkeys(grams_of(word, k)))
     mine = F.array(*[F.lit(g) for g in own]) if own else F.array().cast("array<string>")
-    theirs = kgrams(F.col("term"), k, padded=True, distinct=True)
-    found = vocabulary.select("term", mine.alias("mine"), theirs.alias("theirs"))
-    return found.where(F.arrays_overlap("mine", "theirs")).select(
-        "term", F.size("mine").alias("n_word"), F.size("theirs").alias("n_term"), F.size(F.array_intersect("mine", "theirs")).alias("overlap"), jaccard(F.col("mine"), F.col("theirs")).alias("jaccard")
-    )
+    theirs = kgrams(F.col("term"), k, padded=False, distinct=True)
+    found = vocabulary.withColumns({"mine": mine, "theirs": theirs}).where(F.arrays_overlap("mine", "theirs"))
+    overlap = F.size(F.array_intersect("mine", "theirs"))
+    return found.select(*vocabulary.columns, F.size("mine").alias("n_word"), F.size("theirs").alias("n_term"), overlap.alias("overlap"), jaccard(F.col("mine"), F.col("theirs")).alias("jaccard"))
 
 
 def suggest(frequencies: DataFrame, word: str, config: EngineConfig | None = None, strict: bool = False) -> DataFrame:
-    """``(term, cf)`` of the accepted candidates. ``frequencies``: ``(term, cf)``.
+    """``(term, cf)`` of the accepted candidates. ``frequencies``: ``(term, cf)``, read once.
 
-    ``strict`` takes the likeness formula as first written, which compares sizes only: size / (asked + 2 x size). The
-    edit distance is worked out last, for terms whose length and likeness allow them.
+    ``strict`` takes the likeness formula as first written, which compares sizes only, repeats included, and sets the
+    term's size for the intersection's: size / (asked + 2 x size). The edit distance is worked out last, for terms whose
+    length and likeness allow them.
     """
     config = config or EngineConfig()
-    score = F.col("n_term") / (F.col("n_word") + 2 * F.col("n_term")) if strict else F.col("jaccard")
+    asked, size = len(grams_of(word, config.k)), F.length("term") - (config.k - 1)
+    score = F.when(size >= 1, size / (asked + 2 * size)) if strict else F.col("jaccard")
     likely = candidates(frequencies, word, config.k).where(score >= config.jaccard)
     near = likely.where(F.abs(F.length("term") - len(word)) <= config.max_edit).where(indel_distance(F.lit(word), F.col("term")) <= config.max_edit)
-    return near.select("term").join(frequencies, "term").select("term", "cf")
+    return near.select("term", "cf")
 
 
 def best(suggested: DataFrame, limit: int = 10) -> list[str]:

@@ -106,10 +106,6 @@ voc AS (SELECT DISTINCT term FROM tok),
 kg AS (SELECT DISTINCT term, substr({padded}, CAST(i AS INTEGER), 2) AS gram FROM voc, unnest(range(1, length({padded}))) AS u(i))"""
 
 
-def _grams(word: str) -> list[str]:
-    return list(dict.fromkeys(word[i : i + 2] for i in range(len(word) - 1)))
-
-
 def _indel(a: str, b: str) -> str:
     """Insertions and deletions at 1, substitutions at 2, as a fold over letters."""
     return (
@@ -120,17 +116,27 @@ def _indel(a: str, b: str) -> str:
     )
 
 
+def _candidates(word: str) -> str:
+    """CTEs that end in cd(term, n_word, n_term, overlap): sets of bigrams of terms as they stand, without padding."""
+    return f"""{TOK},
+own AS (SELECT DISTINCT substr('{word}', CAST(i AS INTEGER), 2) AS gram FROM unnest(range(1, length('{word}'))) AS u(i)),
+kg AS (SELECT DISTINCT term, substr(term, CAST(i AS INTEGER), 2) AS gram FROM (SELECT DISTINCT term FROM tok), unnest(range(1, length(term))) AS u(i)),
+cd AS (SELECT term, (SELECT count(*) FROM own) AS n_word, count(*) AS n_term, count(own.gram) AS overlap FROM kg LEFT JOIN own ON own.gram = kg.gram GROUP BY term HAVING count(own.gram) > 0)"""
+
+
 def _suggest(word: str, score: str, most: int) -> str:
     """CTEs that end in sg(term, cf)."""
-    own = _grams(word)
-    return f"""{_kgram()},
-cd AS (SELECT term, {len(own)} AS n_word, count(*) AS n_term, count(*) FILTER (WHERE gram IN ({_list(own)})) AS overlap FROM kg GROUP BY term),
-lk AS (SELECT term FROM cd WHERE overlap > 0 AND {score} >= 0.3 AND abs(length(term) - {len(word)}) <= {most}),
+    return f"""{_candidates(word)},
+lk AS (SELECT term FROM cd WHERE {score} >= 0.3 AND abs(length(term) - {len(word)}) <= {most}),
 sg AS (SELECT lk.term, f.cf FROM lk JOIN (SELECT term, count(*) AS cf FROM tok GROUP BY term) f ON f.term = lk.term WHERE {_indel(f"'{word}'", 'lk.term')} <= {most})"""
 
 
 JACCARD = "CAST(overlap AS DOUBLE) / (n_word + n_term - overlap)"
-SIZES = "CAST(n_term AS DOUBLE) / (n_word + 2 * n_term)"
+
+
+def _sizes(word: str) -> str:
+    """The first formula: bigrams counted with repeats, a word of n letters having n - 1."""
+    return f"CAST(length(term) - 1 AS DOUBLE) / ({len(word) - 1} + 2 * (length(term) - 1))"
 
 
 def _feedback(strict: bool) -> str:
@@ -167,30 +173,29 @@ def _rnd(walk: str, step: str, salt: int) -> str:
     return _macro().replace("x0", f"(({walk} * 48271 + {step} * 69621 + {salt * 16807 + 12345}) % {PRIME})")
 
 
-def _walks(method: int, walks: int, steps: int = 40) -> str:
-    """CTEs that end in mc(id, score)."""
+def _walks(method: int, walks: int) -> str:
+    """CTEs that end in mc(id, score): ``walks`` for every node, from there or from random ones, until none goes on."""
+    random = method in (1, 5)
     begin = (
-        f"SELECT w AS walk, {_rnd('w', '0', 3)} % nd.n AS node FROM (SELECT unnest(range({walks})) AS w), nd"
-        if method in (1, 5)
+        f"SELECT w AS walk, {_rnd('w', '0', 3)} % nd.n AS node FROM (SELECT unnest(range(n * {walks})) AS w FROM nd), nd"
+        if random
         else f"SELECT doc_id * {walks} + u AS walk, doc_id AS node FROM documents, (SELECT unnest(range({walks})) AS u)"
     )
     jump = method in (1, 2)
-    out = [LINKS, "adj AS (SELECT src, list(dst ORDER BY dst) AS l FROM edge GROUP BY src)", f"p0 AS ({begin})"]
-    for s in range(1, steps + 1):
-        out.append(f"q{s} AS MATERIALIZED (SELECT walk, node, {_rnd('walk', str(s), 1)} / {PRIME}.0::DOUBLE > 0.15::DOUBLE AS on_ FROM p{s - 1})")
-        move = (
-            f"SELECT walk, CASE WHEN l IS NULL THEN {_rnd('walk', str(s), 2)} % nd.n ELSE l[CAST({_rnd('walk', str(s), 2)} % len(l) AS INTEGER) + 1] END AS node FROM q{s} LEFT JOIN adj ON src = node CROSS JOIN nd WHERE on_"
-            if jump
-            else f"SELECT walk, l[CAST({_rnd('walk', str(s), 2)} % len(l) AS INTEGER) + 1] AS node FROM q{s} JOIN adj ON src = node WHERE on_"
-        )
-        out.append(f"p{s} AS MATERIALIZED ({move})")
-    seen = " UNION ALL ".join(f"SELECT node FROM q{s} WHERE {'NOT ' if jump else ''}on_" for s in range(1, steps + 1))
-    if jump:
-        seen += f" UNION ALL SELECT node FROM p{steps}"
-    size = {1: f"{walks}.0::DOUBLE", 2: f"({walks} * (SELECT n FROM nd))::DOUBLE"}.get(method, "(SELECT count(*) FROM vs)::DOUBLE")
-    out.append(f"vs AS MATERIALIZED ({seen})")
-    out.append(f"mc AS (SELECT doc_id AS id, coalesce(c, 0) / {size} AS score FROM documents LEFT JOIN (SELECT node, count(*) AS c FROM vs GROUP BY node) ON node = doc_id)")
-    return ",\n".join(out)
+    on = lambda step: f"{_rnd('walk', step, 1)} / {PRIME}.0::DOUBLE > 0.15::DOUBLE"
+    pick = _rnd("walk", "step", 2)
+    move = (
+        f"SELECT walk, step + 1 AS step, CASE WHEN l IS NULL THEN {pick} % nd.n ELSE l[CAST({pick} % len(l) AS INTEGER) + 1] END AS node FROM wk LEFT JOIN adj ON src = node CROSS JOIN nd WHERE on_"
+        if jump
+        else f"SELECT walk, step + 1 AS step, l[CAST({pick} % len(l) AS INTEGER) + 1] AS node FROM wk JOIN adj ON src = node WHERE on_"
+    )
+    size = f"({walks} * (SELECT n FROM nd))::DOUBLE" if jump else "(SELECT count(*) FROM vs)::DOUBLE"
+    return f"""{LINKS},
+adj AS (SELECT src, list(dst ORDER BY dst) AS l FROM edge GROUP BY src),
+wk AS (SELECT walk, CAST(1 AS BIGINT) AS step, node, {on('1')} AS on_ FROM ({begin})
+  UNION ALL SELECT walk, step, node, {on('step')} AS on_ FROM ({move})),
+vs AS (SELECT node FROM wk WHERE {'NOT ' if jump else ''}on_),
+mc AS (SELECT doc_id AS id, coalesce(c, 0) / {size} AS score FROM documents LEFT JOIN (SELECT node, count(*) AS c FROM vs GROUP BY node) ON node = doc_id)"""
 
 
 IDEAL = "SELECT sum((pow(2.0, grade) - 1) / log2(k + 1.0)) FROM (SELECT quality AS grade, row_number() OVER (ORDER BY quality DESC) AS k FROM labels) WHERE k <= 10"
@@ -228,9 +233,9 @@ ORACLES = {
     "kgram_lookup": f"WITH {_kgram()} SELECT term FROM kg WHERE gram = '^q'",
     "kgram_and": f"WITH {_kgram()} SELECT term FROM kg WHERE gram IN ('^t', 'th', 'g$') GROUP BY term HAVING count(*) = 3",
     "wildcard_expand": f"WITH {TOK} SELECT DISTINCT term FROM tok WHERE {_matches(WILD)}",
-    "spell_candidates": f"WITH {_kgram()} SELECT term, {len(_grams(MISSPELT))} AS n_word, CAST(count(*) AS INTEGER) AS n_term, CAST(count(*) FILTER (WHERE gram IN ({_list(_grams(MISSPELT))})) AS INTEGER) AS overlap FROM kg GROUP BY term HAVING count(*) FILTER (WHERE gram IN ({_list(_grams(MISSPELT))})) > 0",
+    "spell_candidates": f"WITH {_candidates(MISSPELT)} SELECT term, CAST(n_word AS INTEGER) AS n_word, CAST(n_term AS INTEGER) AS n_term, CAST(overlap AS INTEGER) AS overlap FROM cd",
     "spell_jaccard": f"WITH {_suggest(MISSPELT, JACCARD, 6)} SELECT term, cf FROM sg",
-    "spell_jaccard_strict": f"WITH {_suggest('keeit', SIZES, 3)} SELECT term, cf FROM sg",
+    "spell_jaccard_strict": f"WITH {_suggest('keeit', _sizes('keeit'), 3)} SELECT term, cf FROM sg",
     "spell_suggest": f"WITH {_suggest(MISSPELT, JACCARD, 6)} SELECT term, cf FROM sg ORDER BY cf DESC, term LIMIT 10",
     "edit_distance": f"SELECT p_name, p_type, CAST({_indel('p_name', 'p_type')} AS INTEGER) AS distance FROM (SELECT DISTINCT p_name, p_type FROM part)",
     "feedback_weights": f"WITH {_feedback(False)} SELECT term, round(weight, 9) AS weight FROM fw",
@@ -243,10 +248,10 @@ ORACLES = {
     "pagerank": f"WITH {_pagerank(12)} SELECT id, round(score, 9) AS score FROM pr",
     "pagerank_fixed10": f"WITH {_pagerank(10)} SELECT id, round(score, 9) AS score FROM pr",
     "pagerank_top30": f"WITH {_pagerank(10)} SELECT id, round(score, 9) AS score FROM pr ORDER BY round(score, 12) DESC, id LIMIT 30",
-    "mc1": f"WITH {_walks(1, 2000)} SELECT id, round(score, 9) AS score FROM mc",
-    "mc2": f"WITH {_walks(2, 2)} SELECT id, round(score, 9) AS score FROM mc",
-    "mc4": f"WITH {_walks(4, 2)} SELECT id, round(score, 9) AS score FROM mc",
-    "mc5": f"WITH {_walks(5, 2000)} SELECT id, round(score, 9) AS score FROM mc",
+    "mc1": f"WITH RECURSIVE {_walks(1, 2)} SELECT id, round(score, 9) AS score FROM mc",
+    "mc2": f"WITH RECURSIVE {_walks(2, 2)} SELECT id, round(score, 9) AS score FROM mc",
+    "mc4": f"WITH RECURSIVE {_walks(4, 2)} SELECT id, round(score, 9) AS score FROM mc",
+    "mc5": f"WITH RECURSIVE {_walks(5, 2)} SELECT id, round(score, 9) AS score FROM mc",
     "mc_error": None,
     "hits_base_set": f"WITH {ROOT}, {BASE.replace('{r}', 'root')} SELECT id FROM ids",
     "hits_global": f"WITH {_hits(ORDERS, 5)} SELECT id, round(hub, 9) AS hub, round(authority, 9) AS authority FROM ht",
@@ -257,7 +262,7 @@ ORACLES = {
     "eval_metrics": f"WITH {_scored(RANKED)}, {_page(1, 10)}, g AS (SELECT rank, coalesce(quality, 0) AS grade FROM pg LEFT JOIN labels ON labels.doc_id = pg.doc_id) SELECT round(count(*) FILTER (WHERE grade > 0) / 10, 9) AS precision, round(count(*) FILTER (WHERE grade > 0)::DOUBLE / (SELECT count(*) FROM labels WHERE quality > 0), 9) AS recall, round(sum((pow(2.0, grade) - 1) / log2(rank + 1.0)) / ({IDEAL}), 9) AS ndcg FROM g",
 }
 ORACLES["mc_error"] = (
-    f"WITH {_pagerank(10)}, gold AS (SELECT id, score FROM pr ORDER BY round(score, 12) DESC, id LIMIT 30), "
+    f"WITH RECURSIVE {_pagerank(10)}, gold AS (SELECT id, score FROM pr ORDER BY round(score, 12) DESC, id LIMIT 30), "
     + _walks(4, 2).removeprefix(LINKS + ",\n")
     + ", best AS (SELECT id, score FROM mc ORDER BY round(score, 12) DESC, id LIMIT 30) SELECT round(sum(pow(gold.score - coalesce(best.score, 0), 2)), 9) AS error FROM gold LEFT JOIN best ON best.id = gold.id"
 )

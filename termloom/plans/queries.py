@@ -145,7 +145,9 @@ def _feedback_rank(strict: bool):
 def _walks(method: int, walks: int):
     def run(spark: SparkSession, d: str) -> DataFrame:
         docs = _docs(spark, d)
-        return _rounded(links.monte_carlo(doc_links(docs), walks, method, doc_nodes(docs), steps=40))
+        # walks from random nodes are as many in all as from every node
+        total = walks * docs.count() if method in (1, 5) else walks
+        return _rounded(links.monte_carlo(doc_links(docs), total, method, doc_nodes(docs)))
 
     return run
 
@@ -153,7 +155,7 @@ def _walks(method: int, walks: int):
 def _mc_error(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     golden = links.top(links.pagerank(doc_links(docs), doc_nodes(docs), fixed=10))
-    return _rounded(links.walk_error(golden, links.monte_carlo(doc_links(docs), 2, 4, doc_nodes(docs), steps=40)), "error")
+    return _rounded(links.walk_error(golden, links.monte_carlo(doc_links(docs), 2, 4, doc_nodes(docs))), "error")
 
 
 def _links_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -255,10 +257,10 @@ QUERIES = {
     "pagerank": _pagerank(None),
     "pagerank_fixed10": _pagerank(10),
     "pagerank_top30": lambda s, d: _rounded(links.top(links.pagerank(doc_links(_docs(s, d)), doc_nodes(_docs(s, d)), fixed=10))),
-    "mc1": _walks(1, 2000),
+    "mc1": _walks(1, 2),
     "mc2": _walks(2, 2),
     "mc4": _walks(4, 2),
-    "mc5": _walks(5, 2000),
+    "mc5": _walks(5, 2),
     "mc_error": _mc_error,
     "hits_base_set": _hits_base,
     "hits_global": lambda s, d: _rounded(links.hits(order_links(s, d), fixed=5), "hub", "authority"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
@@ -43,12 +43,18 @@ def read_titles(spark: SparkSession, path: str) -> DataFrame:
 
 def rank_lines(ranks: DataFrame, titles: DataFrame) -> DataFrame:
     """Lines ``title=score;id`` of every ranked id that has a title."""
-    return ranks.join(titles, "id").select(F.concat(F.col("title"), F.lit("="), F.col("score").cast("string"), F.lit(";"), F.col("id").cast("string")).alias("value"))
+    return ranks.join(titles, "id").select(_rank_line())
+
+
+def _rank_line() -> Column:
+    return F.concat(F.col("title"), F.lit("="), F.col("score").cast("string"), F.lit(";"), F.col("id").cast("string")).alias("value")
 
 
 def write_ranks(ranks: DataFrame, titles: DataFrame, path: str) -> None:
     """Lines in descending order of score, over as many files as the sort has partitions."""
-    rank_lines(ranks.orderBy(F.desc("score"), "id"), titles).write.mode("overwrite").text(path)
+    # the sort comes after the join, which would not keep it
+    titled = ranks.join(titles, "id").orderBy(F.desc("score"), "id")
+    titled.select(_rank_line()).write.mode("overwrite").text(path)
 
 
 def parse_ranks(lines: DataFrame) -> DataFrame:
@@ -87,6 +93,11 @@ def link_to_doc(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     return nodes.join(named, "title").select(F.col("id").alias("node_id"), "doc_id"), named.join(nodes, "title", "left_anti")
 
 
+def write_link_to_doc(pairs: DataFrame, path: str) -> None:
+    """Lines ``node;doc`` of ``(node_id, doc_id)``."""
+    pairs.select(F.concat_ws(";", F.col("node_id").cast("string"), F.col("doc_id").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_doc_info(docs: DataFrame, path: str) -> None:
     """Lines ``doc;name;length``."""
     docs.select(F.concat_ws(";", "doc_id", "name", "len").alias("value")).write.mode("overwrite").text(path)
@@ -106,6 +117,12 @@ def append_error(spark: SparkSession, n: int, error: float, path: str) -> None:
     spark.createDataFrame([(f"{n};{error!r}",)], "value string").write.mode("append").text(path)
 
 
+def top_lines(scores: DataFrame, k: int = 30, form: str | None = "%.5f") -> list[str]:
+    """The best ``k`` as ``id: score`` for printing, in the given form, or with all digits where it is None."""
+    rows = top(scores, k).orderBy(F.desc("score"), "id").collect()
+    return [f"{r['id']}: {r['score']!r}" if form is None else f"{r['id']}: {form % r['score']}" for r in rows]
+
+
 def write_top(scores: DataFrame, path: str, k: int = 30) -> None:
     """The best ``k`` as ``id: score`` with five significant digits; k lines, so one file."""
     best = top(scores, k)

@@ -120,8 +120,11 @@ def test_spelling(spark):
     assert engine.suggest("keitt und")[0] == "keit und"
     assert engine.suggest("q und") == []
     freq = index.coll_freq(engine.tokens)
-    # keit shares ke, ei, it of 6 grams in all; zeit only ei, it of 7, which is below 0.3
-    assert spelling.best(spelling.suggest(freq, "keiit")) == ["keit"]
+    # keit shares ke, ei, it of 4 grams in all; zeit ei, it of 5
+    assert spelling.best(spelling.suggest(freq, "keiit")) == ["keit", "zeit"]
+    short = spark.createDataFrame([(t, 1) for t in ("ke", "kei", "eit", "keit", "eeee")], "term string, cf long")
+    # sizes only, repeats counted: 4 letters or more, against the 4 bigrams of keeit; eeee has three, all the same
+    assert ids(spelling.suggest(short, "keeit", EngineConfig(max_edit=9), strict=True), "term") == ["eeee", "keit"]
 
 
 def test_feedback(spark):
@@ -156,6 +159,9 @@ def test_walks_approach_pagerank(spark):
     graph = edges(spark, (0, 1), (1, 2), (2, 0), (2, 1), (1, 3))
     exact = {r.id: r.score for r in links.pagerank(graph, epsilon=1e-10).collect()}
     got = {r.id: r.score for r in links.monte_carlo(graph, 3000, 2).collect()}
+    # no walk is cut: without boredom, all walk on to the node without links
+    ends = {r.id: r.score for r in links.monte_carlo(edges(spark, *[(i, i + 1) for i in range(60)]), 1, 5, bored=0.0).collect()}
+    assert ends[60] > ends[0] > -1
     assert sum(got.values()) == pytest.approx(1)
     assert max(abs(got[i] - exact[i]) for i in exact) < 0.02
 
@@ -190,6 +196,13 @@ def test_files(spark, tmp_path):
     ranks = spark.createDataFrame([(1, 0.5)], "id long, score double")
     files.write_ranks(ranks, titles, str(tmp_path / "r"))
     assert tuple(files.read_ranks(spark, str(tmp_path / "r")).first()) == ("a=b", 0.5, "1")
+    many = spark.range(100).select("id", (F.col("id") * 37 % 100 / 128).alias("score"))
+    files.write_ranks(many, spark.range(100).select("id", F.concat(F.lit("t"), "id").alias("title")), str(tmp_path / "rr"))
+    written = [float(x.value.split("=")[1].split(";")[0]) for x in spark.read.text(str(tmp_path / "rr")).withColumn("f", F.input_file_name()).orderBy("f", F.monotonically_increasing_id()).collect()]
+    assert len(written) == 100 and written == sorted(written, reverse=True)
+    files.write_link_to_doc(spark.createDataFrame([(4, 9)], "node_id long, doc_id long"), str(tmp_path / "m"))
+    assert tuple(files.read_link_to_doc(spark, str(tmp_path / "m")).first()) == (4, 9)
+    assert files.top_lines(spark.createDataFrame([(21, 0.034579556), (2, 0.5)], "id long, score double"), 2) == ["2: 0.50000", "21: 0.03458"]
     (tmp_path / "p").write_text("// note\n\n  a+ \nb\n")
     assert files.read_patterns(spark, str(tmp_path / "p")) == ("a+", "b")
     files.write_top(spark.createDataFrame([(21, 0.034579556)], "id long, score double"), str(tmp_path / "t"))
