@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,13 +16,23 @@ from pyspark.sql.types import StructType
 PIECE = 4 << 20
 
 
+def tidy() -> None:
+    """Gives back what the task has freed, so that an idle worker keeps little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about PIECE bytes, a row at least; their rows and order are the same."""
     for batch in batches:
         rows = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-    pa.default_memory_pool().release_unused()  # an idle worker keeps little
+    tidy()
 
 
 def map_columns(df: DataFrame, keep: list, read, make: Callable[..., dict[str, list]], added: str) -> DataFrame:
