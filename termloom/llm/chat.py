@@ -14,8 +14,8 @@ from .scratch import Scratch
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks and no needless escapes."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks and no needless escapes; an infinite number is refused, as JSON has none."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def _reject(name: str):
@@ -46,11 +46,28 @@ _TYPES = {
 }
 
 
+_WORDS = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "minLength", "maxLength"}
+_NOTES = {"title", "description", "default", "examples", "$schema", "$id"}
+
+
+def check_schema(schema: dict) -> None:
+    """Refuses a schema with a word that ``schema_error`` does not know, instead of passing over it."""
+    if unknown := sorted(schema.keys() - _WORDS - _NOTES):
+        raise ValueError(f"schema words not supported: {', '.join(unknown)}")
+    kinds = schema.get("type", [])
+    if unknown := sorted({kinds} - _TYPES.keys() if isinstance(kinds, str) else set(kinds) - _TYPES.keys()):
+        raise ValueError(f"types not supported: {', '.join(unknown)}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError("additionalProperties must be true or false")
+    for part in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]:
+        check_schema(part)
+
+
 def schema_error(value, schema: dict, at: str = "$") -> str | None:
     """The first offence against the schema (type, enum, const, required, properties, additionalProperties, items,
     minimum, maximum, minLength, maxLength), in document order; None if there is none."""
-    if isinstance(value, dict) and value.keys() == {"$result"}:
-        return None  # stands for a result not known here
+    if at != "$" and isinstance(value, dict) and value.keys() == {"$result"} and isinstance(value["$result"], str):
+        return None  # stands for a call's result, which is not known here
     kinds = schema.get("type")
     if kinds and not any(_TYPES[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{at}: not of type {kinds if isinstance(kinds, str) else '|'.join(kinds)}"
@@ -100,12 +117,21 @@ def references(value) -> list[str]:
     return sorted(set(found))
 
 
+def _extra(body: dict, known: set[str]) -> str | None:
+    extra = sorted(body.keys() - known)
+    return f"unknown key {extra[0]}" if extra else None
+
+
 def read_message(role: str | None, text: str | None, schemas: dict[str, dict]) -> dict:
-    """Canonical JSON of a message, its calls (identifiers), the call it answers, the results it waits for, its error."""
+    """Canonical JSON of a message, its calls (identifiers), the call it answers, the results it waits for, its error.
+
+    Only an assistant calls and only a tool answers: the same JSON from others is plain text. Keys that have no place in
+    the canonical form are an error."""
     body = parse_json(text) if text else None
     message: dict = {"role": role, "content": text}
     calls, answers, waits, error = [], None, [], None
-    if body is not None and isinstance(body.get("tool_calls"), list):
+    if body is not None and role == "assistant" and isinstance(body.get("tool_calls"), list):
+        error = _extra(body, {"role", "content", "tool_calls"})
         message = {"role": role, "content": body.get("content"), "tool_calls": []}
         for call in body["tool_calls"]:
             call = call if isinstance(call, dict) else {}
@@ -119,13 +145,14 @@ def read_message(role: str | None, text: str | None, schemas: dict[str, dict]) -
                 error = error or "call without id"
             else:
                 calls.append(call["id"])
-            if name not in schemas:
-                error = error or f"unknown tool {name}"
+            if not isinstance(name, str) or name not in schemas:
+                error = error or f"unknown tool {canonical(name)}"
             else:
                 error = error or schema_error(arguments, schemas[name])
             waits += references(arguments)
             message["tool_calls"].append({"id": call.get("id"), "type": "function", "function": {"name": name, "arguments": canonical(arguments)}})
-    elif body is not None and isinstance(body.get("tool_call_id"), str):
+    elif body is not None and role == "tool" and isinstance(body.get("tool_call_id"), str):
+        error = _extra(body, {"role", "content", "tool_call_id"})
         answers = body["tool_call_id"]
         content = body.get("content")
         message = {"role": role, "tool_call_id": answers, "content": content if isinstance(content, str) or content is None else canonical(content)}
@@ -145,7 +172,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None, co
     before its call and a call never before a result that its arguments refer to; otherwise turns keep their order. A
     message that must wait takes the place of the turn it waits for, one deeper than it. Messages in or behind a ring of
     waits keep their own turn and have the error ``cycle``; results without a call have the error ``no such call``; of
-    several calls with one identifier the earliest is meant.
+    several calls with one identifier the earliest is meant. A reference to a call that the conversation does not have is
+    the error ``refers to no call``.
 
     A message is its conversation and turn, so repeated rows have the same place and are all returned. A null
     conversation is one conversation, a null turn comes last, null role and text are JSON null; an empty table gives an
@@ -155,6 +183,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None, co
     carried from message to message by joins over those links that are out of order, in as many rounds as the longest
     chain of such links; usually there are none.
     """
+    for tool in (schemas or {}).values():
+        check_schema(tool)
     spark = messages.sparkSession
     scratch = Scratch(spark, name)
     picked = messages.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("t"), F.col(role).alias("role"), F.col(text).alias("_text"))
@@ -181,18 +211,20 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None, co
     answers = parsed.where("answers is not null").select("k", F.col("answers").alias("id"), "n").distinct()
     linked = scratch.save(answers.join(calls, ["k", "id"], "left"))
     results = linked.where("call is not null").groupBy("k", "id").agg(F.min("n").alias("result"))
-    waits = parsed.select("k", "n", F.explode("waits").alias("id")).distinct().join(results, ["k", "id"])
+    asked = parsed.select("k", "n", F.explode("waits").alias("id")).distinct()
+    waits = asked.join(results, ["k", "id"])
+    unknown = asked.join(calls, ["k", "id"], "left_anti").select("k", "n").distinct().withColumn("unknown", F.lit(True))
     edges = linked.where("call is not null").select("k", F.col("call").alias("p"), F.col("n").alias("s"))
     edges = scratch.save(edges.unionByName(waits.select("k", F.col("result").alias("p"), F.col("n").alias("s"))).distinct())
     places = _places(edges, scratch)
     call = linked.select("k", "n", F.col("id").alias("answers"), "call").distinct()
-    out = parsed.join(call, ["k", "n", "answers"], "left")
+    out = parsed.join(call, ["k", "n", "answers"], "left").join(unknown, ["k", "n"], "left")
     if places is not None:
         out = out.join(places, ["k", "n"], "left")
     else:
         out = out.withColumns({"place": F.lit(None).cast("long"), "depth": F.lit(None).cast("integer"), "cycle": F.lit(None).cast("boolean")})
     last = F.lit(2**63 - 1)
-    error = F.coalesce("error", F.when(F.col("answers").isNotNull() & F.col("call").isNull(), "no such call"), F.when(F.col("cycle"), "cycle"))
+    error = F.coalesce("error", F.when(F.col("answers").isNotNull() & F.col("call").isNull(), "no such call"), F.when(F.col("unknown"), "refers to no call"), F.when(F.col("cycle"), "cycle"))
     return out.select(
         F.col("c").alias(conv),
         F.col("t").alias(turn),
@@ -242,3 +274,22 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
     """The rows of ``format_chats`` with the JSON's SHA-256 in its place."""
     return formatted.withColumn("json_sha256", F.sha2("json", 256)).drop("json")
 
+
+def derive_calls(messages: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text)``: conversations that hold no calls, with a call and its result made from each of
+    their user messages by a fixed rule. Message t moves to turn 3t; a user's is looked up by the tool ``search`` at turn
+    3t + 1, with its first twenty characters as the query; the result comes at turn 3t + 2, but for even t at 3t - 1,
+    before its call."""
+    t = F.col("turn").cast("long")
+    users = messages.where("role = 'user' and turn is not null")
+    ident = F.concat(F.lit("q"), t)
+    arguments = F.struct(F.substring(F.coalesce("text", F.lit("")), 1, 20).alias("query"))
+    call = F.to_json(F.struct(F.array(F.struct(ident.alias("id"), F.lit("search").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
+    answer = F.to_json(F.struct(ident.alias("tool_call_id"), F.lit("found").alias("content")))
+    made = F.explode(
+        F.array(
+            F.struct((3 * t + 1).alias("turn"), F.lit("assistant").alias("role"), call.alias("text")),
+            F.struct(F.when(t % 2 == 0, 3 * t - 1).otherwise(3 * t + 2).alias("turn"), F.lit("tool").alias("role"), answer.alias("text")),
+        )
+    )
+    return messages.select("conv_id", (3 * t).alias("turn"), "role", "text").unionByName(users.select("conv_id", made.alias("m")).select("conv_id", "m.*"))

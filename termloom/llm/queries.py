@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import digest_chats, format_chats
+from .chat import derive_calls, digest_chats, format_chats
 from .decontaminate import find_leaks
 from .langid import identify
 from .line_dedup import dedup_lines
@@ -127,6 +127,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(format_chats(_table(spark, sf_dir, "conversations"), TOOLS))
 
 
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for conversations with calls: places, links and errors of every message, call and result. The table's own
+    conversations hold no calls, so they are made from it by a fixed rule."""
+    return format_chats(derive_calls(_table(spark, sf_dir, "conversations")), TOOLS, name="chat-calls").drop("json")
+
+
+_CALLS_SQL = """
+WITH u AS (SELECT conv_id, turn AS t, text FROM conversations WHERE role = 'user' AND turn IS NOT NULL)
+SELECT conv_id, 3 * turn AS turn, role, 3 * turn AS order_turn, CAST(0 AS INTEGER) AS order_depth, CAST(NULL AS BIGINT) AS call_turn,
+  CASE WHEN role = 'tool' THEN 'result without call id' END AS error FROM conversations
+UNION ALL SELECT conv_id, 3 * t + 1, 'assistant', 3 * t + 1, 0, NULL, CASE WHEN coalesce(text, '') = '' THEN '$.query: too short' END FROM u
+UNION ALL SELECT conv_id, CASE WHEN t % 2 = 0 THEN 3 * t - 1 ELSE 3 * t + 2 END, 'tool', CASE WHEN t % 2 = 0 THEN 3 * t + 1 ELSE 3 * t + 2 END,
+  CASE WHEN t % 2 = 0 THEN 1 ELSE 0 END, 3 * t + 1, NULL FROM u
+"""
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_simhash": op2_simhash,
@@ -138,9 +154,11 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_fingerprint": op9_fingerprint,
     "op10_chat_format": op10_chat_format,
+    "chat_tool_calls": chat_tool_calls,
     "pages_language_id": pages_language_id,
 }
 
 ORACLES = {
     "op4_url_filter": _OP4_SQL,
+    "chat_tool_calls": _CALLS_SQL,
 }

@@ -7,16 +7,18 @@ from ..durable import shared_folder
 
 __all__ = ["Scratch", "shared_folder"]
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of whole texts sent to a Python worker at once: the default of 10,000 holds tens of MB several times over, in
-#: the executor's direct memory and in the worker.
-RECORDS = 1000
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows, and bytes, of whole texts sent to a Python worker at once: the defaults of 10,000 rows and 64 MB are held several
+#: times over, in the executor's direct memory and in the worker.
+RECORDS, BYTES = 1000, 8 << 20
 
 
 class Scratch(Tables):
-    """Where the session's Arrow batches are larger, they are set to RECORDS rows for the session."""
+    """Where the session's Arrow batches are larger, they are set to RECORDS rows and BYTES bytes for the session: results
+    are computed after the call, so the setting cannot be taken back with its end."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         super().__init__(spark, name)
         if not 0 < int(spark.conf.get(_BATCH)) <= RECORDS:
             spark.conf.set(_BATCH, RECORDS)
+        spark.conf.set(_BYTES, BYTES)

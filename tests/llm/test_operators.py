@@ -522,3 +522,48 @@ def test_chats(spark):
     assert line == '{"content":"{\\"a\\":[2],\\"b\\":1}","role":"tool","tool_call_id":"a"}'
     assert chat.format_chats(df.limit(0)).count() == 0
     assert chat.schema_error({"query": "a", "z": 1}, TOOLS["search"]) == "$.z: not allowed" and chat.schema_error({"query": True}, TOOLS["search"]) == "$.query: not of type string"
+
+
+def test_odd_calls(spark):
+    call = lambda **c: json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "x"}} | c]})
+    rows = [
+        (1, 0, "assistant", call(name=["x"])), (2, 0, "assistant", call(arguments={"$result": "a"})), (3, 0, "user", call()),
+        (4, 0, "assistant", '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "x", "limit": 1e400}}]}'),
+        (5, 0, "assistant", json.dumps({"tool_calls": [], "mood": 1})), (6, 0, "assistant", call(arguments={"query": {"$result": "zz"}})),
+        (7, 0, "assistant", call(arguments={"query": {"$result": ["zz"]}})), (8, 0, "user", "long " * 400_000),
+    ]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, k int, call string")
+    got = {r.conv_id: r for r in chat.format_chats(df, TOOLS).collect()}
+    assert {i: r.error for i, r in got.items()} == {1: 'unknown tool ["x"]', 2: "$.query: missing", 3: None, 4: None, 5: "unknown key mood", 6: "refers to no call", 7: "$.query: not of type string", 8: None}
+    assert json.loads(got[4].json) == {"role": "assistant", "content": rows[3][3]} and len(json.loads(got[8].json)["content"]) == 2_000_000
+    with pytest.raises(ValueError):
+        chat.format_chats(df, {"search": {"type": "object", "properties": {"q": {"pattern": "a"}}}})
+
+
+def test_places_equal_a_plain_topological_order(spark):
+    rng = random.Random(25)
+    rows, want = [], {}
+    for c in range(25):
+        n = rng.randint(1, 7)
+        waits = {i: sorted({rng.randrange(n) for _ in range(rng.randint(0, 2))} - {i}) if c % 4 == 0 else sorted({rng.randrange(i) for _ in range(rng.randint(0, 2))} if i else set()) for i in range(n)}
+        turns = rng.sample(range(40), 2 * n)
+        called, answered = turns[:n], turns[n:]
+        for i in range(n):
+            arguments = {"expression": "e"} | {f"w{j}": {"$result": f"c{j}"} for j in waits[i]}
+            rows.append((c, called[i], "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": "calculate", "arguments": arguments}]})))
+            rows.append((c, answered[i], "tool", json.dumps({"tool_call_id": f"c{i}", "content": "r"})))
+        before = {answered[i]: [called[i]] for i in range(n)} | {called[i]: [answered[j] for j in waits[i]] for i in range(n)}
+
+        def place(t, path, before=before):
+            if t in path:
+                return None
+            asks = [place(p, {*path, t}) for p in before[t]]
+            if None in asks:
+                return None
+            return max([(t, 0), *((at, depth + 1) for at, depth in asks)])
+
+        for t in before:
+            want[c, t] = place(t, set())
+    schema = "conv_id long, turn long, role string, text string"
+    got = {(r.conv_id, r.turn): None if r.error == "cycle" else (r.order_turn, r.order_depth) for r in chat.format_chats(spark.createDataFrame(rows, schema), TOOLS).collect()}
+    assert got == want and any(w is None for w in want.values()) and any(w and w[1] > 2 for w in want.values())
