@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TokenizerConfig
-from ..functions.text import token_array
+from ..functions.distance import kgrams
+from ..functions.text import glob_regex, token_array
 
 
 def token_arrays(docs: DataFrame, config: TokenizerConfig | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,37 +57,100 @@ def postings_lists(toks: DataFrame, keep: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of a collection. ``load`` after ``save`` gives the same tables; lookups by term read one bucket's files."""
+    """The stored tables of a collection: written once, then every query reads the buckets and row groups it needs.
 
-    tokens: DataFrame
-    docs: DataFrame  # doc_id, name, len
+    ``tokens(term, doc_id, off)`` and ``counts(term, doc_id, tf, len)`` lie in buckets by term, sorted by term within
+    files; ``terms(term, df, cf)`` is sorted by term; ``grams(gram, term, n, cf)``, the k-grams of the padded terms with
+    the number of a term's distinct unpadded ones and its frequency, by gram; ``docs(doc_id, name, len)`` has every
+    document, empty ones too.
+    """
 
-    BUCKETS = 64
+    tokens: DataFrame
+    counts: DataFrame
+    terms: DataFrame
+    grams: DataFrame
+    docs: DataFrame
+    buckets: int
+    k: int = 2
+
+    #: Bytes of text for each bucket, and the most buckets.
+    BUCKET_BYTES, MOST = 64 << 20, 4096
+    #: A wildcard that stands for more terms than this is matched on the occurrences instead of by a list of terms.
+    LISTED = 1000
 
     @classmethod
-    def build(cls, docs: DataFrame, config: TokenizerConfig | None = None, name: str | None = None) -> Index:
+    def write(cls, docs: DataFrame, path: str, config: TokenizerConfig | None = None, name: str | None = None, k: int = 2) -> None:
+        """Tokenise ``docs(doc_id, text)`` once and store all tables. Hot terms are spread by document."""
+        spark = docs.sparkSession
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        buckets = max(8, min(cls.MOST, size // cls.BUCKET_BYTES))
         named = docs.select("doc_id", (F.col(name) if name else F.col("doc_id").cast("string")).alias("name"), token_array(F.col("text"), config).alias("terms"))
-        return cls(named.select("doc_id", F.posexplode("terms").alias("off", "term")), named.select("doc_id", "name", F.size("terms").alias("len")))
+        named.write.mode("overwrite").parquet(f"{path}/arrays")
+        arrays = spark.read.parquet(f"{path}/arrays")
+        arrays.select("doc_id", "name", F.size("terms").alias("len")).write.mode("overwrite").parquet(f"{path}/docs")
+
+        def store(table: DataFrame, where: str, order: list[str]) -> None:
+            dealt = table.withColumn("bucket", cls.bucket(F.col("term"), buckets))
+            dealt.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(2 if buckets == 8 else 8))).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{where}")
+
+        store(arrays.select(F.posexplode("terms").alias("off", "term"), "doc_id").select("term", "doc_id", "off"), "tokens", ["term", "doc_id", "off"])
+        exploded = arrays.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+        store(exploded.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "len"), "counts", ["term", "doc_id"])
+        counts = spark.read.parquet(f"{path}/counts")
+        counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).sort("term").write.mode("overwrite").parquet(f"{path}/terms")
+        terms = spark.read.parquet(f"{path}/terms")
+        grams = terms.select(F.explode(kgrams(F.col("term"), k, padded=True, distinct=True)).alias("gram"), "term", F.size(kgrams(F.col("term"), k, padded=False, distinct=True)).alias("n"), "cf")
+        grams.sort("gram", "term").write.mode("overwrite").parquet(f"{path}/grams")
+        spark.createDataFrame([(buckets, k)], "buckets int, k int").write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
-    def bucket(term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(Index.BUCKETS)).cast("int")
-
-    def save(self, path: str) -> None:
-        """Tokens by term bucket, sorted within files so that row groups can be skipped; hot terms spread by document."""
-        salted = self.tokens.withColumn("bucket", self.bucket(F.col("term")))
-        salted.repartition("bucket", F.pmod("doc_id", F.lit(8))).sortWithinPartitions("bucket", "term", "doc_id", "off").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/tokens")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    def bucket(term: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/docs"))
+        meta = spark.read.parquet(f"{path}/meta").first()
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("tokens", "counts", "terms", "grams", "docs")), meta["buckets"], meta["k"])
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, config: TokenizerConfig | None = None, name: str | None = None, k: int = 2) -> Index:
+        cls.write(docs, path, config, name, k)
+        return cls.load(docs.sparkSession, path)
+
+    def expand(self, glob: str) -> DataFrame:
+        """``(term)``: the terms that a word with ``*`` stands for. Those with all of its k-grams come from the gram table
+        and are then matched whole; a word without any k-gram is matched on the vocabulary."""
+        padded = f"^{glob}$".split("*")
+        wanted = list(dict.fromkeys(piece[i : i + self.k] for piece in padded for i in range(len(piece) - self.k + 1)))
+        found = self.terms
+        if wanted:
+            found = self.grams.where(F.col("gram").isin(*wanted)).groupBy("term").agg(F.count("*").alias("hits")).where(F.col("hits") == len(wanted))
+        return found.where(F.col("term").rlike(glob_regex(glob))).select("term")
+
+    def _asked(self, table: DataFrame, slots: list[str]) -> DataFrame:
+        """The rows of a bucketed table whose term a slot stands for; the filter names the buckets where it can."""
+        words, wide = {s for s in slots if "*" not in s}, []
+        for glob in (s for s in slots if "*" in s):
+            some = [r["term"] for r in self.expand(glob).limit(self.LISTED + 1).collect()]
+            if len(some) > self.LISTED:
+                wide.append(F.col("term").rlike(glob_regex(glob)))
+            else:
+                words.update(some)
+        listed = F.col("term").isin(*sorted(words)) if words else F.lit(False)
+        if wide:
+            return table.where(reduce(lambda a, b: a | b, wide, listed))
+        spark = table.sparkSession
+        rows = spark.createDataFrame([(w,) for w in sorted(words)], "term string").select(self.bucket(F.col("term"), self.buckets).alias("b")).distinct().collect()
+        return table.where(listed).where(F.col("bucket").isin(*sorted(r["b"] for r in rows)) if rows else F.lit(False))
+
+    def occurrences(self, slots: list[str]) -> DataFrame:
+        """``(term, doc_id, off)`` of the slots' terms."""
+        return self._asked(self.tokens, slots).select("term", "doc_id", "off")
+
+    def frequencies(self, slots: list[str]) -> DataFrame:
+        """``(term, doc_id, tf, len)`` of the slots' terms."""
+        return self._asked(self.counts, slots).select("term", "doc_id", "tf", "len")
 
     def postings(self, term: str) -> DataFrame:
-        """Occurrences of one term. On a loaded index the partition filter names the bucket."""
-        found = self.tokens.where(F.col("term") == term)
-        if "bucket" in self.tokens.columns:
-            spark = self.tokens.sparkSession
-            bucket = spark.range(1).select(self.bucket(F.lit(term))).first()[0]
-            found = found.where(F.col("bucket") == bucket)
-        return found.select("doc_id", "off")
+        """Occurrences of one term."""
+        return self.occurrences([term]).select("doc_id", "off")

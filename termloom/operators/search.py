@@ -61,6 +61,8 @@ def boolean_or(toks: DataFrame, slots: list[str]) -> DataFrame:
 
 def phrase(toks: DataFrame, slots: list[str]) -> DataFrame:
     """Documents in which the slots occur at consecutive offsets: occurrences agree on offset minus slot number."""
+    if len(slots) > 63:
+        raise ValueError("a phrase has 63 words at most")
     numbers = F.array_compact(F.array(*[F.when(slot_condition(s), i) for i, s in enumerate(slots)]))
     hits = toks.where(any_slot(slots)).select("doc_id", "off", F.explode(numbers).alias("slot"))
     # a bit for each slot seen at this start; a slot can be seen but once there
@@ -92,16 +94,17 @@ def idf(n: Column, df: Column, integer: bool = True) -> Column:
 
 
 def tf_idf(arrays: DataFrame, slots: list, integer: bool = True) -> DataFrame:
-    """``(doc_id, score)`` of every document with at least one slot: sum of idf x weight x tf / length.
-
-    Works on ``(doc_id, terms)``: the length comes with the array, so only query terms' counts are exchanged."""
-    asked = weights_of(slots)
-    words = [s for s, _ in asked]
+    """``(doc_id, score)`` from ``(doc_id, terms)``, without a stored index; see ``tf_idf_of``."""
+    words = [s for s, _ in weights_of(slots)]
     exploded = arrays.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).where(any_slot(words))
-    tf = exploded.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    return tf_idf_of(exploded.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")), arrays.agg(F.count("*").alias("n")), slots, integer)
+
+
+def tf_idf_of(tf: DataFrame, n: DataFrame, slots: list, integer: bool = True) -> DataFrame:
+    """``(doc_id, score)`` of every document with at least one slot: sum of idf x weight x tf / length. ``tf``: the counts
+    of the slots' terms with their documents' lengths; ``n``: one row, the number of documents."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = arrays.agg(F.count("*").alias("n"))
-    share = idf(F.col("n"), F.col("df"), integer) * term_weight(asked) * F.col("tf") / F.col("len")
+    share = idf(F.col("n"), F.col("df"), integer) * term_weight(weights_of(slots)) * F.col("tf") / F.col("len")
     return tf.join(df, "term").crossJoin(F.broadcast(n)).groupBy("doc_id").agg(F.sum(share).alias("score"))  # n: one row
 
 

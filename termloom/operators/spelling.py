@@ -40,16 +40,25 @@ def suggest(frequencies: DataFrame, word: str, config: EngineConfig | None = Non
     return near.select("term", "cf")
 
 
+def suggest_stored(grams: DataFrame, word: str, config: EngineConfig | None = None) -> DataFrame:
+    """``suggest`` over a stored index's ``grams(gram, term, n, cf)``: only the word's k-grams are read."""
+    config = config or EngineConfig()
+    own = list(dict.fromkeys(grams_of(word, config.k)))
+    shared = grams.where(F.col("gram").isin(*own) if own else F.lit(False)).where(F.abs(F.length("term") - len(word)) <= config.max_edit)
+    likely = shared.groupBy("term", "n", "cf").agg(F.count("*").alias("overlap")).where(F.col("overlap") / (len(own) + F.col("n") - F.col("overlap")) >= config.jaccard)
+    return likely.where(indel_distance(F.lit(word), F.col("term")) <= config.max_edit).select("term", "cf")
+
+
 def best(suggested: DataFrame, limit: int = 10) -> list[str]:
     """The ``limit`` most frequent suggestions."""
     return [r["term"] for r in suggested.orderBy(F.desc("cf"), "term").limit(limit).collect()]
 
 
-def suggest_query(toks: DataFrame, frequencies: DataFrame, words: list[str], limit: int = 10, config: EngineConfig | None = None) -> list[str]:
+def suggest_query(toks: DataFrame, frequencies: DataFrame, words: list[str], limit: int = 10, config: EngineConfig | None = None, grams: DataFrame | None = None) -> list[str]:
     """Corrections of a whole query, best first: known words stay, unknown ones are replaced; prefixes are extended slot
-    by slot and cut to the ``limit`` that most documents hold."""
+    by slot and cut to the ``limit`` that most documents hold. With ``grams`` of a stored index, suggestions come from there."""
     known = {r["term"] for r in frequencies.where(F.col("term").isin(*words)).select("term").collect()} if words else set()
-    slots = [[w] if w in known else best(suggest(frequencies, w, config), limit) for w in words]
+    slots = [[w] if w in known else best(suggest(frequencies, w, config) if grams is None else suggest_stored(grams, w, config), limit) for w in words]
     if not slots or any(not s for s in slots):
         return []
     beam: list[tuple[str, ...]] = [(t,) for t in slots[0][:limit]]

@@ -6,50 +6,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig, QueryType, Ranking
+from ..durable import Scratch
 from ..functions.text import parse_query
 from ..operators import feedback as fb
 from ..operators import links, search, spelling
-from ..operators.index import coll_freq, token_arrays
+from ..operators.index import Index, token_arrays
 
 
 class SearchEngine:
-    """``docs(doc_id, text)``, optionally with a link graph between documents and precomputed ranks ``(doc_id, score)``."""
+    """Answers queries from a stored ``Index``, optionally with a link graph between documents and precomputed ranks
+    ``(doc_id, score)``. ``docs(doc_id, text)`` is read only to show a document and for the terms of feedback."""
 
-    def __init__(self, docs: DataFrame, config: EngineConfig | None = None, ranks: DataFrame | None = None, edges: DataFrame | None = None) -> None:
-        self.docs, self.config, self.ranks, self.edges = docs, config or EngineConfig(), ranks, edges
-        self.arrays = token_arrays(docs, self.config.tokenizer)
-        self.tokens = self.arrays.select("doc_id", F.posexplode("terms").alias("off", "term"))
+    def __init__(self, index: Index, docs: DataFrame, config: EngineConfig | None = None, ranks: DataFrame | None = None, edges: DataFrame | None = None) -> None:
+        self.index, self.docs, self.config, self.ranks, self.edges = index, docs, config or EngineConfig(), ranks, edges
+
+    @classmethod
+    def over(cls, docs: DataFrame, path: str | None = None, config: EngineConfig | None = None, **more) -> SearchEngine:
+        """Index ``docs`` first, at ``path`` or in a folder of the session's shared store."""
+        config = config or EngineConfig()
+        built = Index.build(docs, path or Scratch(docs.sparkSession, "index").root, config.tokenizer, k=config.k)
+        return cls(built, docs, config, **more)
 
     def missing(self, text: str) -> list[str]:
-        return sorted(r["term"] for r in search.missing_terms(self.tokens, parse_query(text)).collect())
+        return sorted(r["term"] for r in search.missing_terms(self.index.terms, parse_query(text)).collect())
 
     def search(self, text: str | list[tuple[str, float]], kind: QueryType = QueryType.INTERSECTION, ranking: Ranking = Ranking.TF_IDF, gate: bool = True) -> DataFrame:
         """``(doc_id, score)``. With ``gate``, a word that no document has makes the result empty."""
         slots = search.weights_of(parse_query(text) if isinstance(text, str) else text)
         words = [s for s, _ in slots]
         empty = self.docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-        if not words or gate and search.missing_terms(self.tokens, words).limit(1).count():
+        if not words or gate and search.missing_terms(self.index.terms, words).limit(1).count():
             return empty
-        if kind is QueryType.INTERSECTION:
-            return search.boolean_and(self.tokens, words).select("doc_id", F.lit(1.0).alias("score"))
         if kind is QueryType.PHRASE:
-            return search.phrase(self.tokens, words).select("doc_id", F.lit(1.0).alias("score"))
+            return search.phrase(self.index.occurrences(words), words).select("doc_id", F.lit(1.0).alias("score"))
+        counts = self.index.frequencies(words)
+        if kind is QueryType.INTERSECTION:
+            return search.boolean_and(counts, words).select("doc_id", F.lit(1.0).alias("score"))
         if ranking is Ranking.TF_IDF:
-            return search.tf_idf(self.arrays, slots, self.config.integer_idf)
+            return self._tf_idf(counts, slots)
         if ranking is Ranking.HITS:
-            return hits_ranking(search.boolean_or(self.tokens, words), self.edges)
+            if self.edges is None:
+                raise ValueError("this ranking needs links between documents")
+            return hits_ranking(search.boolean_or(counts, words), self.edges)
         if self.ranks is None:
             raise ValueError("this ranking needs ranks")
         if ranking is Ranking.PAGERANK:
-            return search.by_rank(search.boolean_or(self.tokens, words), self.ranks)
-        return search.combined(search.tf_idf(self.arrays, slots, self.config.integer_idf), self.ranks, self.config.pagerank_weight)
+            return search.by_rank(search.boolean_or(counts, words), self.ranks)
+        return search.combined(self._tf_idf(counts, slots), self.ranks, self.config.pagerank_weight)
+
+    def _tf_idf(self, counts: DataFrame, slots: list[tuple[str, float]]) -> DataFrame:
+        return search.tf_idf_of(counts, self.index.docs.agg(F.count("*").alias("n")), slots, self.config.integer_idf)
 
     def suggest(self, text: str, limit: int = 10) -> list[str]:
-        return spelling.suggest_query(self.tokens, coll_freq(self.tokens), parse_query(text), limit, self.config)
+        words = parse_query(text)
+        stored = self.config.k == self.index.k
+        return spelling.suggest_query(self.index.counts, self.index.terms, words, limit, self.config, self.index.grams if stored else None)
 
     def feedback(self, text: str, ranked: list[int], marks: list[bool]) -> list[tuple[str, float]]:
         """The expanded query, to be searched like any other."""
-        found = fb.feedback_weights(self.arrays, parse_query(text), ranked, marks, self.config)
+        found = fb.feedback_weights(token_arrays(self.docs, self.config.tokenizer), parse_query(text), ranked, marks, self.config)
         return [(r["term"], r["weight"]) for r in found.orderBy("term").collect()]  # terms of ten documents at most
 
     def page(self, result: DataFrame, first: int = 1, last: int = 10) -> DataFrame:

@@ -237,6 +237,10 @@ ORACLES = {
     "spell_jaccard": f"WITH {_suggest(MISSPELT, JACCARD, 6)} SELECT term, cf FROM sg",
     "spell_jaccard_strict": f"WITH {_suggest('keeit', _sizes('keeit'), 3)} SELECT term, cf FROM sg",
     "spell_suggest": f"WITH {_suggest(MISSPELT, JACCARD, 6)} SELECT term, cf FROM sg ORDER BY cf DESC, term LIMIT 10",
+    "spell_suggest_phrase": f"""WITH {_suggest('keeit', JACCARD, 6)},
+b AS (SELECT term FROM sg ORDER BY cf DESC, term LIMIT 5),
+c AS (SELECT b.term, (SELECT count(DISTINCT x.doc_id) FROM tok x JOIN tok y ON x.doc_id = y.doc_id WHERE x.term = b.term AND y.term = 'und') AS n FROM b)
+SELECT CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS place, term || ' und' AS phrase FROM c""",
     "edit_distance": f"SELECT p_name, p_type, CAST({_indel('p_name', 'p_type')} AS INTEGER) AS distance FROM (SELECT DISTINCT p_name, p_type FROM part)",
     "feedback_weights": f"WITH {_feedback(False)} SELECT term, round(weight, 9) AS weight FROM fw",
     "feedback_rank": _feedback_rank(False),

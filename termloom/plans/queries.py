@@ -45,6 +45,21 @@ def _token_counts(config: TokenizerConfig):
     return run
 
 
+_stored: dict[tuple[str, str], index.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> index.Index:
+    """The stored index of the documents; the session's first query writes it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        _stored[key] = index.Index.build(_docs(spark, d), Scratch(spark, "index").root)
+    return _stored[key]
+
+
+def _counts(spark: SparkSession, d: str, slots: list[str]) -> DataFrame:
+    return _index(spark, d).frequencies(slots)
+
+
 def doc_links(docs: DataFrame) -> DataFrame:
     """A link graph over document ids: two computed targets from every document but each fifth."""
     n = docs.agg(F.count("*").alias("n"))
@@ -77,7 +92,8 @@ def _ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tfidf(spark: SparkSession, d: str, slots: list | None = None, integer: bool = True) -> DataFrame:
-    return search.tf_idf(_arrays(spark, d), slots or RANKED, integer)
+    stored, slots = _index(spark, d), slots or RANKED
+    return search.tf_idf_of(stored.frequencies(slots), stored.docs.agg(F.count("*").alias("n")), slots, integer)
 
 
 def _corpus_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -86,29 +102,29 @@ def _corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def _index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = Scratch(spark, "index").root
-    index.Index.build(_docs(spark, d)).save(path)
+    index.Index.write(_docs(spark, d), path)
     loaded = index.Index.load(spark, path)
     return loaded.postings("keit").join(loaded.docs, "doc_id").select("doc_id", "off", "name", "len")
 
 
 def _kgrams(spark: SparkSession, d: str) -> DataFrame:
-    return kgram.kgram_index(_vocabulary(spark, d))
+    return _index(spark, d).grams.select("gram", "term")
 
 
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return _tokens(spark, d).select("term").distinct()
+    return _index(spark, d).terms.select("term")
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return index.coll_freq(_tokens(spark, d))
+    return _index(spark, d).terms.select("term", "cf")
 
 
 def _spell_best(spark: SparkSession, d: str) -> DataFrame:
-    return spelling.suggest(_frequencies(spark, d), MISSPELT).orderBy(F.desc("cf"), "term").limit(10)
+    return spelling.suggest_stored(_index(spark, d).grams, MISSPELT).orderBy(F.desc("cf"), "term").limit(10)
 
 
 def _spell_phrase(spark: SparkSession, d: str) -> DataFrame:
-    found = spelling.suggest_query(_tokens(spark, d), _frequencies(spark, d), ["keeit", "und"], 5)
+    found = spelling.suggest_query(_index(spark, d).counts, _frequencies(spark, d), ["keeit", "und"], 5, grams=_index(spark, d).grams)
     return spark.createDataFrame([(i, p) for i, p in enumerate(found)], "place int, phrase string")
 
 
@@ -128,13 +144,12 @@ def _feedback(spark: SparkSession, d: str, strict: bool = False) -> DataFrame:
 def _feedback_rank(strict: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
         terms = _feedback(spark, d, strict)
-        arrays = _arrays(spark, d)
+        stored = _index(spark, d)
         # the expanded query is a table: its terms are those of ten documents, joined by term
         weights = (terms.select("term", F.lit(1.0).alias("weight")) if strict else terms).groupBy("term").agg(F.sum("weight").alias("w"))
-        exploded = arrays.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-        tf = exploded.join(weights, "term").groupBy("doc_id", "len", "term", "w").agg(F.count("*").alias("tf"))
+        tf = stored.counts.join(weights, "term").select("doc_id", "len", "term", "w", "tf")
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        n = arrays.agg(F.count("*").alias("n"))
+        n = stored.docs.agg(F.count("*").alias("n"))
         share = search.idf(F.col("n"), F.col("df")) * F.col("w") * F.col("tf") / F.col("len")
         scored = tf.join(df, "term").crossJoin(F.broadcast(n)).groupBy("doc_id").agg(F.sum(share).alias("score"))  # n: one row
         return _rounded(scored)
@@ -191,12 +206,12 @@ def _hits_top(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits_base(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    root = search.boolean_or(_tokens(spark, d), ["keit"]).select(F.col("doc_id").alias("id"))
+    root = search.boolean_or(_counts(spark, d, ["keit"]), ["keit"]).select(F.col("doc_id").alias("id"))
     return links.base_set(doc_links(docs), root)
 
 
 def _rank_hits(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(hits_ranking(search.boolean_or(_tokens(spark, d), ["keit"]), doc_links(_docs(spark, d)), fixed=5))
+    return _rounded(hits_ranking(search.boolean_or(_counts(spark, d, ["keit"]), ["keit"]), doc_links(_docs(spark, d)), fixed=5))
 
 
 def _pagerank(fixed: int | None):
@@ -217,30 +232,30 @@ QUERIES = {
     "doc_lengths": lambda s, d: index.doc_lengths(_docs(s, d)),
     "term_freq": lambda s, d: index.term_freq(_tokens(s, d)),
     "doc_freq": lambda s, d: index.doc_freq(index.term_freq(_tokens(s, d))),
-    "coll_freq": _frequencies,
+    "coll_freq": lambda s, d: index.coll_freq(_tokens(s, d)),
     "corpus_stats": _corpus_stats,
-    "postings": lambda s, d: index.postings_lists(_tokens(s, d), F.col("term").isin("keit", "und", "thatin")),
+    "postings": lambda s, d: index.postings_lists(_index(s, d).occurrences(["keit", "und", "thatin"]), F.col("term").isin("keit", "und", "thatin")),
     "index_roundtrip": _index_roundtrip,
-    "missing_terms": lambda s, d: search.missing_terms(_tokens(s, d), ["und", "qqq", "xyzzy"]),
-    "boolean_and": lambda s, d: search.boolean_and(_tokens(s, d), PAIR),
-    "boolean_and_wildcard": lambda s, d: search.boolean_and(_tokens(s, d), [WILD, "of"]),
-    "boolean_and_strict": lambda s, d: search.boolean_and_strict(_tokens(s, d), ["und", "éire", "keit"]),
-    "boolean_or": lambda s, d: search.boolean_or(_tokens(s, d), RANKED),
-    "phrase2": lambda s, d: search.phrase(_tokens(s, d), PAIR),
-    "phrase3": lambda s, d: search.phrase(_tokens(s, d), ["of", "the", "to"]),
-    "phrase_wildcard": lambda s, d: search.phrase(_tokens(s, d), ["of", "th*"]),
+    "missing_terms": lambda s, d: search.missing_terms(_index(s, d).terms, ["und", "qqq", "xyzzy"]),
+    "boolean_and": lambda s, d: search.boolean_and(_counts(s, d, PAIR), PAIR),
+    "boolean_and_wildcard": lambda s, d: search.boolean_and(_counts(s, d, [WILD, "of"]), [WILD, "of"]),
+    "boolean_and_strict": lambda s, d: search.boolean_and_strict(_counts(s, d, ["und", "éire", "keit"]), ["und", "éire", "keit"]),
+    "boolean_or": lambda s, d: search.boolean_or(_counts(s, d, RANKED), RANKED),
+    "phrase2": lambda s, d: search.phrase(_index(s, d).occurrences(PAIR), PAIR),
+    "phrase3": lambda s, d: search.phrase(_index(s, d).occurrences(["of", "the", "to"]), ["of", "the", "to"]),
+    "phrase_wildcard": lambda s, d: search.phrase(_index(s, d).occurrences(["of", "th*"]), ["of", "th*"]),
     "tfidf": lambda s, d: _rounded(_tfidf(s, d)),
     "tfidf_real_idf": lambda s, d: _rounded(_tfidf(s, d, integer=False)),
     "tfidf_wildcard": lambda s, d: _rounded(_tfidf(s, d, ["und", WILD])),
     "tfidf_topk": lambda s, d: _rounded(search.page(_tfidf(s, d))),
     "tfidf_page2": lambda s, d: _rounded(search.page(_tfidf(s, d), 11, 20)),
-    "rank_pagerank": lambda s, d: _rounded(search.by_rank(search.boolean_or(_tokens(s, d), RANKED), _ranks(s, d))),
+    "rank_pagerank": lambda s, d: _rounded(search.by_rank(search.boolean_or(_counts(s, d, RANKED), RANKED), _ranks(s, d))),
     "rank_combination": lambda s, d: _rounded(search.combined(_tfidf(s, d), _ranks(s, d))),
     "rank_hits": _rank_hits,
     "kgrams": _kgrams,
     "kgram_lookup": lambda s, d: kgram.lookup(_kgrams(s, d), "^q"),
     "kgram_and": lambda s, d: kgram.lookup_all(_kgrams(s, d), ["^t", "th", "g$"]),
-    "wildcard_expand": lambda s, d: kgram.expand(_vocabulary(s, d), WILD),
+    "wildcard_expand": lambda s, d: _index(s, d).expand(WILD),
     "spell_candidates": lambda s, d: spelling.candidates(_vocabulary(s, d), MISSPELT).select("term", "n_word", "n_term", "overlap"),
     "spell_jaccard": lambda s, d: spelling.suggest(_frequencies(s, d), MISSPELT),
     "spell_jaccard_strict": lambda s, d: spelling.suggest(_frequencies(s, d), "keeit", EngineConfig(max_edit=3), strict=True),

@@ -116,10 +116,10 @@ def test_edit_distance(spark):
 
 def test_spelling(spark):
     d = docs(spark, "keit und keit", "keit und", "zeit und")
-    engine = SearchEngine(d, EngineConfig())
+    engine = SearchEngine.over(d)
     assert engine.suggest("keitt und")[0] == "keit und"
     assert engine.suggest("q und") == []
-    freq = index.coll_freq(engine.tokens)
+    freq = engine.index.terms
     # keit shares ke, ei, it of 4 grams in all; zeit ei, it of 5
     assert spelling.best(spelling.suggest(freq, "keiit")) == ["keit", "zeit"]
     short = spark.createDataFrame([(t, 1) for t in ("ke", "kei", "eit", "keit", "eeee")], "term string, cf long")
@@ -169,7 +169,7 @@ def test_walks_approach_pagerank(spark):
 def test_engine_and_evaluation(spark):
     d = docs(spark, "red fox", "red red dog", "blue fox", "green", "green", "green")
     ranks = spark.createDataFrame([(0, 0.5), (1, 0.25)], "doc_id long, score double")
-    e = SearchEngine(d, ranks=ranks, edges=edges(spark, (0, 1), (2, 1)))
+    e = SearchEngine.over(d, ranks=ranks, edges=edges(spark, (0, 1), (2, 1)))
     assert ids(e.search("red fox")) == [0]
     assert ids(e.search("red nothing")) == [] and e.missing("red nothing") == ["nothing"]
     assert ids(e.search("red fox", QueryType.PHRASE)) == [0]
@@ -182,11 +182,17 @@ def test_engine_and_evaluation(spark):
 
 
 def test_index_comes_back(spark, tmp_path):
-    built = index.Index.build(docs(spark, "a b a", "b"))
-    built.save(str(tmp_path / "i"))
+    d = docs(spark, "a b a", "b", "math mathematics path ma", "")
+    index.Index.write(d, str(tmp_path / "i"))
     loaded = index.Index.load(spark, str(tmp_path / "i"))
     assert sorted(map(tuple, loaded.postings("a").collect())) == [(0, 0), (0, 2)]
-    assert sorted(map(tuple, loaded.docs.select("doc_id", "len").collect())) == [(0, 3), (1, 1)]
+    assert sorted(map(tuple, loaded.docs.select("doc_id", "len").collect())) == [(0, 3), (1, 1), (2, 4), (3, 0)]
+    assert {tuple(r) for r in loaded.terms.where("term in ('a', 'b')").collect()} == {("a", 1, 2), ("b", 2, 2)}
+    for glob, want in {"ma*": ["ma", "math", "mathematics"], "*th": ["math", "path"], "m*s": ["mathematics"], "*": ["a", "b", "ma", "math", "mathematics", "path"]}.items():
+        assert ids(loaded.expand(glob), "term") == want
+    plan = loaded.frequencies(["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert loaded.frequencies(["m*", "b"]).count() == 5 and loaded.frequencies(["zz"]).count() == 0 and loaded.frequencies(["z*"]).count() == 0
 
 
 def test_files(spark, tmp_path):
