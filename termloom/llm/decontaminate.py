@@ -257,9 +257,10 @@ def build_indexes(items: DataFrame, key: str = "item_id", text: str = "text") ->
         rows = rows.withColumn("s", sum((F.when(F.length("t") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
     else:
         rows = rows.withColumn("s", F.lit(0))
-    # lengths may be tied, so a shard is cut once more by a hash
-    more = max(1, -(-rows.groupBy("s").count().agg(F.max("count")).first()[0] // (2 * SHARD_ITEMS)))
-    for s in sorted(r["s"] for r in rows.select("s").distinct().collect()):
+    # a shard is cut once more by a hash where lengths are tied or its items are long
+    sizes = rows.groupBy("s").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("c")).orderBy("s").collect()  # a row a shard
+    for s, n, chars in sizes:
+        more = max(1, -(-n // (2 * SHARD_ITEMS)), -(-chars // (2 * SHARD_CHARS)))
         for part in range(more):
             own = rows.where((F.col("s") == s) & (F.pmod(F.xxhash64("k", "t"), F.lit(more)) == part))
             known = own.select(F.lit(0).alias("x"), "t").mapInArrow(_terms, "x int, term string, n int").where("term is not null").select("term").distinct()
@@ -290,7 +291,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     and a pair is kept if half of the item's word five-grams are in the passage, or half of the question's alone, where
     the question has GRAM words or more. The best passage counts.
 
-    Null and empty texts and items match nothing; repeated documents are each reported; a null key is reported as
+    Of equal scores the earlier passage counts; texts of any length are read whole. Null and empty texts and items match
+    nothing; repeated documents are each reported; a null key is reported as
     null. Empty tables give an empty result. Other columns are not read.
 
     A map over the documents without an exchange. The index travels with the tasks: its size is checked and bounded,

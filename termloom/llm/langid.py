@@ -68,9 +68,11 @@ class TextModel:
 def fit(docs: DataFrame, label: str, key: str, text: str = "text", sample: int = SAMPLE) -> TextModel:
     """Naive Bayes over hashed trigrams, fitted on the labelled rows whose hash falls below a threshold of their
     language, which makes them about ``sample`` over the number of languages, or LEAST, at most; every language whose
-    label stands at a text with letters has a model. Counts are summed by the cluster; languages x BUCKETS sums reach
-    the driver."""
-    labelled = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).select(F.col(label).alias("l"), F.col(text).alias("t"), F.xxhash64(key, label, text).alias("h"))
+    label stands at a text with letters has a model. Labels are read like declarations: ``fr-CA`` and ``FR`` are ``fr``;
+    those that are not two letters name no language, so there are 676 at most. Counts are summed by the cluster;
+    languages x BUCKETS sums reach the driver."""
+    code = _declared_code(F.col(label))
+    labelled = docs.where(code.rlike("^[a-z]{2}$") & F.col(text).rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).select(code.alias("l"), F.col(text).alias("t"), F.xxhash64(key, label, text).alias("h"))
     sizes = {r["l"]: r["count"] for r in labelled.groupBy("l").count().collect()}  # one value a language
     bound = max(LEAST, sample // max(1, len(sizes)))
     cuts = {name: int((1 << 30) * bound / n) for name, n in sizes.items() if n > bound}
@@ -170,7 +172,7 @@ def identify(
     of each row's vote (text and declared language alone; a text in none of the languages has none); a row's own vote is
     taken out of its host's counts.
 
-    A text without letters, null or empty, has no language (null) and confidence 0. A null host shares one prior.
+    Texts of any length are read whole, a piece at a time. A text without letters, null or empty, has no language (null) and confidence 0. A null host shares one prior.
     Ties go to the language first in the alphabet. Repeated rows and null keys stay; an empty table stays empty. Other
     columns pass through, except ones named ``_language`` or ``_confidence``, which are replaced.
 

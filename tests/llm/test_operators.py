@@ -337,6 +337,27 @@ def test_rare_languages_keep_a_model_at_every_size(spark, monkeypatch):
     assert [got[i] for i in range(3)] == ["cc"] * 3
 
 
+def test_labels_are_read_like_declarations(spark):
+    words = {"aa": "der die und ist nicht das", "bb": "the of and is not that"}
+    labels = ["aa", "AA", "aa-CH", "bb", " bb_x", "english", "bbb", "", None]
+    rows = [(i, words["aa" if i % 9 < 3 else "bb"], labels[i % 9], "h") for i in range(180)]
+    df = spark.createDataFrame(rows, DOCS + ", lang string, source string")
+    assert langid.fit(df, "lang", "doc_id").languages == ("aa", "bb")
+    got = langid.identify(df, F.col("lang"), F.col("source"), "lang", "doc_id").collect()
+    assert all(r._language == ("aa" if r.doc_id % 9 < 3 else "bb") for r in got)
+
+
+def test_pages_by_markup_suffix_and_host(spark, tmp_path):
+    from termloom.llm.queries import pages_language_id
+
+    words = {"de": "der die und ist nicht das ein haus", "en": "the of and is not that house"}
+    rows = [(i, f"http://h{i % 3}.{c}/x", f'<html lang="{c}-XX"><script>the of</script><p>{words[c]} {words[c]}</p></html>') for i in range(60) for c in ["de" if i % 2 else "en"]]
+    rows += [(100, "http://h0.de/y", f"<html><p>{words['de']}</p></html>"), (101, None, None), (102, "x", "<html lang=de></html>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.language for r in pages_language_id(spark, str(tmp_path)).collect()}
+    assert got == {i: "de" if i % 2 else "en" for i in range(60)} | {100: "de", 101: None, 102: None}
+
+
 # ---- language model ----
 
 
@@ -422,8 +443,9 @@ def test_leaks(spark, monkeypatch):
     assert pairs() == want
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(d, b).collect()) == [*range(15, 40), 50, 51]
     assert decontaminate.find_leaks(d.limit(0), b).count() == decontaminate.find_leaks(d, b.limit(0)).count() == 0
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 10)  # several indexes find the same
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 500)  # several indexes find the same, each of bounded size
     assert pairs() == want
+    assert max(sum(map(len, (items[i][1] for i in x.ids))) for x in decontaminate.build_indexes(b)) < 5 * 500
 
 
 @pytest.mark.parametrize("shard", [50_000, 20])
