@@ -44,7 +44,12 @@ _OF_BAND = _design(ROWS, BANDS, BAND_ROWS)
 
 def normal(line: str) -> str:
     """Lower case, runs of white space as one blank. Lines that come out empty are blank."""
-    return " ".join(line.lower().split())
+    return _single_blanks(line.lower())
+
+
+def _single_blanks(line: str) -> str:
+    # the only white space in a printable string is the blank
+    return line.strip(" ") if line.isprintable() and "  " not in line else " ".join(line.split())
 
 
 def line_hash(normalised: str) -> int:
@@ -122,7 +127,7 @@ def _lines_of(texts: pa.Array) -> Iterator[tuple[int, int, str]]:
     """Row, position and normal form of every line that is not blank."""
     for row, text in enumerate(texts.to_pylist()):
         for at, line in enumerate(text.lower().split("\n")):
-            if n := " ".join(line.split()):
+            if n := _single_blanks(line):
                 yield row, at, n
 
 

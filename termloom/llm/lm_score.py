@@ -400,7 +400,7 @@ def score_documents(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text:
 
     A token is a word or a mark; its probability is that of its class by the network times its own within the class,
     given both neighbours' classes, by the corpus counts. Counts of the HEAD most frequent tokens travel with the tasks;
-    the other tokens' occurrences meet theirs by a join. A null or empty text has no tokens, likelihood 0 and a null
+    the other tokens' occurrences meet theirs by a join. A long text is scored in parts that see their neighbours. A null or empty text has no tokens, likelihood 0 and a null
     mean. One row comes out for each row that goes in; other columns are not read; an empty table stays empty. Scores
     depend in their last digits on how the rows were partitioned when the network was trained.
     """

@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, key: str =
     """One row for each row of ``docs``: its key, ``fp`` and ``component_id``, the smallest key reachable over links
     between fingerprints that differ in at most ``budget`` bits.
 
-    Texts without words (null and empty ones too) have fingerprint zero and are linked like any other. Rows with equal
+    Texts of any length are read whole, their hashes counted a chunk at a time. Texts without words (null and empty ones
+    too) have fingerprint zero and are linked like any other. Rows with equal
     fingerprints are one node of the join, so copies are never paired; repeated rows come out as often as they went in.
     A null key is kept; it is a component's id only where the component has no other key. Other columns are not read.
     An empty table gives an empty result. Nothing but counts reaches the driver.
@@ -300,7 +301,8 @@ def keep_one(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "
     not prune a trie. The others take no part in the trie, as different samples differ in far more than two bits.
 
     Texts of the same words are one node, so copies are not compared; nodes are known by a 64-bit hash. Texts without
-    words (null and empty ones too) are copies of each other. An empty table stays empty. Counts reach the driver only.
+    words (null and empty ones too) are copies of each other. Texts of any length are read whole; a text takes some tens of bytes a character while
+    it is compared. An empty table stays empty. Counts reach the driver only.
     """
     scratch = Scratch(docs.sparkSession, name)
 
