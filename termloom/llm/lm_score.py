@@ -103,10 +103,11 @@ class Net:
         return cls(*(p.reshape(s).astype(np.float32) for p, s in zip(np.split(values, cuts), shapes, strict=True)))
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        z = self.slots[0][context[0]]
+        z = self.slots[0].take(context[0], axis=0)
         for s in range(1, 2 * SIDE):
-            z = z + self.slots[s][context[s]]
-        return np.tanh(z + self.bias)
+            z += self.slots[s].take(context[s], axis=0)
+        z += self.bias
+        return np.tanh(z, out=z)
 
     def scores(self, hidden: np.ndarray) -> np.ndarray:
         """Unnormalised log probabilities, classes x positions: sums over classes then run along rows."""
@@ -130,12 +131,13 @@ class Net:
         p[target, np.arange(len(target))] -= 1
         p /= len(target)
         dh = (p.T @ self.out.T) * (1 - h * h)
-        g_slots = np.empty_like(self.slots)
+        g_slots = np.zeros_like(self.slots)
         for s in range(2 * SIDE):
-            # a class's gradient is the sum over its positions: a product with the indicator of the class
-            there = np.zeros((CLASSES + 1, len(target)), np.float32)
-            there[context[s], np.arange(len(target))] = 1
-            g_slots[s] = there @ dh
+            # a class's gradient is the sum over its positions, which stand together once ordered by class
+            order = np.argsort(context[s].astype(np.uint8), kind="stable")
+            ordered = context[s][order]
+            firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
+            g_slots[s][ordered[firsts]] = np.add.reduceat(dh.take(order, axis=0), firsts, axis=0)
         for part, g, m in zip(self.parts, (g_slots, dh.sum(axis=0), (p @ h).T, p.sum(axis=1)), memory, strict=True):
             m += g * g
             part -= (_RATE * g / np.sqrt(m + 1e-8)).astype(np.float32)
@@ -143,11 +145,15 @@ class Net:
 
 def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Contexts (slots x positions) and targets of several texts; beyond a text's ends stands the class CLASSES."""
-    gap = np.full(SIDE, CLASSES, np.int64)
-    line = np.concatenate([x for c in classes for x in (gap, c)] + [gap])
-    at = np.flatnonzero(line < CLASSES)
-    context = np.stack([line[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))])
-    return context, line[at]
+    return _windows(np.concatenate(classes), [len(c) for c in classes])
+
+
+def _windows(target: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of texts that follow one another in ``target``."""
+    line = np.full(len(target) + SIDE * (len(sizes) + 1), CLASSES, np.int64)
+    at = np.arange(len(target)) + np.repeat(np.arange(SIDE, SIDE * (len(sizes) + 1), SIDE), sizes)
+    line[at] = target
+    return np.stack([line[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]), target
 
 
 @dataclass(frozen=True)
@@ -188,7 +194,7 @@ class Scorer:
     head: np.ndarray  # sorted ids of the most frequent tokens without a class of their own
     counts: np.ndarray  # their counts
     beside: np.ndarray  # head x SLOTS: their counts beside each neighbour
-    tail: DataFrame | None = None  # the same of all other tokens: ``id``, ``n`` and ``by``, a list of (slot, v)
+    tail: DataFrame | None = None  # the same of all other tokens: ``id``, ``n`` and ``by``, a map from slot to count
     share: Share = field(default_factory=Share)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -197,7 +203,7 @@ class Scorer:
         wanted = np.unique(np.concatenate([r[0] for r in rare])) if rare else np.zeros(0, np.int64)
         found = {}
         if len(wanted) and self.tail is not None:
-            found = {r["id"]: (r["n"], dict(r["by"])) for r in self.tail.where(F.col("id").isin(wanted.tolist())).collect()}
+            found = {r["id"]: (r["n"], r["by"]) for r in self.tail.where(F.col("id").isin(wanted.tolist())).collect()}
         for i, (ids, left, right) in enumerate(rare):
             if len(ids):
                 own = [found.get(t, (0.0, {})) for t in ids.tolist()]
@@ -213,8 +219,8 @@ class Scorer:
 
         def flush() -> None:
             sizes = [len(i) for _, i in pending]
-            context, target = windows([self.class_of[i] for _, i in pending])
-            log_p, far = self._log_p(np.concatenate([i for _, i in pending]), context, target)
+            ids = np.concatenate([i for _, i in pending])
+            log_p, far = self._log_p(ids, *_windows(self.class_of[ids], sizes))
             ends = np.cumsum(sizes)
             out[[n for n, _ in pending]] = np.add.reduceat(log_p, np.concatenate([[0], ends[:-1]]))
             cuts = np.searchsorted(far[3], ends)
@@ -270,18 +276,49 @@ def _places(ids: np.ndarray, n: list, by: list[dict], left: np.ndarray, right: n
     return ids & (ENDINGS - 1), np.array(n, np.float64), beside, (left, right)
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "lm") -> Scorer:
+def _tokenised(docs: DataFrame, keys: tuple[str, ...], text: str, scratch: Scratch) -> DataFrame:
+    """``_row``, ``_keys`` (where there are any) and ``_ids``, the token ids of each text, written: three passes read
+    them, and the rows' numbers stay whatever is run again."""
+    kept = [F.struct(*keys).alias("_keys")] if keys else []
+    read = docs.select(*kept, text_of(text).alias("_text"))
+    row, ids = StructType.fromDDL("_row long, _ids array<long>")
+    out = StructType([row, *read.schema.fields[:-1], ids])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, row = to_arrow_schema(out), TaskContext.get().partitionId() << 36
+        for batch in pieces(batches):
+            ids = [token_ids(t.as_py()) for t in batch.column("_text")]
+            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))
+            arrays = [pa.array(np.arange(row, row + len(ids)))]
+            arrays += [batch.column("_keys").cast(schema.field("_keys").type)] if keys else []
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, type=schema.field("_ids").type)], schema=schema)
+            row += len(ids)
+
+    return scratch.save(read.mapInArrow(run, out))
+
+
+def _split(lists: pa.ListArray) -> list[np.ndarray]:
+    """A list column as one array a row."""
+    offsets = lists.offsets.to_numpy()
+    return np.split(lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets[1:-1] - offsets[0]) if len(lists) else []
+
+
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "lm", tokens: DataFrame | None = None) -> Scorer:
     """Counts of every token over all documents, then a network trained on every token of every document, and the
     counts of every token without a class of its own beside the classes of its neighbours.
 
     All counts are sums by token over the cluster, in tables that grow with the vocabulary and are written. Training is
     local descent from a common start with averaging: each partition goes through its tokens once a round, and the
     partitions' nets are averaged, weighted by their tokens, as sums by parameter. The driver gets the counts of the
-    HEAD most frequent tokens, at most SLOTS each, and one net; the tokens beyond stay in a table.
+    HEAD most frequent tokens, at most SLOTS each, and one net; the tokens beyond stay in a table. ``tokens``: the
+    documents' token ids, where they are written already.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
-    read = docs.select(text_of(text).alias("_text"))
+    read = (_tokenised(docs, (), text, scratch) if tokens is None else tokens).select("_ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids in _gather(batches):
@@ -291,10 +328,11 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "
     vocabulary = scratch.save(read.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")))
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
     frequent = [r["id"] for r in vocabulary.orderBy(F.desc("n"), "id").limit(OWN).collect()]
-    last = vocabulary.where(~F.col("id").isin(frequent)).orderBy(F.desc("n"), "id").limit(HEAD).agg(F.max(F.struct(-F.col("n"), "id")).alias("l")).first()["l"]
+    best = vocabulary.where(~F.col("id").isin(frequent)).orderBy(F.desc("n"), "id").limit(HEAD).toArrow()
+    last = (-best["n"][-1].as_py(), best["id"][-1].as_py()) if best.num_rows else None
     class_of = Classes(np.array(sorted(frequent), np.int64))
     context = spark.sparkContext
-    classes = context.broadcast(class_of)
+    classes, heads = context.broadcast(class_of), context.broadcast(np.sort(best["id"].to_numpy()))
     net = Net.start()
     table = None
     for turn in range(max(1, rounds)):
@@ -307,8 +345,10 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "
             shuffle = np.random.default_rng(11)
             held: list[np.ndarray] = []
             size = 0
+            tally = _Tally(heads.value)
             for texts in _groups(batches):
-                line, near, target = np.concatenate(texts), *windows([class_of[i] for i in texts])
+                line = np.concatenate(texts)
+                near, target = _windows(class_of[line], [len(i) for i in texts])
                 order = shuffle.permutation(len(target))
                 for k in range(0, len(order) if training else 0, _BATCH):
                     at = order[k : k + _BATCH]
@@ -319,10 +359,12 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "
                     held.append(np.stack([line[at], near[SIDE - 1][at], near[SIDE][at] + CLASSES + 1]))
                     size += len(at)
                     if size >= _FLUSH:
-                        yield _beside(held)
+                        yield tally.add(held)
                         held, size = [], 0
             if held:
-                yield _beside(held)
+                yield tally.add(held)
+            if counting:
+                yield from tally.rest()
             if seen:
                 flat = own.flat().astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), -1, np.int32)), pa.array(flat)], ["id", "slot", "v"])
@@ -330,8 +372,8 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "
         # dealt by token once, which serves both sums
         made = read.mapInArrow(train, "id long, slot int, v double").withColumn("net", F.col("slot") < 0).repartition("id", "net")
         made = made.groupBy("id", "net", "slot").agg(F.sum("v").alias("v"))
-        # a list has SLOTS entries at most
-        made = scratch.save(made.groupBy("id", "net").agg(F.sum(F.when(F.col("slot") <= CLASSES, F.col("v"))).alias("n"), F.collect_list(F.struct("slot", "v")).alias("by")))
+            # a map has SLOTS entries at most
+        made = scratch.save(made.groupBy("id", "net").agg(F.sum(F.when(F.col("slot") <= CLASSES, F.col("v"))).alias("n"), F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("by")))
         if turn == 0:
             table = made.where("not net").drop("net")
         trained = made.where("net").select("id", "n").toArrow()
@@ -340,12 +382,12 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "
         flat = np.zeros(len(net.flat()))
         flat[trained["id"].to_numpy()] = trained["n"].to_numpy() / total
         net = Net.from_flat(flat)
-    sums = table.select((F.col("id").bitwiseAND(ENDINGS - 1)).alias("c"), F.explode("by").alias("b")).groupBy("c", "b.slot").agg(F.sum("b.v").alias("v"), F.count("*").alias("m")).collect()
+    sums = table.select((F.col("id").bitwiseAND(ENDINGS - 1)).alias("c"), F.explode("by").alias("slot", "v")).groupBy("c", "slot").agg(F.sum("v").alias("v"), F.count("*").alias("m")).collect()
     inner = Inner(np.zeros((ENDINGS, SLOTS)), np.zeros((ENDINGS, SLOTS)))
     for r in sums:
         inner.total[r["c"], r["slot"]], inner.kinds[r["c"], r["slot"]] = r["v"], r["m"]
     first = F.lit(False) if last is None else F.struct((-F.col("n")).cast("long").alias("n"), "id") <= F.struct(F.lit(last[0]).cast("long").alias("n"), F.lit(last[1]).alias("id"))
-    near = table.where(first).select("id", "n", F.col("by.slot").alias("slot"), F.col("by.v").alias("v")).orderBy("id").toArrow().combine_chunks()
+    near = table.where(first).select("id", "n", F.map_keys("by").alias("slot"), F.map_values("by").alias("v")).orderBy("id").toArrow().combine_chunks()
     head = near["id"].to_numpy()
     beside = np.zeros((len(head), SLOTS), np.float32)
     if len(head):
@@ -360,8 +402,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
-        for value in batch.column(0):
-            ids = token_ids(value.as_py())
+        for ids in _split(batch.column(0)):
             if len(ids):
                 held.append(ids)
                 size += len(ids)
@@ -386,12 +427,38 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _beside(held: list[np.ndarray]) -> pa.RecordBatch:
-    """Counts of (id, slot) for both neighbours of the held positions."""
-    line = np.concatenate(held, axis=1)
-    ids, at = np.unique(line[0], return_inverse=True)
-    keys, n = np.unique(np.concatenate([at * SLOTS + line[1], at * SLOTS + line[2]]), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids[keys // SLOTS]), pa.array((keys % SLOTS).astype(np.int32)), pa.array(n.astype(np.float64))], ["id", "slot", "v"])
+class _Tally:
+    """Counts of (id, slot) for both neighbours of positions: a table over all positions seen for the HEAD most frequent
+    ids, and rows at once for all others, which seldom come twice in a task."""
+
+    def __init__(self, head: np.ndarray) -> None:
+        self.head = head
+        self.counts = np.zeros(0, np.int32)
+
+    def add(self, held: list[np.ndarray]) -> pa.RecordBatch:
+        """Counts the held positions (ids, left slots, right slots); returns the rows of the ids beyond the head."""
+        line = np.concatenate(held, axis=1)
+        at, there = _find(self.head, line[0])
+        if there.any():
+            if not len(self.counts):
+                self.counts = np.zeros(len(self.head) * SLOTS, np.int32)
+            place = at[there] * SLOTS
+            for side in (1, 2):
+                self.counts += np.bincount(place + line[side, there], minlength=len(self.counts)).astype(np.int32)
+        line = line[:, ~there]
+        ids, at = np.unique(line[0], return_inverse=True)
+        keys, n = np.unique(np.concatenate([at * SLOTS + line[1], at * SLOTS + line[2]]), return_counts=True)
+        return _rows(ids[keys // SLOTS], keys % SLOTS, n)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        keys = np.flatnonzero(self.counts)
+        for start in range(0, len(keys), _FLUSH):
+            part = keys[start : start + _FLUSH]
+            yield _rows(self.head[part // SLOTS], part % SLOTS, self.counts[part])
+
+
+def _rows(ids: np.ndarray, slots: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(slots.astype(np.int32)), pa.array(n.astype(np.float64))], ["id", "slot", "v"])
 
 
 def score_documents(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", scorer: Scorer | None = None, name: str = "lm") -> DataFrame:
@@ -400,41 +467,43 @@ def score_documents(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text:
 
     A token is a word or a mark; its probability is that of its class by the network times its own within the class,
     given both neighbours' classes, by the corpus counts. Counts of the HEAD most frequent tokens travel with the tasks;
-    the other tokens' occurrences meet theirs by a join. A long text is scored in parts that see their neighbours. A null or empty text has no tokens, likelihood 0 and a null
+    the other tokens' occurrences meet theirs by a join. The texts are cut into tokens once, and their ids written. A long text is scored in parts that see their neighbours. A null or empty text has no tokens, likelihood 0 and a null
     mean. One row comes out for each row that goes in; other columns are not read; an empty table stays empty. Scores
     depend in their last digits on how the rows were partitioned when the network was trained.
     """
     spark = docs.sparkSession
-    scorer = fit(docs, text, name=name) if scorer is None else scorer
+    scratch = Scratch(spark, name)
+    tokens = _tokenised(docs, keys, text, scratch)
+    scorer = fit(docs, text, name=name, tokens=tokens) if scorer is None else scorer
     shared = spark.sparkContext.broadcast(replace(scorer, tail=None))
-    kinds = StructType([docs.schema[k] for k in keys])
-    out = StructType().add("_row", "long").add("_keys", kinds).add("n_tokens", "integer").add("_sum", "double")
+    out = StructType().add("_row", "long").add(tokens.schema["_keys"]).add("n_tokens", "integer").add("_sum", "double")
     rare = StructType.fromDDL("_rare array<struct<id: long, left: int, right: int>>")
     out = StructType([*out.fields, *rare.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, row = to_arrow_schema(out), TaskContext.get().partitionId() << 36
-        for batch in pieces(batches):
-            ids = [token_ids(t.as_py()) for t in batch.column("_text")]
+        schema = to_arrow_schema(out)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = _split(batch.column("_ids"))
             sums, far = shared.value.measure(ids)
             offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in far])])
             columns = [np.concatenate(x) for x in zip(*far, strict=True)]
             kind = schema.field("_rare").type
             values = pa.StructArray.from_arrays([pa.array(c, kind.value_type.field(i).type) for i, c in enumerate(columns)], fields=list(kind.value_type))
-            arrays = [np.arange(row, row + len(ids)), batch.column("_keys").cast(schema.field("_keys").type), [len(i) for i in ids], sums]
-            arrays = [a if isinstance(a, pa.Array) else pa.array(a, schema.field(i).type) for i, a in enumerate(arrays)]
+            arrays = [batch.column("_row"), batch.column("_keys").cast(schema.field("_keys").type)]
+            arrays += [pa.array([len(i) for i in ids], pa.int32()), pa.array(sums)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, type=kind)], schema=schema)
-            row += len(ids)
 
-    # written, so that the rows' numbers stay whatever is run again
-    rows = Scratch(spark, name).save(docs.select(F.struct(*keys).alias("_keys"), text_of(text).alias("_text")).mapInArrow(run, out))
+    rows = scratch.save(tokens.mapInArrow(run, out))
+    scratch.drop(tokens)
     far = rows.select("_row", F.explode("_rare").alias("o")).select("_row", "o.*")
     known = scorer.tail
     if known is None:
-        known = spark.createDataFrame([], "id long, n double, by array<struct<slot: int, v: double>>")
-    at = lambda side: F.coalesce(F.get(F.filter("by", lambda b: b["slot"] == F.col(side)), 0)["v"], F.lit(0.0))
+        known = spark.createDataFrame([], "id long, n double, by map<int, double>")
+    at = lambda side: F.coalesce(F.try_element_at("by", F.col(side)), F.lit(0.0))
     met = far.join(known, "id", "left").select("_row", "id", F.coalesce("n", F.lit(0.0)).alias("n"), "left", "right", at("left").alias("nl"), at("right").alias("nr"))
     inner = spark.sparkContext.broadcast(scorer.inner)
 
