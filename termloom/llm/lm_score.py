@@ -36,11 +36,24 @@ _KEPT = 300_000
 _FLUSH = 1 << 20  # tokens counted at once
 
 
+class _Endings(dict):
+    """Class of a token's last two letters; a bounded memory."""
+
+    def __missing__(self, ending: str) -> int:
+        if len(self) >= _KEPT:
+            self.clear()
+        self[ending] = e = xxhash.xxh3_64_intdigest(ending, 1) % ENDINGS
+        return e
+
+
+_endings = _Endings()
+
+
 class _Ids(dict):
     """Id of a token; a bounded memory."""
 
     def __missing__(self, token: str) -> int:
-        i = (xxhash.xxh3_64_intdigest(token) & ~(ENDINGS - 1)) | (xxhash.xxh3_64_intdigest(token[-2:], 1) % ENDINGS)
+        i = (xxhash.xxh3_64_intdigest(token) & ~(ENDINGS - 1)) | _endings[token[-2:]]
         i -= (i >> 63) << 64
         if len(self) >= _KEPT:
             self.clear()
@@ -277,11 +290,11 @@ def _places(ids: np.ndarray, n: list, by: list[dict], left: np.ndarray, right: n
 
 
 def _tokenised(docs: DataFrame, keys: tuple[str, ...], text: str, scratch: Scratch) -> DataFrame:
-    """``_row``, ``_keys`` (where there are any) and ``_ids``, the token ids of each text, written: three passes read
-    them, and the rows' numbers stay whatever is run again."""
+    """``_row``, ``_keys`` (where there are any) and ``_ids``, the token ids of each text (eight bytes each), written:
+    three passes read them, and the rows' numbers stay whatever is run again."""
     kept = [F.struct(*keys).alias("_keys")] if keys else []
     read = docs.select(*kept, text_of(text).alias("_text"))
-    row, ids = StructType.fromDDL("_row long, _ids array<long>")
+    row, ids = StructType.fromDDL("_row long, _ids binary")
     out = StructType([row, *read.schema.fields[:-1], ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,21 +302,18 @@ def _tokenised(docs: DataFrame, keys: tuple[str, ...], text: str, scratch: Scrat
 
         schema, row = to_arrow_schema(out), TaskContext.get().partitionId() << 36
         for batch in pieces(batches):
-            ids = [token_ids(t.as_py()) for t in batch.column("_text")]
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))
+            ids = [token_ids(t.as_py()).tobytes() for t in batch.column("_text")]
             arrays = [pa.array(np.arange(row, row + len(ids)))]
             arrays += [batch.column("_keys").cast(schema.field("_keys").type)] if keys else []
-            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, type=schema.field("_ids").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids, schema.field("_ids").type)], schema=schema)
             row += len(ids)
 
     return scratch.save(read.mapInArrow(run, out))
 
 
-def _split(lists: pa.ListArray) -> list[np.ndarray]:
-    """A list column as one array a row."""
-    offsets = lists.offsets.to_numpy()
-    return np.split(lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets[1:-1] - offsets[0]) if len(lists) else []
+def _split(column: pa.Array) -> list[np.ndarray]:
+    """The ids of each row."""
+    return [np.frombuffer(v.as_buffer(), np.int64) for v in column]
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "lm", tokens: DataFrame | None = None) -> Scorer:
