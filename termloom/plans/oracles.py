@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import diacritics, glob_regex
+from . import formats
 from .queries import MARKS, MISSPELT, PAIR, RANKED, WILD
 
 WORD = r"[\p{L}0-9]+"
@@ -264,6 +265,8 @@ SELECT CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS place,
     "result_format": f"WITH {_scored(RANKED)}, {_page(1, 10)} SELECT rank, printf('%d. %s   %.5f', rank, pg.doc_id || '.txt', score) AS line FROM pg",
     "short_texts": "SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS short FROM documents",
     "eval_metrics": f"WITH {_scored(RANKED)}, {_page(1, 10)}, g AS (SELECT rank, coalesce(quality, 0) AS grade FROM pg LEFT JOIN labels ON labels.doc_id = pg.doc_id) SELECT round(count(*) FILTER (WHERE grade > 0) / 10, 9) AS precision, round(count(*) FILTER (WHERE grade > 0)::DOUBLE / (SELECT count(*) FROM labels WHERE quality > 0), 9) AS recall, round(sum((pow(2.0, grade) - 1) / log2(rank + 1.0)) / ({IDEAL}), 9) AS ndcg FROM g",
+    **formats.ORACLES,
+    "doc_info_roundtrip": f"WITH {TOK} SELECT doc_id, 'a;b/' || doc_id || '.txt' AS name, CAST(len(l) AS INTEGER) AS len FROM arr",
 }
 ORACLES["mc_error"] = (
     f"WITH RECURSIVE {_pagerank(10)}, gold AS (SELECT id, score FROM pr ORDER BY round(score, 12) DESC, id LIMIT 30), "

@@ -11,6 +11,7 @@ from ..functions.distance import indel_distance
 from ..functions.text import STANDARD_PATTERNS, basename, shorten
 from ..operators import evaluation, feedback, index, kgram, links, search, spelling
 from ..sources import files
+from . import formats
 from .engine import hits_ranking
 
 # The words that the queries ask for.
@@ -284,4 +285,5 @@ QUERIES = {
     "result_format": _result_format,
     "short_texts": _short_texts,
     "eval_metrics": _eval,
+    **formats.QUERIES,
 }
