@@ -33,3 +33,16 @@ def test_stages(spark, tmp_path):
     assert set(kept[1]) == {*range(40), 101, 102} and kept[1][101].text == rows[41][1].split("\n")[0] and kept[1][101].n_chars == len(kept[1][101].text)
     assert set(kept[3]) == {*range(40), 101}
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept[4]) == set(kept[3])
+
+
+def test_stage_two_brings_no_rows_of_lines_to_the_driver(spark, monkeypatch):
+    rng = random.Random(11)
+    lines = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(12)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, lines[i % 300] + f"\nonly here {rng.random()} {rng.random()}", "en", "h", 0) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    frame, rows = type(docs), []
+    plain = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: rows.append(plain(self)) or rows[-1])
+    out = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "")
+    assert sum(map(len, rows)) <= 10  # counts, whatever the number of lines that occur again
+    monkeypatch.undo()
+    assert sum(len(r.text.split("\n")) for r in out.collect()) == 900
