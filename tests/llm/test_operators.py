@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -255,6 +256,22 @@ def test_line_dedup_of_odd_rows(spark):
     assert [found[i][0][1:] for i in (9, 10)] == [(1, 0), (1, 1)]
 
 
+def test_bits_take_few_bytes_in_the_driver(spark):
+    Scratch(spark, "bits")  # sets the session's Arrow batches
+    n = 1 << 18
+    ids = np.concatenate([np.arange(n) * 37, -np.arange(n) * 101])
+    nodes = spark.range(n).select(F.explode(F.array(F.col("id") * 37, F.col("id") * -101)).alias("node"))
+    tracemalloc.start()
+    got = line_dedup._bit_table(nodes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = ids & ((1 << 27) - 1)
+    want = np.zeros(1 << 22, np.uint32)
+    np.bitwise_or.at(want, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+    assert (got == want).all() and want.max() >= 1 << 31
+    assert peak < got.nbytes + 16 * np.count_nonzero(want)
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
