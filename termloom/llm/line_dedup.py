@@ -290,22 +290,23 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", name:
     list of their dropped lines; only lines that share a band or occur again are written. Counts and a fixed bit table
     reach the driver, no lines, links or components.
     """
-    scratch = Scratch(docs.sparkSession, name)
+    scratch, inner = Scratch(docs.sparkSession, name), Scratch(docs.sparkSession, f"{name}-groups")
     docs = docs.drop("n_lines", "n_dropped")
     texts = docs.select(F.col(key).alias("doc"), text_of(text).alias("_text"))
-    groups, repeats = line_groups(texts.select("_text"), scratch)
-    nodes = scratch.save(groups.select("node").distinct())
+    groups, repeats = line_groups(texts.select("_text"), inner)
+    nodes = inner.save(groups.select("node").distinct())
     bits = docs.sparkSession.sparkContext.broadcast(_bit_table(nodes.unionByName(repeats)))
     wanted = StructType([StructField("doc", docs.schema[key].dataType), *StructType.fromDDL("at int, line long, name string").fields])
     seen = scratch.save(texts.mapInArrow(_wanted_lines(bits, wanted), wanted))
     bits.destroy()
     names = seen.where("name is not null").select(F.col("line").alias("node"), F.col("name").alias("text"))
-    roots = settle(groups, scratch.save(names.join(nodes, "node", "left_semi").dropDuplicates(["node"])), shingle_hashes, LIKENESS, scratch)
+    roots = settle(groups, inner.save(names.join(nodes, "node", "left_semi").dropDuplicates(["node"])), shingle_hashes, LIKENESS, inner)
 
     occurrences = seen.select("doc", "at", "line")
     order = F.struct(F.col("doc").isNull().alias("last"), "doc", "at")
     lines = occurrences.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     rooted = scratch.save(lines.join(roots, lines["line"] == roots["node"], "left").select("line", "first", "n", F.coalesce("root", "line").alias("root")))
+    inner.clear()
     tops = rooted.groupBy("root").agg(F.min("first").alias("top"), F.sum("n").alias("total"), F.count("*").alias("lines")).where("total > 1")
     tops = scratch.save(tops)
     counts = rooted.agg(F.count("*").alias("lines"), F.sum("n").alias("n")).first()

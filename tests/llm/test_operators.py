@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm import bpe, chat, decontaminate, graph, langid, line_dedup, lm_score, settle, simhash, sketch, token_codec, token_count, url_filter
 from termloom.llm.queries import TOOLS, tokenizer_file
-from termloom.llm.scratch import Scratch
+from termloom.llm.scratch import Scratch, shared_folder
 
 DOCS = "doc_id long, text string"
 ODD = [(None, None), (1, None), (2, ""), (3, "   \n "), (4, "Same text here"), (4, "Same text here"), (5, "Same text here"), (6, "éß 中文 \U0001f600 Σας <|endoftext|> it's"), (7, "word " * 5000), (8, "x" * 3000)]
@@ -272,6 +274,22 @@ def test_bits_take_few_bytes_in_the_driver(spark):
     assert peak < got.nbytes + 16 * np.count_nonzero(want)
 
 
+def test_tables_leave_nothing_behind_once_read(spark):
+    """The files of the exchanges behind a written table go at once, and so do line dedup's groups with their tables."""
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    setting, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(setting, None)
+    saved = Scratch(spark, "clean").save(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert saved.count() == 7 and spark.conf.get(setting, None) == was
+    found = line_dedup.dedup_lines(spark.createDataFrame([(1, "one line here\nand another"), (2, "one line here")], "doc_id long, text string"), name="left-behind")
+    assert not [p for p in os.listdir(shared_folder(spark).removeprefix("file:")) if p.startswith("left-behind-groups")]
+    assert {r["doc_id"]: r["n_dropped"] for r in found.collect()} == {1: 0, 2: 1}
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
