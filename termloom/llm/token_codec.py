@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from .bpe import WORD_PATTERN, Cutter, Vocabulary
 from .rows import map_columns, text_of
 
-#: Words whose ids a worker keeps, in two generations: bounded memory, and frequent words survive.
-_KEPT = 300_000
+#: Words whose ids a worker keeps, in two generations: bounded memory (28 MB for both), and frequent words survive.
+_KEPT = 100_000
 
 
 class Codec:

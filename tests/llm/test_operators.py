@@ -57,6 +57,21 @@ def test_codec_equals_the_library(spark, libraries):
         assert (got[i].ids_sha256, got[i].decoded_sha256) == (sha(" ".join(map(str, ids))), sha(back))
 
 
+def test_a_worker_keeps_few_words(libraries, monkeypatch):
+    """An executor of two cores may have four workers, each with words of its own."""
+    with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        codec = token_codec.Codec(f.read())
+    monkeypatch.setattr(codec.vocabulary, "encode", lambda word: [40_000, 40_001, 40_002])
+    tracemalloc.start()
+    try:
+        for start in range(0, 700_000, 10_000):
+            codec.encode(" ".join(f"word{'abcdefghij'[i % 10]}" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(start, start + 10_000)))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 50 << 20
+
+
 def test_counts_equal_the_library(spark, libraries):
     library = libraries["byte_bpe_50k.json"]
     texts = random_texts(400) + [t or "" for _, t in ODD]
