@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +62,12 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of every line's character shingles, in order and with repeats, and how many each line has. A line
     shorter than a shingle is one shingle."""
     lines = [x.ljust(SHINGLE, "\0") for x in lines]
-    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    joined = "".join(lines)
+    c = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = c.astype(np.uint64)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = np.zeros(len(c) - SHINGLE + 1, np.uint64)
-    for i in range(SHINGLE):
+    h = c[: len(c) - SHINGLE + 1].copy()
+    for i in range(1, SHINGLE):
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += c[i : i + len(h)]
     # shingles that would reach into the next line go
@@ -126,8 +129,10 @@ def _minima(lines: list[str]) -> np.ndarray:
 def _lines_of(texts: pa.Array) -> Iterator[tuple[int, int, str]]:
     """Row, position and normal form of every line that is not blank."""
     for row, text in enumerate(texts.to_pylist()):
-        for at, line in enumerate(text.lower().split("\n")):
-            if n := _single_blanks(line):
+        text = text.lower()
+        single = "  " not in text
+        for at, line in enumerate(text.split("\n")):
+            if n := line.strip(" ") if single and line.isprintable() else _single_blanks(line):
                 yield row, at, n
 
 
@@ -331,15 +336,17 @@ def _clean(out: StructType, text: str):
         for batch in pieces(batches):
             columns = batch.column("_row").flatten()
             texts, sizes, dropped = [], [], []
-            for value, drops in zip(columns[at_text], batch.column("_drops"), strict=True):
-                one = value.as_py()
-                gone = {(d["at"], d["line"]) for d in drops.as_py() or ()}
+            lists = batch.column("_drops")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            places, hashes = (x.to_pylist() for x in lists.flatten().flatten())
+            start = 0
+            for one, end in zip(columns[at_text].to_pylist(), ends.tolist(), strict=True):
                 lines = [] if one is None else one.split("\n")
-                places = {at for at, _ in gone}
-                keep = [not (i in places and (n := normal(x)) and (i, line_hash(n)) in gone) for i, x in enumerate(lines)]
+                gone = {at for at, h in zip(places[start:end], hashes[start:end], strict=True) if at < len(lines) and (n := normal(lines[at])) and line_hash(n) == h}
+                start = end
                 sizes.append(sum(not x.isspace() for x in lines if x))
-                dropped.append(len(keep) - sum(keep))
-                texts.append(one if one is None or all(keep) else "\n".join(x for x, k in zip(lines, keep, strict=True) if k))
+                dropped.append(len(gone))
+                texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else one)
             columns[at_text] = pa.array(texts, pa.string())
             columns += [pa.array(sizes, pa.int32()), pa.array(dropped, pa.int32())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

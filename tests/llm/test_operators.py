@@ -289,6 +289,18 @@ def test_bits_take_few_bytes_in_the_driver(spark):
     assert peak < got.nbytes + 16 * np.count_nonzero(want)
 
 
+def test_shingles_hash_alike_in_any_script():
+    """Plain letters take a shorter way to the same hashes."""
+    plain, other = ["one line here", "ab", "x" * 40], ["é", "\U0001f600 中文 line", "\ud800 half"]
+    alone = [h for x in plain + other for h in line_dedup.shingle_hashes([x])[0].tolist()]
+    assert line_dedup.shingle_hashes(plain + other)[0].tolist() == alone
+    h = 0
+    for c in "a line"[:5]:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+    h ^= h >> 29
+    assert line_dedup.shingle_hashes(["a lin"])[0].tolist() == [h * 0xBF58476D1CE4E5B9 % 2**64]
+
+
 def test_tables_leave_nothing_behind_once_read(spark):
     """The files of the exchanges behind a written table go at once, and so do line dedup's groups with their tables."""
     files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
