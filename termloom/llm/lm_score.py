@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql.types import StructType
 from .rows import pieces, text_of
 from .scratch import Scratch
 
-_tokens = re.compile(r"\w+|[^\w\s]").findall
+#: A token is a word or a mark of the lower-cased text, as r"\w+|[^\w\s]" finds them.
 #: A token's id is 60 bits of its hash and 4 bits of its last two letters' hash, so distinct tokens keep distinct ids.
 ENDINGS = 16
 OWN = 48  # most frequent tokens with a class of their own
@@ -34,6 +36,10 @@ _SCORE = 1 << 12
 _RATE = 0.2
 _KEPT = 300_000
 _FLUSH = 1 << 20  # tokens counted at once
+_SPACE, _MARK, _WORD = range(3)
+_LOOK = 1 << 17  # characters cut into tokens at once
+_LOW = 512  # letters below have a table of their pairs' classes
+_HALF = np.uint64(0xFFFFFFFF)
 
 
 class _Endings(dict):
@@ -47,34 +53,158 @@ class _Endings(dict):
 
 
 _endings = _Endings()
+_not_word = re.compile(r"\W").search
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of every code point, what it is to a token: _SPACE, _MARK or _WORD, as the regular expressions have it."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    out = np.full(len(every), _MARK, np.uint8)
+    for kind, like in ((_SPACE, r"\s+"), (_WORD, r"\w+")):
+        for found in re.finditer(like, every):
+            out[found.start() : found.end()] = kind
+    return out
+
+
+@cache
+def _known() -> np.ndarray:
+    """Class of every pair of last letters below _LOW that has been met; ENDINGS: not yet."""
+    return np.full(_LOW * _LOW, ENDINGS, np.uint8)
+
+
+def _ending(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Class of each pair of last letters; ``before`` is 0 for a token of one letter."""
+    known, low = _known(), (before | last) < _LOW
+    out = known.take(np.where(low, before * _LOW + last, 0))
+    new = np.flatnonzero(~low | (out == ENDINGS))
+    if len(new):
+        pairs, at = np.unique(before[new] << 21 | last[new], return_inverse=True)
+        made = np.array([_endings[(chr(k >> 21) if k >> 21 else "") + chr(k & 0x1FFFFF)] for k in pairs.tolist()], np.uint8)
+        out[new] = made[at]
+        new = new[low[new]]
+        known[before[new] * _LOW + last[new]] = out[new]
+    return out
+
+
+def _hashes(raw: bytes, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """xxh3_64 of the pieces of ``raw`` from ``lo`` on; those of 16 bytes or less, which most tokens have, all together by
+    that function's rules for such lengths."""
+    eight = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))
+    out = np.empty(len(lo), np.uint64)
+    n = size.astype(np.uint64)
+    u = np.uint64
+    at = np.flatnonzero(size <= 3)
+    if len(at):
+        w, k = eight[lo[at]], n[at]
+        letter = lambda place: w >> place * u(8) & u(0xFF)
+        h = (letter(u(0)) << u(16) | letter(k >> u(1)) << u(24) | letter(k - u(1)) | k << u(8)) ^ u(0x87275A9B)
+        h = (h ^ h >> u(33)) * u(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> u(29)) * u(0x165667B19E3779F9)
+        out[at] = h ^ h >> u(32)
+    at = np.flatnonzero((size > 3) & (size <= 8))
+    if len(at):
+        w, k = eight[lo[at]], n[at]
+        h = ((w << u(32)) + (eight[lo[at] + size[at] - 4] & _HALF)) ^ u(0xC73AB174C5ECD5A2)
+        h = (h ^ (h << u(49) | h >> u(15)) ^ (h << u(24) | h >> u(40))) * u(0x9FB21C651E98DF25)
+        h = (h ^ (h >> u(35)) + k) * u(0x9FB21C651E98DF25)
+        out[at] = h ^ h >> u(28)
+    at = np.flatnonzero((size > 8) & (size <= 16))
+    if len(at):
+        a, b = eight[lo[at]] ^ u(0x6782737BEA4239B9), eight[lo[at] + size[at] - 8] ^ u(0xAF56BC3B0996523A)
+        # the halves of the 128 bits of a * b, put together
+        a0, a1, b0, b1 = a & _HALF, a >> u(32), b & _HALF, b >> u(32)
+        middle = a1 * b0 + (a0 * b0 >> u(32))
+        cross = a0 * b1 + (middle & _HALF)
+        h = n[at] + a.byteswap() + b + (a1 * b1 + (middle >> u(32)) + (cross >> u(32)) ^ a * b)
+        h = (h ^ h >> u(37)) * u(0x165667919E3779F9)
+        out[at] = h ^ h >> u(32)
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[lo[i] : lo[i] + size[i]])
+    return out
+
+
+def _cut(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a lower-cased line's tokens, and the places where they start, in characters."""
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    kind = _kinds().take(codes)
+    word, mark = kind == _WORD, kind == _MARK
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    starts, ends = np.flatnonzero(first | mark), np.flatnonzero(last | mark)
+    if not len(starts):
+        return np.zeros(0, np.int64), starts
+    raw = line.encode()
+    lo, size = starts, ends - starts + 1
+    if len(raw) > len(line):
+        beyond = np.zeros(len(codes) + 1, np.int64)  # bytes beyond one a character
+        np.cumsum((codes > 0x7F).view(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF), out=beyond[1:])
+        lo = starts + beyond[starts]
+        size = ends + 1 + beyond[ends + 1] - lo
+    h = _hashes(raw, lo, size)
+    codes = codes.astype(np.int64)
+    before = np.where(ends > starts, codes.take(np.maximum(ends - 1, 0)), 0)
+    h &= ~np.uint64(ENDINGS - 1)
+    h |= _ending(before, codes.take(ends))
+    return h.view(np.int64), starts
+
+
+def _bits(texts: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
+    """The lower-cased texts with their numbers, about _LOOK characters together; longer ones are cut beside a character
+    that is in no word."""
+    held, size = [], 0
+    for n, text in enumerate(texts):
+        text, start = text.lower(), 0
+        while len(text) - start > _LOOK and (gap := _not_word(text, start + _LOOK)):
+            yield [(n, text[start : gap.start()])]
+            start = gap.start()
+        held.append((n, text[start:]))
+        size += len(text) - start
+        if size >= _LOOK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-class _Ids(dict):
-    """Id of a token; a bounded memory."""
-
-    def __missing__(self, token: str) -> int:
-        i = (xxhash.xxh3_64_intdigest(token) & ~(ENDINGS - 1)) | _endings[token[-2:]]
-        i -= (i >> 63) << 64
-        if len(self) >= _KEPT:
-            self.clear()
-        self[token] = i
-        return i
+def tokens_of(texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text's tokens."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for bits in _bits(texts):
+        ids, starts = _cut("\n".join(bit for _, bit in bits))  # white space: no token goes across
+        cuts = np.searchsorted(starts, np.cumsum([len(bit) + 1 for _, bit in bits]))
+        for (n, _), lo, hi in zip(bits, [0, *cuts[:-1]], cuts, strict=True):
+            out[n].append(ids[lo:hi])
+    return [parts[0] if len(parts) == 1 else np.concatenate(parts) for parts in out]
 
 
-_ids = _Ids()
+def token_ids(text: str) -> np.ndarray:
+    return tokens_of([text])[0]
 
 
-def token_ids(text: str) -> np.ndarray:
-    tokens = _tokens(text.lower())
-    return np.fromiter(map(_ids.__getitem__, tokens), np.int64, len(tokens))
+class _Places:
+    """Where ids stand in an ordered array of ids, which are hashes: their first bits lead to the place or just before."""
 
+    def __init__(self, ordered: np.ndarray) -> None:
+        self.ordered = np.append(ordered, np.iinfo(np.int64).max)
+        bits = min(18, max(1, len(ordered).bit_length() + 3))
+        self.shift, half = 64 - bits, 1 << bits - 1
+        self.firsts = np.searchsorted(ordered, np.arange(-half, half) << self.shift)
+        self.size, self.half = len(ordered), half
 
-def _find(ordered: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the ids in the ordered array, and whether they are there."""
-    if not len(ordered):
-        return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-    at = np.minimum(np.searchsorted(ordered, ids), len(ordered) - 1)
-    return at, ordered[at] == ids
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ids in the ordered array, and whether they are there."""
+        at = self.firsts.take((ids >> self.shift) + self.half)
+        here = self.ordered.take(at)
+        behind = np.flatnonzero(here < ids)
+        while len(behind):
+            at[behind] += 1
+            here[behind] = self.ordered[at[behind]]
+            behind = behind[here[behind] < ids[behind]]
+        there = here == ids
+        there &= at < self.size
+        return at, there
 
 
 @dataclass(frozen=True)
@@ -83,8 +213,12 @@ class Classes:
 
     own: np.ndarray  # sorted ids; an id's place is its class
 
+    @cached_property
+    def places(self) -> _Places:
+        return _Places(self.own)
+
     def __getitem__(self, ids: np.ndarray) -> np.ndarray:
-        at, there = _find(self.own, ids)
+        at, there = self.places.find(ids)
         return np.where(there, at, OWN + (ids & (ENDINGS - 1)))
 
 
@@ -137,20 +271,21 @@ class Net:
 
     def step(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray]) -> None:
         """One step of gradient descent with per-parameter rates."""
+        n = len(target)
         h = self.hidden(context)
         p = self.scores(h)
         np.exp(p, out=p)
-        p /= p.sum(axis=0)
-        p[target, np.arange(len(target))] -= 1
-        p /= len(target)
+        p *= np.float32(1 / n) / p.sum(axis=0)
+        p[target, np.arange(n)] -= np.float32(1 / n)
         dh = (p.T @ self.out.T) * (1 - h * h)
+        # a class's gradient is the sum over its positions, which stand together once ordered by slot and class
+        keys = (context + np.arange(0, self.slots[..., 0].size, CLASSES + 1)[:, None]).ravel()
+        ordered = np.tile(np.arange(n), 2 * SIDE)[np.argsort(keys.astype(np.uint16), kind="stable")]
+        sizes = np.bincount(keys, minlength=self.slots[..., 0].size)
+        there = np.flatnonzero(sizes)
+        firsts = (np.cumsum(sizes) - sizes)[there]
         g_slots = np.zeros_like(self.slots)
-        for s in range(2 * SIDE):
-            # a class's gradient is the sum over its positions, which stand together once ordered by class
-            order = np.argsort(context[s].astype(np.uint8), kind="stable")
-            ordered = context[s][order]
-            firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
-            g_slots[s][ordered[firsts]] = np.add.reduceat(dh.take(order, axis=0), firsts, axis=0)
+        g_slots.reshape(-1, HIDDEN)[there] = np.add.reduceat(dh.take(ordered, axis=0), firsts, axis=0)
         for part, g, m in zip(self.parts, (g_slots, dh.sum(axis=0), (p @ h).T, p.sum(axis=1)), memory, strict=True):
             m += g * g
             part -= (_RATE * g / np.sqrt(m + 1e-8)).astype(np.float32)
@@ -210,6 +345,10 @@ class Scorer:
     tail: DataFrame | None = None  # the same of all other tokens: ``id``, ``n`` and ``by``, a map from slot to count
     share: Share = field(default_factory=Share)
 
+    @cached_property
+    def places(self) -> _Places:
+        return _Places(self.head)
+
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Sum over each text's tokens of log P(class | both sides) + log P(token | class, both neighbours)."""
         out, rare = self.measure(texts)
@@ -261,7 +400,7 @@ class Scorer:
         log_p = self.net.log_p(context, target).astype(np.float64)
         left, right = context[SIDE - 1], context[SIDE] + CLASSES + 1
         inner = np.flatnonzero(target >= OWN)
-        at, there = _find(self.head, ids[inner])
+        at, there = self.places.find(ids[inner])
         near, far, at = inner[there], inner[~there], at[there]
         slots = (left[near], right[near])
         log_p[near] += self.inner.log_p(target[near] - OWN, self.counts[at], tuple(self.beside[at, s] for s in slots), slots)
@@ -302,7 +441,7 @@ def _tokenised(docs: DataFrame, keys: tuple[str, ...], text: str, scratch: Scrat
 
         schema, row = to_arrow_schema(out), TaskContext.get().partitionId() << 36
         for batch in pieces(batches):
-            ids = [token_ids(t.as_py()).tobytes() for t in batch.column("_text")]
+            ids = [i.tobytes() for i in tokens_of(batch.column("_text").to_pylist())]
             arrays = [pa.array(np.arange(row, row + len(ids)))]
             arrays += [batch.column("_keys").cast(schema.field("_keys").type)] if keys else []
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids, schema.field("_ids").type)], schema=schema)
@@ -360,9 +499,10 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, name: str = "
                 line = np.concatenate(texts)
                 near, target = _windows(class_of[line], [len(i) for i in texts])
                 order = shuffle.permutation(len(target))
+                dealt = np.concatenate([near, target[None]]).astype(np.uint8).take(order, axis=1)
                 for k in range(0, len(order) if training else 0, _BATCH):
-                    at = order[k : k + _BATCH]
-                    own.step(near[:, at], target[at], memory)
+                    *context, of = dealt[:, k : k + _BATCH].astype(np.int64)
+                    own.step(np.stack(context), of, memory)
                 seen += len(target)
                 if counting:
                     at = np.flatnonzero(target >= OWN)
@@ -443,12 +583,13 @@ class _Tally:
 
     def __init__(self, head: np.ndarray) -> None:
         self.head = head
+        self.places = _Places(head)
         self.counts = np.zeros(0, np.int32)
 
     def add(self, held: list[np.ndarray]) -> pa.RecordBatch:
         """Counts the held positions (ids, left slots, right slots); returns the rows of the ids beyond the head."""
         line = np.concatenate(held, axis=1)
-        at, there = _find(self.head, line[0])
+        at, there = self.places.find(line[0])
         if there.any():
             if not len(self.counts):
                 self.counts = np.zeros(len(self.head) * SLOTS, np.int32)

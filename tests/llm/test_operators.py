@@ -6,11 +6,13 @@ import hashlib
 import json
 import os
 import random
+import re
 import time
 import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe, chat, decontaminate, graph, langid, line_dedup, lm_score, settle, simhash, sketch, token_codec, token_count, url_filter
@@ -423,6 +425,71 @@ def test_pages_by_markup_suffix_and_host(spark, tmp_path):
 # ---- language model ----
 
 
+find_tokens = re.compile(r"\w+|[^\w\s]").findall
+
+
+def test_tokens_cut_together_are_those_of_each_text(monkeypatch):
+    texts = random_texts(400) + [t or "" for _, t in ODD] + ["a\x00b\x1cc \x85", "İΑΣ\u0307 ΟΔΟΣ Σ", "_a_b-c", "é" * 9, "中" * 300, "." * 300, " " * 300, "ab, " * 300]
+    texts += ["".join(chr(c) for c in range(n, n + 64)) for n in range(0, 0xD800, 64)]
+    want = []
+    for text in texts:
+        found = find_tokens(text.lower())
+        ids = [xxhash.xxh3_64_intdigest(t) & ~15 | xxhash.xxh3_64_intdigest(t[-2:], 1) % 16 for t in found]
+        want.append([i - (i >> 63 << 64) for i in ids])
+    sizes = {len(t.encode()) for text in texts for t in find_tokens(text.lower())}
+    assert sizes >= {*range(1, 18)}
+    for look in (7, 100, 1 << 17):  # texts cut into bits, and laid together
+        monkeypatch.setattr(lm_score, "_LOOK", look)
+        assert [lm_score.token_ids(t).tolist() for t in texts] == want
+        assert [i.tolist() for i in lm_score.tokens_of(texts)] == want
+    assert lm_score.tokens_of([]) == []
+
+
+def test_cutting_into_tokens_takes_less_time_than_the_expression_alone():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aeinrstéü", k=rng.randint(1, 12))) for _ in range(30_000)]
+    text = " ".join(rng.choices(words, k=300_000))
+    lm_score.token_ids(text)
+
+    def least(call):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            call()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert least(lambda: lm_score.token_ids(text)) < least(lambda: find_tokens(text.lower()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 48, 5000])
+def test_places_are_those_of_a_binary_search(n):
+    rng = np.random.default_rng(n)
+    ends = np.array([-(2**63), -1, 0, 2**63 - 1])
+    for ordered in (rng.integers(-(2**63), 2**63 - 1, n), np.arange(n), np.append(rng.integers(-(2**63), 2**63 - 1, n), ends)):
+        ordered = np.unique(ordered)
+        ids = np.concatenate([ends, ordered, ordered[1:] - 1, ordered[:-1] + 1, rng.integers(-(2**63), 2**63 - 1, 500)])
+        at, there = lm_score._Places(ordered).find(ids)
+        assert (at == np.searchsorted(ordered, ids)).all() and (there == np.isin(ids, ordered)).all()
+
+
+def test_a_step_of_training_follows_the_gradient():
+    rng = np.random.default_rng(4)
+    context, target = rng.integers(0, lm_score.CLASSES + 1, (2 * lm_score.SIDE, 300)), rng.integers(0, lm_score.CLASSES, 300)
+    net = lm_score.Net.from_flat(lm_score.Net.start().flat())
+    memory = [np.zeros(p.shape) for p in net.parts]
+    net.step(context, target, memory)
+    start = lm_score.Net.start()
+    loss = lambda net: -net.log_p(context, target).astype(np.float64).mean()
+    assert loss(net) < loss(start)
+    for part, m in zip(range(4), memory, strict=True):
+        at = np.unravel_index(m.argmax(), m.shape)
+        up, down = lm_score.Net.start(), lm_score.Net.start()
+        up.parts[part][at] += 0.01
+        down.parts[part][at] -= 0.01
+        assert abs(loss(up) - loss(down)) / 0.02 == pytest.approx(m[at] ** 0.5, rel=0.02)
+
+
 def test_scores_prefer_real_order_and_match_brute_force(spark):
     rng = random.Random(2)
     text = lambda: " ".join(f"{a} {b} {c} ." for a, b, c in ((rng.choice(["the", "a"]), rng.choice(["cat", "dog", "cow"]), rng.choice(["runs", "eats"])) for _ in range(40)))
