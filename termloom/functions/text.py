@@ -67,6 +67,17 @@ def token_array(text: Column, config: TokenizerConfig | None = None) -> Column:
     return F.coalesce(special(F.when(some, text)), plain)
 
 
+def prepared(text: Column, config: TokenizerConfig | None = None) -> Column | None:
+    """The text of which ``token_array`` takes the runs of letters and digits; None if its tokens are others."""
+    config = config or TokenizerConfig()
+    if config.patterns or not config.remove_punctuation or not config.case_folding:
+        return None
+    text = F.coalesce(text, F.lit(""))
+    if not config.flush_last:
+        text = F.regexp_replace(text, r"[\p{L}!-~]+\z", "")
+    return F.lower(F.translate(text, *diacritics()) if config.remove_diacritics else text)
+
+
 def chunk_tokens(chunk: str, patterns: list[re.Pattern], plain: re.Pattern) -> list[str]:
     """Terms of a chunk: the first pattern in order that is found anywhere is cut out whole; what precedes it is cut
     plainly, and what follows is treated like a chunk again."""

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TokenizerConfig
-from ..functions.distance import kgrams
-from ..functions.text import glob_regex, token_array
+from ..functions.postings import letter_bits, to_grams, to_lengths, to_postings
+from ..functions.text import glob_regex, prepared, token_array
 
 
 def token_arrays(docs: DataFrame, config: TokenizerConfig | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,53 +55,106 @@ def postings_lists(toks: DataFrame, keep: Column) -> DataFrame:
     return toks.where(keep).groupBy("term").agg(text.alias("postings"))
 
 
-@dataclass(frozen=True)
 class Index:
     """The stored tables of a collection: written once, then every query reads the buckets and row groups it needs.
 
-    ``tokens(term, doc_id, off)`` and ``counts(term, doc_id, tf, len)`` lie in buckets by term, sorted by term within
-    files; ``terms(term, df, cf)`` is sorted by term; ``grams(gram, term, n, cf)``, the k-grams of the padded terms with
-    the number of a term's distinct unpadded ones and its frequency, by gram; ``docs(doc_id, name, len)`` has every
+    ``postings(term, n, total, docs, tfs, lens, offs)`` lies in buckets by term, sorted by term within files; a row has
+    up to 1,024 documents of a term that one task read, with the term's number and offsets in each and their lengths.
+    ``tokens(term, doc_id, off)`` and ``counts(term, doc_id, tf, len)`` are views of it that read their columns only.
+    ``terms(term, df, cf)`` is sorted by term within files; ``grams(gram, term, n, cf)``, the k-grams of the padded terms
+    with the number of a term's distinct unpadded ones and its frequency, by gram; ``docs(doc_id, name, len)`` has every
     document, empty ones too.
     """
 
-    tokens: DataFrame
-    counts: DataFrame
-    terms: DataFrame
-    grams: DataFrame
-    docs: DataFrame
-    buckets: int
-    k: int = 2
-
     #: Bytes of text for each bucket, and the most buckets.
     BUCKET_BYTES, MOST = 64 << 20, 4096
     #: A wildcard that stands for more terms than this is matched on the occurrences instead of by a list of terms.
     LISTED = 1000
 
+    def __init__(self, spark: SparkSession, path: str, buckets: int, k: int = 2, pending: dict[str, Callable[[], None]] | None = None) -> None:
+        self.spark, self.path, self.buckets, self.k = spark, path, buckets, k
+        self._pending, self._tables = pending or {}, {}
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            if name in self._pending:
+                self._pending[name]()
+            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self._tables[name]
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._table("postings")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self._table("terms")
+
+    @property
+    def grams(self) -> DataFrame:
+        return self._table("grams")
+
+    @property
+    def docs(self) -> DataFrame:
+        return self._table("docs")
+
+    @property
+    def tokens(self) -> DataFrame:
+        return self.as_tokens(self.rows)
+
+    @property
+    def counts(self) -> DataFrame:
+        return self.as_counts(self.rows)
+
     @classmethod
-    def write(cls, docs: DataFrame, path: str, config: TokenizerConfig | None = None, name: str | None = None, k: int = 2) -> None:
-        """Tokenise ``docs(doc_id, text)`` once and store all tables. Hot terms are spread by document."""
+    def of(cls, docs: DataFrame, path: str, config: TokenizerConfig | None = None, name: str | None = None, k: int = 2) -> Index:
+        """The index of ``docs(doc_id, text)``, each of whose tables is written when it is first asked for. Tasks group
+        their documents' tokens by term, so that rows of postings are shuffled, once, instead of tokens. Hot terms are
+        spread by document."""
         spark = docs.sparkSession
         size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         buckets = max(8, min(cls.MOST, size // cls.BUCKET_BYTES))
-        named = docs.select("doc_id", (F.col(name) if name else F.col("doc_id").cast("string")).alias("name"), token_array(F.col("text"), config).alias("terms"))
-        named.write.mode("overwrite").parquet(f"{path}/arrays")
-        arrays = spark.read.parquet(f"{path}/arrays")
-        arrays.select("doc_id", "name", F.size("terms").alias("len")).write.mode("overwrite").parquet(f"{path}/docs")
-
-        def store(table: DataFrame, where: str, order: list[str]) -> None:
-            dealt = table.withColumn("bucket", cls.bucket(F.col("term"), buckets))
-            dealt.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(2 if buckets == 8 else 8))).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{where}")
-
-        store(arrays.select(F.posexplode("terms").alias("off", "term"), "doc_id").select("term", "doc_id", "off"), "tokens", ["term", "doc_id", "off"])
-        exploded = arrays.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-        store(exploded.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "len"), "counts", ["term", "doc_id"])
-        counts = spark.read.parquet(f"{path}/counts")
-        counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).sort("term").write.mode("overwrite").parquet(f"{path}/terms")
-        terms = spark.read.parquet(f"{path}/terms")
-        grams = terms.select(F.explode(kgrams(F.col("term"), k, padded=True, distinct=True)).alias("gram"), "term", F.size(kgrams(F.col("term"), k, padded=False, distinct=True)).alias("n"), "cf")
-        grams.sort("gram", "term").write.mode("overwrite").parquet(f"{path}/grams")
-        spark.createDataFrame([(buckets, k)], "buckets int, k int").write.mode("overwrite").parquet(f"{path}/meta")
+        text, bits = prepared(F.col("text"), config), None
+        if text is None:
+            text = token_array(F.col("text"), config)
+        else:
+            bits = letter_bits(spark)
+        key = docs.schema["doc_id"].dataType.simpleString()
+        named = docs.select("doc_id", (F.col(name) if name else F.col("doc_id").cast("string")).alias("name"), text.alias("text"))
+
+        def store(table: DataFrame, where: str, *by: str) -> None:
+            writer = table.write.mode("overwrite")
+            (writer.partitionBy(*by) if by else writer).parquet(f"{path}/{where}")
+
+        def postings() -> None:
+            found = named.select("doc_id", "text").mapInArrow(to_postings(bits), f"term string, n int, total bigint, docs array<{key}>, tfs array<int>, lens array<int>, offs array<array<int>>")
+            dealt = found.withColumn("bucket", cls.bucket(F.col("term"), buckets))
+            # the parts of a bucket, which tasks take, are about as large at any size
+            parts = max(2, min(8, size // (buckets * (cls.BUCKET_BYTES // 8))))
+            part = F.pmod(F.xxhash64(F.col("docs")[0]), F.lit(parts))
+            store(dealt.repartition("bucket", part).sortWithinPartitions("bucket", "term"), "postings", "bucket")
+
+        def terms() -> None:
+            store(found.rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("cf")).sortWithinPartitions("term"), "terms")
+
+        def grams() -> None:
+            each = found.terms.select("term", "cf").mapInArrow(to_grams(k), "gram string, term string, n int, cf bigint")
+            # a common k-gram is spread by term
+            store(each.repartition("gram", F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("gram", "term"), "grams")
+
+        def documents() -> None:
+            store(named.mapInArrow(to_lengths(bits), f"doc_id {key}, name string, len int"), "docs")
+
+        found = cls(spark, path, buckets, k, {"postings": postings, "terms": terms, "grams": grams, "docs": documents})
+        return found
+
+    @classmethod
+    def write(cls, docs: DataFrame, path: str, config: TokenizerConfig | None = None, name: str | None = None, k: int = 2) -> None:
+        """Store all tables of ``docs(doc_id, text)``."""
+        index = cls.of(docs, path, config, name, k)
+        for table in index._pending:
+            index._table(table)
+        index.spark.createDataFrame([(index.buckets, k)], "buckets int, k int").write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def bucket(term: Column, buckets: int) -> Column:
@@ -110,13 +163,23 @@ class Index:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         meta = spark.read.parquet(f"{path}/meta").first()
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("tokens", "counts", "terms", "grams", "docs")), meta["buckets"], meta["k"])
+        return cls(spark, path, meta["buckets"], meta["k"])
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, config: TokenizerConfig | None = None, name: str | None = None, k: int = 2) -> Index:
         cls.write(docs, path, config, name, k)
         return cls.load(docs.sparkSession, path)
 
+    @staticmethod
+    def as_tokens(rows: DataFrame) -> DataFrame:
+        each = rows.select("bucket", "term", F.inline(F.arrays_zip("docs", "offs")).alias("doc_id", "offs"))
+        return each.select("bucket", "term", "doc_id", F.explode("offs").alias("off"))
+
+    @staticmethod
+    def as_counts(rows: DataFrame, *more: str) -> DataFrame:
+        each = rows.select("bucket", "term", *more, F.inline(F.arrays_zip("docs", "tfs", "lens")).alias("doc_id", "tf", "len"))
+        return each.withColumn("tf", F.col("tf").cast("long"))
+
     def expand(self, glob: str) -> DataFrame:
         """``(term)``: the terms that a word with ``*`` stands for. Those with all of its k-grams come from the gram table
         and are then matched whole; a word without any k-gram is matched on the vocabulary."""
@@ -145,11 +208,17 @@ class Index:
 
     def occurrences(self, slots: list[str]) -> DataFrame:
         """``(term, doc_id, off)`` of the slots' terms."""
-        return self._asked(self.tokens, slots).select("term", "doc_id", "off")
+        return self.as_tokens(self._asked(self.rows, slots)).select("term", "doc_id", "off")
 
     def frequencies(self, slots: list[str]) -> DataFrame:
         """``(term, doc_id, tf, len)`` of the slots' terms."""
-        return self._asked(self.counts, slots).select("term", "doc_id", "tf", "len")
+        return self.as_counts(self._asked(self.rows, slots)).select("term", "doc_id", "tf", "len")
+
+    def weighted(self, weights: DataFrame) -> DataFrame:
+        """``(term, doc_id, tf, len, df, w)`` of the terms of ``weights(term, w)``, a table that a query holds. Rows of
+        postings are matched before their documents are told apart."""
+        known = self.terms.join(F.broadcast(weights), "term").select("term", "df", "w")
+        return self.as_counts(self.rows.join(F.broadcast(known), "term"), "df", "w").drop("bucket")  # known: no more rows than weights
 
     def postings(self, term: str) -> DataFrame:
         """Occurrences of one term."""

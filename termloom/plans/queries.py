@@ -50,10 +50,10 @@ _stored: dict[tuple[str, str], index.Index] = {}
 
 
 def _index(spark: SparkSession, d: str) -> index.Index:
-    """The stored index of the documents; the session's first query writes it."""
+    """The stored index of the documents; the session's first query of each of its tables writes it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _stored:
-        _stored[key] = index.Index.build(_docs(spark, d), Scratch(spark, "index").root)
+        _stored[key] = index.Index.of(_docs(spark, d), Scratch(spark, "index").root)
     return _stored[key]
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.config import EngineConfig, QueryType, Ranking, TokenizerConfig
+from termloom.functions import postings
 from termloom.functions.distance import indel_distance
 from termloom.functions.text import STANDARD_PATTERNS, basename, diacritics, glob_regex, shorten
 from termloom.operators import evaluation, feedback, index, kgram, links, search, spelling
@@ -195,6 +196,36 @@ def test_index_comes_back(spark, tmp_path):
     assert loaded.frequencies(["m*", "b"]).count() == 5 and loaded.frequencies(["zz"]).count() == 0 and loaded.frequencies(["z*"]).count() == 0
 
 
+ODD = ("Straße İstanbul ΣΑΣ ǅ", "日本語 テスト漢", "𝒳𝓎𐐀 x²½ Ⅷ٣", "", None, "a\u0301b _c", "é1-2_3é", "🙂ok🙂", "ab", "cd", "é", "no\u00a0break\u200bwidth", "Ωé" * 9)
+
+
+def test_index_cuts_texts_like_the_tokeniser(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "CHUNK", 2)
+    d = docs(spark, *ODD, "x x y", "y x", "x")
+    for config in (TokenizerConfig(), TokenizerConfig(remove_diacritics=True), TokenizerConfig(case_folding=False), TokenizerConfig(flush_last=False), TokenizerConfig(patterns=STANDARD_PATTERNS)):
+        stored = index.Index.of(d.repartition(3), str(tmp_path / str(hash(config))), config)
+        want = sorted(map(tuple, index.tokens(d, config).select("term", "doc_id", "off").collect()))
+        assert sorted(map(tuple, stored.tokens.select("term", "doc_id", "off").collect())) == want
+        assert sorted(map(tuple, stored.docs.select("doc_id", "len").collect())) == sorted(map(tuple, index.doc_lengths(d, config).collect()))
+
+
+def test_index_groups_tokens_before_it_shuffles_them(spark, tmp_path):
+    d = docs(spark, *["a b a"] * 40).coalesce(1)
+    stored = index.Index.of(d, str(tmp_path / "i"))
+    # a row a term, not one for each of its 40 documents, and only the tables that are asked for
+    assert {(r.term, r.n, r.total) for r in stored.rows.collect()} == {("a", 40, 80), ("b", 40, 40)}
+    assert stored.counts.count() == 80 and [x.name for x in (tmp_path / "i").iterdir()] == ["postings"]
+
+
+def test_weighted_terms_keep_the_postings_where_they_are(spark, tmp_path):
+    stored = index.Index.of(docs(spark, "a b a", "b c", "c"), str(tmp_path / "i"))
+    weights = spark.createDataFrame([("a", 2.0), ("c", 1.0), ("zz", 1.0)], "term string, w double")
+    got = stored.weighted(weights)
+    assert sorted((r.term, r.doc_id, r.tf, r.len, r.df, r.w) for r in got.collect()) == [("a", 0, 2, 3, 1, 2.0), ("c", 1, 1, 2, 2, 1.0), ("c", 2, 1, 1, 2, 1.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_files(spark, tmp_path):
     lines = spark.createDataFrame([("1;2,3,",), ("2;",), ("3;1,1,",)], "value string")
     assert sorted((tuple(r) for r in files.parse_links(lines).collect()), key=str) == [(1, 2), (1, 3), (2, None), (3, 1)]
