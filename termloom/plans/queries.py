@@ -148,11 +148,10 @@ def _feedback_rank(strict: bool):
         stored = _index(spark, d)
         # the expanded query is a table: its terms are those of ten documents, joined by term
         weights = (terms.select("term", F.lit(1.0).alias("weight")) if strict else terms).groupBy("term").agg(F.sum("weight").alias("w"))
-        tf = stored.counts.join(weights, "term").select("doc_id", "len", "term", "w", "tf")
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        tf = stored.weighted(weights)
         n = stored.docs.agg(F.count("*").alias("n"))
         share = search.idf(F.col("n"), F.col("df")) * F.col("w") * F.col("tf") / F.col("len")
-        scored = tf.join(df, "term").crossJoin(F.broadcast(n)).groupBy("doc_id").agg(F.sum(share).alias("score"))  # n: one row
+        scored = tf.crossJoin(F.broadcast(n)).groupBy("doc_id").agg(F.sum(share).alias("score"))  # n: one row
         return _rounded(scored)
 
     return run
