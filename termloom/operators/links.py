@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,7 +96,8 @@ def monte_carlo(edges: DataFrame, walks: int, method: int, nodes: DataFrame | No
     node, likewise. Method 4: ``walks`` from every node, the share of visits, walks stopping at nodes without links.
     Method 5: as 4 from random nodes. In 1 and 2 a walk jumps anywhere from a node without links.
 
-    All walks take a step together, one join with the table of links, until none goes on.
+    All walks that go on take a step together, one join with the table of links, until none does; those at rest stay in
+    the table that was written when they stopped.
     """
     if method not in (1, 2, 4, 5):
         raise ValueError("method must be 1, 2, 4 or 5")
@@ -120,25 +122,24 @@ def monte_carlo(edges: DataFrame, walks: int, method: int, nodes: DataFrame | No
     else:
         begun = numbered.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).withColumn("walk", F.col("number") * walks + F.col("u"))
     path = F.array().cast("array<bigint>")
-    now = scratch.save(begun.select("walk", F.col("id").alias("node"), "outdeg", F.lit(True).alias("alive"), path.alias("path")))
-    ends = method in (1, 2)
-    for first in count(1, 4):  # four steps between two written states
-        new = now
-        for step in range(first, first + 4):
-            s = F.lit(step).cast("long")
-            on = F.col("alive") & (uniform(F.col("walk"), s, 1) > bored)
-            if not ends:
-                new = new.withColumn("path", F.when(on, F.array_append("path", F.col("node"))).otherwise(F.col("path")))
-            goes = on if ends else on & (F.col("outdeg") > 0)
-            new = new.withColumn("alive", goes).withColumn("pick", F.pmod(draw(F.col("walk"), s, 2), F.when(F.col("outdeg") > 0, F.col("outdeg")).otherwise(F.lit(n))))
-            # walks at rest look for a place that no node has, each another one
-            new = new.withColumns({"jump": F.col("outdeg") == 0, "at": F.when(F.col("outdeg") == 0, 0).otherwise(F.col("node")), "place": F.when(F.col("alive"), F.col("pick")).otherwise(-1 - F.col("walk"))})
-            new = new.join(moves, ["jump", "at", "place"], "left").select("walk", F.coalesce("to", "node").alias("node"), F.coalesce("to_outdeg", "outdeg").alias("outdeg"), "alive", "path")
-        new = scratch.save(new)
-        scratch.drop(now)
-        now = new
-        if not now.where("alive").limit(1).count():
+    now = begun.select("walk", F.col("id").alias("node"), "outdeg", path.alias("path"))
+    ends, rested = method in (1, 2), []
+    for step in count(1):
+        s = F.lit(step).cast("long")
+        on = uniform(F.col("walk"), s, 1) > bored
+        now = now.withColumn("alive", on if ends else on & (F.col("outdeg") > 0))
+        if not ends:
+            now = now.withColumn("path", F.when(on, F.array_append("path", F.col("node"))).otherwise(F.col("path")))
+        now = scratch.save(now)
+        rested.append(now.where("not alive").select("node", "path"))
+        now = now.where("alive")
+        if not now.limit(1).count():
             break
+        # only those that go on meet the links, and each of them has a place there
+        pick = F.pmod(draw(F.col("walk"), s, 2), F.when(F.col("outdeg") > 0, F.col("outdeg")).otherwise(F.lit(n)))
+        now = now.select("walk", "path", (F.col("outdeg") == 0).alias("jump"), F.when(F.col("outdeg") == 0, 0).otherwise(F.col("node")).alias("at"), pick.alias("place"))
+        now = now.join(moves, ["jump", "at", "place"]).select("walk", F.col("to").alias("node"), F.col("to_outdeg").alias("outdeg"), "path")
+    now = reduce(DataFrame.unionByName, rested)
     seen = now.select("node") if ends else now.select(F.explode("path").alias("node"))
     total = seen.groupBy("node").agg(F.count("*").alias("c"))
     size = {1: float(walks), 2: float(walks * n)}.get(method) or float(total.agg(F.sum("c")).first()[0] or 1)

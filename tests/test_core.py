@@ -167,6 +167,22 @@ def test_walks_approach_pagerank(spark):
     assert max(abs(got[i] - exact[i]) for i in exact) < 0.02
 
 
+def test_walks_at_rest_are_not_carried_on(spark, monkeypatch):
+    sizes = []
+    save = links.Scratch.save
+
+    def counted(self, df):
+        out = save(self, df)
+        if "alive" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(links.Scratch, "save", counted)
+    # every walk ends where the link leads; only the source's walk takes a second step
+    got = {r.id: r.score for r in links.monte_carlo(edges(spark, (0, 1)), 4, 4, bored=-1.0).collect()}
+    assert got == {0: 4 / 12, 1: 8 / 12} and sizes == [8, 4]
+
+
 def test_engine_and_evaluation(spark):
     d = docs(spark, "red fox", "red red dog", "blue fox", "green", "green", "green")
     ranks = spark.createDataFrame([(0, 0.5), (1, 0.25)], "doc_id long, score double")
